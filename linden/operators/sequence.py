@@ -23,37 +23,42 @@ from pyspark.sql import functions as F
 DEFAULT_BLOCK = 2048
 
 
-def carry_last(df: DataFrame, value: Column, out: str, *, key: str = "doc_id",
+def carry_last(df: DataFrame, value: Column, out: str, *, key="doc_id",
                order: str = "line", block: int = DEFAULT_BLOCK,
-               inclusive: bool = False) -> DataFrame:
+               inclusive: bool = False, block_col: Column | None = None) -> DataFrame:
     """Add column ``out`` = last non-null ``value`` over rows with a smaller
-    ``order`` (``<=`` when ``inclusive``) in the same ``key``.
+    ``order`` (``<=`` when ``inclusive``) in the same ``key`` (a column name
+    or a list of names).
 
-    ``order`` must be unique within ``key`` and integral.
+    ``order`` must be unique within ``key`` and integral.  ``block_col``
+    overrides the block id (it must be non-decreasing in ``order``), e.g.
+    ``floor(line / 2048)`` when ``order`` packs (line, pos).
     """
+    keys = [key] if isinstance(key, str) else list(key)
     blk = "_cl_blk"
     val = "_cl_val"
-    d = df.withColumn(blk, F.floor(F.col(order) / block)).withColumn(val, value)
+    bcol = block_col if block_col is not None else F.floor(F.col(order) / block)
+    d = df.withColumn(blk, bcol).withColumn(val, value)
     end = 0 if inclusive else -1
-    w_in = Window.partitionBy(key, blk).orderBy(order).rowsBetween(Window.unboundedPreceding, end)
+    w_in = Window.partitionBy(*keys, blk).orderBy(order).rowsBetween(Window.unboundedPreceding, end)
     d = d.withColumn("_cl_local", F.last(val, ignorenulls=True).over(w_in))
 
     # The block summary is read from the windowed rows, which are already
     # hash-partitioned by (key, block): no extra shuffle for the groupBy.
     summary = (
-        d.groupBy(key, blk)
+        d.groupBy(*keys, blk)
         .agg(F.max_by(F.col(val), F.when(F.col(val).isNotNull(), F.col(order))).alias("_cl_blast"))
     )
-    w_b = Window.partitionBy(key).orderBy(blk).rowsBetween(Window.unboundedPreceding, -1)
-    carry = summary.select(key, blk, F.last("_cl_blast", ignorenulls=True).over(w_b).alias("_cl_in"))
+    w_b = Window.partitionBy(*keys).orderBy(blk).rowsBetween(Window.unboundedPreceding, -1)
+    carry = summary.select(*keys, blk, F.last("_cl_blast", ignorenulls=True).over(w_b).alias("_cl_in"))
     return (
-        d.join(carry, [key, blk], "left")
+        d.join(carry, [*keys, blk], "left")
         .withColumn(out, F.coalesce(F.col("_cl_local"), F.col("_cl_in")))
         .drop(blk, val, "_cl_local", "_cl_in")
     )
 
 
-def carry_next(df: DataFrame, value: Column, out: str, *, key: str = "doc_id",
+def carry_next(df: DataFrame, value: Column, out: str, *, key="doc_id",
                order: str = "line", block: int = DEFAULT_BLOCK,
                inclusive: bool = False) -> DataFrame:
     """Mirror of ``carry_last``: first non-null ``value`` over later rows."""
@@ -73,3 +78,8 @@ def shift_lines(df: DataFrame, cols: list[str], by: int = 1, *, key: str = "doc_
         *[F.col(c).alias(prefix + c) for c in cols],
     )
     return df.join(src, [key, order], "left")
+
+
+def line_pos_order(line: str = "line", pos: str = "pos") -> Column:
+    """One integral order key for (line, pos) pairs."""
+    return F.col(line).cast("long") * F.lit(1 << 31) + F.col(pos).cast("long")

@@ -91,3 +91,36 @@ manifest_new AS (
 
 def with_(*ctes: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n"
+
+
+VOCAB = """vocab AS (
+  SELECT w, count(*) AS f FROM (SELECT unnest(regexp_extract_all(lower(text), '\\p{L}+')) AS w FROM documents) GROUP BY w
+)"""
+
+DICT = """dict AS (
+  SELECT w, count(*) AS f FROM (SELECT unnest(regexp_extract_all(lower(text), '\\p{L}+')) AS w FROM benchmark) GROUP BY w
+)"""
+
+TOKEN_CONTEXT = """tl AS (
+  SELECT doc_id, line, list(t ORDER BY pos) AS toks FROM tokens GROUP BY doc_id, line
+),
+tctx AS (
+  SELECT t.doc_id, t.line, t.pos, t.t AS t0,
+         CASE WHEN t.pos = 0 THEN '' ELSE lag(t.t, 1) OVER w END AS t1,
+         CASE WHEN t.pos >= 2 THEN lag(t.t, 2) OVER w
+              WHEN t.pos = 1 THEN ''
+              ELSE coalesce(p.toks[len(p.toks)], '') END AS t2,
+         CASE WHEN t.pos >= 3 THEN lag(t.t, 3) OVER w
+              WHEN t.pos = 2 THEN ''
+              WHEN t.pos = 1 THEN coalesce(p.toks[len(p.toks)], '')
+              ELSE coalesce(CASE WHEN len(p.toks) >= 2 THEN p.toks[len(p.toks) - 1] END, '') END AS t3
+  FROM tokens t LEFT JOIN tl p ON p.doc_id = t.doc_id AND p.line = t.line - 1
+  WINDOW w AS (PARTITION BY t.doc_id, t.line ORDER BY t.pos)
+)"""
+
+PRUNED = """tri AS (SELECT t2, t1, t0, count(*) AS n FROM ngr GROUP BY t2, t1, t0),
+bi AS (SELECT t1, t0, CAST(sum(n) AS BIGINT) AS n FROM tri GROUP BY t1, t0),
+uni AS (SELECT t0, CAST(sum(n) AS BIGINT) AS n FROM tri GROUP BY t0),
+ptri AS (SELECT * FROM tri WHERE n > (SELECT max(n) FROM tri) * 0.005),
+pbi AS (SELECT * FROM bi WHERE n > (SELECT max(n) FROM bi) * 0.0005),
+puni AS (SELECT * FROM uni WHERE n > (SELECT max(n) FROM uni) * 0.00005)"""

@@ -88,22 +88,8 @@ def prune_counts(spark, sf):
     )
 
 
-@register("token_context", q.with_(q.LINES, q.TOKENS, """tl AS (
-  SELECT doc_id, line, list(t ORDER BY pos) AS toks FROM tokens GROUP BY doc_id, line
-)""", """ctx AS (
-  SELECT t.doc_id, t.line, t.pos, t.t AS t0,
-         coalesce(lag(t.t, 1) OVER w, '') AS t1,
-         CASE WHEN t.pos >= 2 THEN lag(t.t, 2) OVER w
-              WHEN t.pos = 1 THEN ''
-              ELSE coalesce(p.toks[len(p.toks)], '') END AS t2,
-         CASE WHEN t.pos >= 3 THEN lag(t.t, 3) OVER w
-              WHEN t.pos = 2 THEN ''
-              WHEN t.pos = 1 THEN coalesce(p.toks[len(p.toks)], '')
-              ELSE coalesce(p.toks[len(p.toks) - 1], '') END AS t3
-  FROM tokens t LEFT JOIN tl p ON p.doc_id = t.doc_id AND p.line = t.line - 1
-  WINDOW w AS (PARTITION BY t.doc_id, t.line ORDER BY t.pos)
-)""") + """
-SELECT doc_id, line, pos, t0, CASE WHEN pos = 0 THEN '' ELSE t1 END AS t1, t2, t3 FROM ctx
+@register("token_context", q.with_(q.LINES, q.TOKENS, q.TOKEN_CONTEXT) + """
+SELECT doc_id, line, pos, t0, t1, t2, t3 FROM tctx
 """)
 def token_context(spark, sf):
     return ngrams.token_context(doc_lines(spark, sf))
