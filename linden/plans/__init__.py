@@ -1,7 +1,7 @@
 """Named queries.  Importing this package registers every query."""
 
 from linden.plans import registry
-from linden.plans import lookup, records, search, stats  # noqa: F401
+from linden.plans import code, lookup, records, search, stats  # noqa: F401
 
 QUERIES = registry.QUERIES
 ORACLE = registry.ORACLE
