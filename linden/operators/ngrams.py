@@ -91,6 +91,13 @@ def token_counts(lines_df: DataFrame, trigrams: DataFrame | None = None) -> Data
     return tri.groupBy("t0").agg(F.sum("n").alias("n"))
 
 
+def unigram_counts(tokens: DataFrame) -> DataFrame:
+    """(t0, n) straight from a token table: every statistic token is one
+    unigram, so no context is needed."""
+    keep = (F.col("kind").isin(*lx.STAT_KINDS)) & (F.length("t") <= lx.STAT_MAX_LEN)
+    return tokens.where(keep).groupBy(F.col("t").alias("t0")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def prune(counts: DataFrame, ratio: float) -> DataFrame:
     """Keep rows with ``n > max(n) * ratio`` (strict).  The maximum is a
     scalar subquery: one extra aggregation job, no join."""
