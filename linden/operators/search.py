@@ -62,8 +62,9 @@ def escape_regex_col(c: Column) -> Column:
     return F.regexp_replace(c, r"([.*+?^${}()|\[\]\\/-])", r"\\$1")
 
 
-def find_matches(lines: DataFrame, pattern: str) -> DataFrame:
-    """(doc_id, line, start, end, match) for every match of ``pattern``."""
+def find_matches(lines: DataFrame, pattern: str, with_index: bool = False) -> DataFrame:
+    """(doc_id, line, start, end, match) for every match of ``pattern``
+    (plus ``i``, the match number within the line, when ``with_index``)."""
     pat = F.lit(pattern)
     hit = lines.where(F.col("text").rlike(pattern))  # cheap prefilter
     d = hit.select(
@@ -79,7 +80,10 @@ def find_matches(lines: DataFrame, pattern: str) -> DataFrame:
     w = Window.partitionBy("doc_id", "line").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     run = F.sum(F.col("_g") + F.length("match")).over(w)
     d = d.withColumn("start", (run - F.length("match")).cast("int"))
-    return d.select("doc_id", "line", "start", (F.col("start") + F.length("match")).alias("end"), "match")
+    cols = ["doc_id", "line", "start", (F.col("start") + F.length("match")).alias("end"), "match"]
+    if with_index:
+        cols.append(F.col("i").cast("int").alias("i"))
+    return d.select(*cols)
 
 
 def highlight(text: Column, start: Column, end: Column) -> Column:

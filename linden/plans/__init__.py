@@ -1,7 +1,7 @@
 """Named queries.  Importing this package registers every query."""
 
 from linden.plans import registry
-from linden.plans import attributes, code, lookup, paths, ranking, records, search, similarity, spelling, stats  # noqa: F401
+from linden.plans import attributes, code, features, lookup, paths, ranking, records, search, similarity, spelling, stats  # noqa: F401
 
 QUERIES = registry.QUERIES
 ORACLE = registry.ORACLE

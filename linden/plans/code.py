@@ -130,7 +130,7 @@ def prev_line_end(spark, sf):
     return code.prev_line_end(doc_lines(spark, sf))
 
 
-@register("imports", q.with_(q.LINES, q.CODE_LINES) + """
+IMPORTS_CTE = """imps AS (
 SELECT doc_id, line, i, CASE WHEN prefix <> '' THEN prefix || '.' || m ELSE m END AS module FROM (
   SELECT doc_id, line, prefix, CAST(generate_subscripts(ms, 1) - 1 AS INTEGER) AS i, trim(unnest(ms)) AS m FROM (
     SELECT doc_id, line, regexp_extract(text, '^\\s*from\\s+(\\S+)\\s+import\\s', 1) AS prefix,
@@ -138,7 +138,10 @@ SELECT doc_id, line, i, CASE WHEN prefix <> '' THEN prefix || '.' || m ELSE m EN
     FROM code_lines WHERE regexp_matches(text, '^\\s*(from|import)\\s')
   )
 ) WHERE m <> '' AND NOT starts_with(m, '.') AND NOT starts_with(prefix, '.')
-""")
+)"""
+
+
+@register("imports", q.with_(q.LINES, q.CODE_LINES, IMPORTS_CTE) + "SELECT doc_id, line, i, module FROM imps")
 def imports(spark, sf):
     return code.imports(code_lines(spark, sf))
 
