@@ -114,8 +114,16 @@ def all_statistics(lines_df: DataFrame) -> dict[str, DataFrame]:
     }
 
 
-def pruned_statistics(lines_df: DataFrame) -> dict[str, DataFrame]:
-    s = all_statistics(lines_df)
+def pruned_statistics(lines_df: DataFrame, materialize: bool = False) -> dict[str, DataFrame]:
+    """Pruned token / bigram / trigram tables.  With ``materialize`` the
+    trigram counts are written once and the three tables (and the three
+    maxima) are derived from the written table."""
+    if materialize:
+        from linden.session import materialize as write_once
+        tri = write_once(trigram_counts(lines_df), "trigram-counts")
+        s = {"token": token_counts(lines_df, tri), "bigram": bigram_counts(lines_df, tri), "trigram": tri}
+    else:
+        s = all_statistics(lines_df)
     return {
         "token": prune(s["token"], lx.PRUNE_RATIO_TOKEN),
         "bigram": prune(s["bigram"], lx.PRUNE_RATIO_BIGRAM),

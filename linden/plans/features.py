@@ -14,6 +14,8 @@ from linden.plans import sql as q
 from linden.plans.common import code_lines, code_tokens
 from linden.plans.registry import register
 from linden.plans.search import _MATCH_SQL
+from linden.session import materialize
+from linden.sources import views
 
 WS = "' ' || chr(9)"
 
@@ -161,13 +163,19 @@ LEFT JOIN pbi pb ON pb.t1 = r.t1 AND pb.t0 = r.c
 LEFT JOIN ptri pt ON pt.t2 = r.t2 AND pt.t1 = r.t1 AND pt.t0 = r.c"""
 
 
-def completion_frame(spark, sf):
-    lines = code_lines(spark, sf)
-    t = code_tokens(spark, sf)
+def _inputs(spark, sf):
+    """Code lines and their tokens, written once: every feature branch reads
+    them (candidates, context, postings, statistics, name classes)."""
+    lines = materialize(code_lines(spark, sf), "code-lines")
+    return lines, views.tokens(lines)
+
+
+def completion_frame(spark, sf, inputs=None):
+    lines, t = inputs or _inputs(spark, sf)
     cands = cd.candidates(t)
     ctx_rows = ft.positions_with_context(lines, cd.positions(t).select(*ft.GROUP, "t"))
     context = ngrams.token_context(lines)
-    stats = ngrams.pruned_statistics(lines)
+    stats = ngrams.pruned_statistics(lines, materialize=True)
     return ft.completion_features(cands, lines, t, context, stats, ctx_rows)
 
 
@@ -184,9 +192,12 @@ def similarity_features(spark, sf):
 
 def feature_matrix_frame(spark, sf):
     """Candidates with every completion feature and the context features of
-    their position (joined on the group key)."""
-    comp = completion_frame(spark, sf)
-    ctx = ft.context_features(_ctx_rows(spark, sf))
+    their position (joined on the group key: computed once per position)."""
+    inputs = _inputs(spark, sf)
+    lines, t = inputs
+    comp = completion_frame(spark, sf, inputs)
+    pos = cd.positions(t).select(*ft.GROUP, "t")
+    ctx = ft.context_features(ft.positions_with_context(lines, pos))
     return comp.join(ctx, ft.GROUP)
 
 

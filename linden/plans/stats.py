@@ -71,13 +71,16 @@ _PRUNE_SQL = q.with_(q.LINES, q.TOKENS, q.STAT, q.NGRAMS, """tri AS (
     """uni AS (SELECT t0, CAST(sum(n) AS BIGINT) AS n FROM tri GROUP BY t0)""")
 
 
-@register("prune_counts", _PRUNE_SQL + f"""
+PRUNE_SQL = _PRUNE_SQL + f"""
 SELECT 'trigram' AS gram, t2, t1, t0, n FROM tri WHERE n > (SELECT max(n) FROM tri) * {lx.PRUNE_RATIO_TRIGRAM}
 UNION ALL
 SELECT 'bigram' AS gram, '' AS t2, t1, t0, n FROM bi WHERE n > (SELECT max(n) FROM bi) * {lx.PRUNE_RATIO_BIGRAM}
 UNION ALL
 SELECT 'token' AS gram, '' AS t2, '' AS t1, t0, n FROM uni WHERE n > (SELECT max(n) FROM uni) * {lx.PRUNE_RATIO_TOKEN}
-""")
+"""
+
+
+@register("prune_counts", PRUNE_SQL)
 def prune_counts(spark, sf):
     p = ngrams.pruned_statistics(doc_lines(spark, sf))
     e = F.lit("")

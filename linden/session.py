@@ -68,3 +68,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     tables (lineage cuts that must survive executor loss)."""
     base = ensure_checkpoint_dir(spark)
     return f"{base.rstrip('/')}/{name}"
+
+
+def materialize(df, name: str):
+    """Cut lineage by writing ``df`` once as parquet under the shared
+    checkpoint folder and reading it back.  Every later branch of the plan
+    scans the written table instead of recomputing its inputs, and a lost
+    executor re-reads files rather than replaying the whole lineage."""
+    import uuid
+
+    spark = df.sparkSession
+    path = scratch_path(spark, f"{name}-{uuid.uuid4().hex[:12]}")
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
