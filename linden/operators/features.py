@@ -270,9 +270,31 @@ for _m in ("token_frequency", "bigram_frequency", "trigram_frequency"):
 SIMILARITY_FEATURES = (
     "first_token_ratio", "first_token_partial_ratio", "last_line_first_token_ratio",
     "last_line_first_token_partial_ratio", "last_line_all_token_ratio",
+    "signature_parameter_ratio", "signature_parameter_partial_ratio", "function_ratio", "function_partial_ratio",
 )
 
 
+def active_argument(head: Column) -> Column:
+    """Index of the argument being typed inside the innermost open call of
+    ``head``: top-level commas after its ``(``; null outside a call."""
+    chars = F.split(head, "", -1)
+    st = F.aggregate(
+        F.transform(chars, lambda ch, i: F.struct(ch.alias("c"), i.alias("i"))),
+        F.struct(F.array().cast("array<int>").alias("open"), F.array().cast("array<int>").alias("commas")),
+        lambda acc, x: F.when(x["c"] == "(", F.struct(F.concat(acc["open"], F.array(x["i"])).alias("open"),
+                                                      F.concat(acc["commas"], F.array(F.lit(0))).alias("commas")))
+        .when((x["c"] == ")") & (F.size(acc["open"]) > 0),
+              F.struct(F.slice(acc["open"], 1, F.greatest(F.size(acc["open"]) - 1, F.lit(0))).alias("open"),
+                       F.slice(acc["commas"], 1, F.greatest(F.size(acc["commas"]) - 1, F.lit(0))).alias("commas")))
+        .when((x["c"] == ",") & (F.size(acc["open"]) > 0),
+              F.struct(acc["open"].alias("open"),
+                       F.concat(F.slice(acc["commas"], 1, F.greatest(F.size(acc["commas"]) - 1, F.lit(0))),
+                                F.array(F.get(acc["commas"], F.size(acc["commas"]) - 1) + 1)).alias("commas")))
+        .otherwise(acc),
+    )
+    return F.get(st["commas"], F.size(st["commas"]) - 1)
+
+
 def completion_features(cands: DataFrame, lines: DataFrame, tokens: DataFrame, context: DataFrame,
                         stats: dict[str, DataFrame], ctx_rows: DataFrame) -> DataFrame:
     """One row per candidate with every registered completion feature.
@@ -316,7 +338,8 @@ def completion_features(cands: DataFrame, lines: DataFrame, tokens: DataFrame, c
     return q.select(*GROUP, "c", "y", *cols)
 
 
-def similarity_features(cands: DataFrame, tokens: DataFrame) -> DataFrame:
+def similarity_features(cands: DataFrame, tokens: DataFrame, ctx_rows: DataFrame | None = None,
+                        params: DataFrame | None = None, defs: DataFrame | None = None) -> DataFrame:
     """Ratio features against the first NAME/STRING token before the cursor
     on the current line (-1 if none), the previous line's first NAME/STRING
     token ('' if none; -1 for line 0) and the best ratio over the previous
@@ -330,6 +353,21 @@ def similarity_features(cands: DataFrame, tokens: DataFrame) -> DataFrame:
         .where(F.col("a.pos") < F.col("b.pos")).groupBy("doc_id", "line", F.col("b.pos").alias("pos")) \
         .agg(F.min_by("t", F.col("a.pos")).alias("cur_first"))
     d = cands.join(cur_first, GROUP, "left").join(prev, ["doc_id", "line"], "left")
+    if ctx_rows is not None:
+        d = d.join(ctx_rows.select(*GROUP, "call", active_argument(F.col("head")).alias("arg")), GROUP, "left")
+    else:
+        d = d.withColumn("call", F.lit("")).withColumn("arg", F.lit(None).cast("int"))
+    if params is not None and defs is not None:
+        # The callee's parameters: the first def of that name in the document.
+        first_def = defs.where(F.col("kind") != "class").groupBy("doc_id", F.col("name").alias("call")).agg(
+            F.min("line").alias("def_line"))
+        plist = params.groupBy("doc_id", F.col("line").alias("def_line")).agg(
+            F.sort_array(F.collect_list(F.struct("i", "param"))).alias("plist"))
+        callee = first_def.join(plist, ["doc_id", "def_line"], "left")
+        d = d.join(callee.select("doc_id", "call", F.coalesce("plist", F.array().cast(
+            "array<struct<i:int,param:string>>")).alias("plist")), ["doc_id", "call"], "left")
+    else:
+        d = d.withColumn("plist", F.lit(None).cast("array<struct<i:int,param:string>>"))
     c = F.col("c")
     pf = F.coalesce(F.col("prev_first"), F.lit(""))
     no_prev = F.col("line") == 0
@@ -343,4 +381,18 @@ def similarity_features(cands: DataFrame, tokens: DataFrame) -> DataFrame:
             "last_line_first_token_partial_ratio"),
         F.when(no_prev | F.col("prev_all").isNull(), F.lit(-1)).otherwise(
             F.array_max(F.transform("prev_all", lambda t: sim.ratio(t, c)))).alias("last_line_all_token_ratio"),
+        *_signature_cols(c),
     )
+
+
+def _signature_cols(c: Column) -> list[Column]:
+    no_call = (F.coalesce(F.col("call"), F.lit("")) == "") | F.col("plist").isNull()
+    param = F.get(F.col("plist"), F.col("arg"))["param"]
+    sig = lambda f: F.when(no_call, F.lit(-1)).when(param.isNull(), F.lit(-2)).otherwise(f)
+    has_call = F.coalesce(F.col("call"), F.lit("")) != ""
+    return [
+        sig(sim.ratio(c, param)).alias("signature_parameter_ratio"),
+        sig(sim.partial_ratio(F.lower(c), F.lower(param))).alias("signature_parameter_partial_ratio"),
+        F.when(has_call, sim.ratio(c, F.col("call"))).otherwise(F.lit(-1)).alias("function_ratio"),
+        F.when(has_call, sim.partial_ratio(c, F.col("call"))).otherwise(F.lit(-1)).alias("function_partial_ratio"),
+    ]

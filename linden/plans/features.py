@@ -184,10 +184,16 @@ def completion_features(spark, sf):
     return completion_frame(spark, sf)
 
 
+def similarity_frame(spark, sf, inputs=None):
+    from linden.operators import blocks, code
+    lines, t = inputs or _inputs(spark, sf)
+    ctx_rows = ft.positions_with_context(lines, cd.positions(t).select(*ft.GROUP, "t"))
+    return ft.similarity_features(cd.candidates(t), t, ctx_rows, blocks.signature_params(lines), code.outline(lines))
+
+
 @register("similarity_features")
 def similarity_features(spark, sf):
-    t = code_tokens(spark, sf)
-    return ft.similarity_features(cd.candidates(t), t)
+    return similarity_frame(spark, sf)
 
 
 def feature_matrix_frame(spark, sf):
@@ -196,9 +202,10 @@ def feature_matrix_frame(spark, sf):
     inputs = _inputs(spark, sf)
     lines, t = inputs
     comp = completion_frame(spark, sf, inputs)
+    simf = similarity_frame(spark, sf, inputs)
     pos = cd.positions(t).select(*ft.GROUP, "t")
     ctx = ft.context_features(ft.positions_with_context(lines, pos))
-    return comp.join(ctx, ft.GROUP)
+    return comp.join(simf, [*ft.GROUP, "c"]).join(ctx, ft.GROUP)
 
 
 @register("feature_matrix")
