@@ -1,7 +1,7 @@
 """Named queries.  Importing this package registers every query."""
 
 from linden.plans import registry
-from linden.plans import attributes, blocks, code, features, learning, lookup, paths, ranking, records, search, similarity, spelling, stats, streaming  # noqa: F401
+from linden.plans import attributes, blocks, code, features, learning, lookup, paths, ranking, records, retrieve, search, similarity, spelling, stats, streaming  # noqa: F401
 
 QUERIES = registry.QUERIES
 ORACLE = registry.ORACLE
