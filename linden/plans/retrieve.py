@@ -101,3 +101,42 @@ def rank_candidates(spark, sf):
     t = code_tokens(spark, sf)
     scored = cd.frequency_scored(cd.candidates(t), ngrams.unigram_counts(t))
     return rt.rank_candidates(scored, F.substring("t", 1, 1))
+
+
+_CHECKS = " AND ".join(f"(regexp_matches(s, {q.lit(rx)}) = regexp_matches(cur_text, {q.lit(rx)}))"
+                       for rx in rt.CONSISTENCY_CHECKS)
+_END = """(SELECT CASE WHEN r.p >= 0 THEN r.p ELSE length(s) END FROM (SELECT list_reduce(
+  list_transform(range(0, length(s)), lambda i: {'c': substr(s, i + 1, 1), 'i': CAST(i AS INTEGER)}),
+  lambda acc, x: CASE WHEN acc.p >= 0 OR x.i < idx THEN acc
+    WHEN x.c IN ('(', '[', '{') THEN {'st': list_append(acc.st, CASE x.c WHEN '(' THEN ')' WHEN '[' THEN ']' ELSE '}' END), 'p': acc.p}
+    WHEN coalesce(x.c = acc.st[-1], false) THEN {'st': acc.st[1:len(acc.st) - 1], 'p': acc.p}
+    WHEN len(acc.st) = 0 AND contains(',)]}', x.c) THEN {'st': acc.st, 'p': x.i}
+    ELSE acc END, {'st': []::VARCHAR[], 'p': -1}) AS r))"""
+
+
+@register("full_statement", q.with_(*ranking.BASE[:4], """q AS (
+  SELECT p.doc_id, p.line, p.pos, p.t, c.text AS cur_text, o.k, p.line + o.d AS source_line
+  FROM pos p JOIN code_lines c ON c.doc_id = p.doc_id AND c.line = p.line,
+  (SELECT CAST(generate_subscripts(ds, 1) - 1 AS INTEGER) AS k, unnest(ds) AS d
+   FROM (SELECT list_concat(""" + ", ".join(f"[-{j}, {j}]" for j in range(1, rt.STATEMENT_SCAN + 1)) + """) AS ds)) o
+)""", """j AS (
+  SELECT q.*, l.text AS s, strpos(l.text, q.t) - 1 AS idx, strpos(l.text, '#') - 1 AS hash_at
+  FROM q JOIN code_lines l ON l.doc_id = q.doc_id AND l.line = q.source_line
+)""", f"""hits AS (
+  SELECT * FROM j WHERE idx >= 0 AND NOT (hash_at >= 0 AND idx > hash_at)
+    AND NOT (idx > 0 AND regexp_matches(substr(s, idx, 1), '^[A-Za-z0-9_]$'))
+    AND NOT regexp_matches(s, {q.lit(rt.IMPORT_CHECK)}) AND {_CHECKS}
+    AND (length(substr(s, 1, idx)) - length(regexp_replace(substr(s, 1, idx), '["'']', '', 'g'))) % 2 = 0
+    AND length(t) + idx + 1 < length(s)
+)""", """best AS (
+  SELECT doc_id, line, pos, t, arg_min({'source_line': source_line, 's': s, 'idx': idx}, k) AS b FROM hits GROUP BY 1, 2, 3, 4
+)""") + """
+SELECT doc_id, line, pos, t, b.source_line AS source_line,
+  substr(b.s, b.idx + 1, """ + _END.replace("length(s)", "length(b.s)").replace("substr(s,", "substr(b.s,")
+    .replace("x.i < idx", "x.i < b.idx") + """ - b.idx) AS statement
+FROM best
+""")
+def full_statement(spark, sf):
+    from linden.plans.common import code_lines
+    t = code_tokens(spark, sf)
+    return rt.full_statement(cd.positions(t).select("doc_id", "line", "pos", "t"), code_lines(spark, sf))
