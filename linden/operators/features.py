@@ -52,9 +52,37 @@ CALL_NAME = r"([\p{L}_][\p{L}\p{N}_]*)\s*$"
 # registry: name -> Column builder, in registration order (= column order)
 
 class FeatureRegistry:
+    """Feature generators (name -> Column builder) and context preprocessors
+    (DataFrame -> DataFrame stages applied before the generators).  A
+    normalised feature is scaled per group after generation; context features
+    cannot be normalised (they are constant within a group)."""
+
     def __init__(self):
         self.context: dict[str, Callable[[], Column]] = {}
         self.completion: dict[str, Callable[[], Column]] = {}
+        self.normalized: list[str] = []
+        self.preprocessors: list[Callable[[DataFrame], DataFrame]] = []
+
+    def register(self, name: str, is_context: bool = False, normalized: bool = False):
+        if is_context and normalized:
+            raise ValueError("context features cannot be normalized")
+        target = self.context if is_context else self.completion
+
+        def deco(fn):
+            target[name] = fn
+            if normalized:
+                self.normalized.append(name)
+            return fn
+        return deco
+
+    def preprocessor(self, fn: Callable[[DataFrame], DataFrame]):
+        self.preprocessors.append(fn)
+        return fn
+
+    def prepare(self, df: DataFrame) -> DataFrame:
+        for fn in self.preprocessors:
+            df = fn(df)
+        return df
 
     def context_feature(self, name: str):
         def deco(fn):
