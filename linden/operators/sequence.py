@@ -51,6 +51,10 @@ def carry_last(df: DataFrame, value: Column, out: str, *, key="doc_id",
     )
     w_b = Window.partitionBy(*keys).orderBy(blk).rowsBetween(Window.unboundedPreceding, -1)
     carry = summary.select(*keys, blk, F.last("_cl_blast", ignorenulls=True).over(w_b).alias("_cl_in"))
+    # Only blocks that receive a value from an earlier block need the join;
+    # for keys that live in one block this side is empty, so the join back
+    # is cheap (AQE broadcasts it when small) instead of a second full shuffle.
+    carry = carry.where(F.col("_cl_in").isNotNull())
     return (
         d.join(carry, [*keys, blk], "left")
         .withColumn(out, F.coalesce(F.col("_cl_local"), F.col("_cl_in")))
