@@ -5,8 +5,9 @@ most 30 characters; skipped tokens do not advance the window, and there is no
 marker at line breaks.  ``''`` stands for "before the first token".
 
 Plan shape: tokens stay in per-line arrays (no token-level shuffle); the two
-tokens carried into a line from earlier lines come from two blocked look-backs
-(``sequence.carry_last``), so no task holds a whole document.  Trigram counts
+tokens carried into a line from earlier lines come from a two-row window
+inside blocks of lines plus a per-block summary, so no task holds a whole
+document.  Trigram counts
 are the only big aggregation (partial aggregation happens before the shuffle);
 bigram and unigram counts roll up from the trigram table, because every token
 occurrence yields exactly one trigram, one bigram and one unigram.
@@ -18,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linden.functions import lexicon as lx
-from linden.operators.sequence import carry_last, shift_lines
+from linden.operators.sequence import shift_lines
 from linden.sources.views import line_tokens
 
 
@@ -36,26 +37,45 @@ def stat_token_arrays(lines_df: DataFrame) -> DataFrame:
     return lines_df.select("doc_id", "line", ft.alias("ft"))
 
 
-def with_carry(arrays: DataFrame) -> DataFrame:
-    """Add c1, c2: the last and second-last statistic tokens before the line
-    in the whole-document stream (null when there are none)."""
-    n = F.size("ft")
-    last_tok = F.get(F.col("ft"), n - 1)["t"]
-    d = carry_last(arrays, last_tok, "_prev_last")
-    # End state of a non-empty line: its last token and the one before it.
-    second = F.coalesce(F.get(F.col("ft"), n - 2)["t"], F.col("_prev_last"))
-    end_state = F.when(n > 0, F.struct(last_tok.alias("a"), second.alias("b")))
-    d = carry_last(d, end_state, "_carry")
-    return d.select("doc_id", "line", "ft",
-                    F.col("_carry")["a"].alias("c1"), F.col("_carry")["b"].alias("c2"))
-
-
-def ngram_rows(lines_df: DataFrame) -> DataFrame:
+def _last_two(arr: Column) -> Column:
+    """The last two elements of an array (all of it when shorter)."""
+    return F.slice(arr, F.greatest(F.size(arr) - 1, F.lit(1)), 2)
+
+
+def with_carry(arrays: DataFrame, block: int = 2048) -> DataFrame:
+    """Non-empty lines with c1, c2: the last and second-last statistic tokens
+    before the line in the whole-document stream (null when there are none).
+
+    Each non-empty line holds at least one token, so the two tokens before a
+    line come from the two previous non-empty lines: a window frame of two
+    rows inside blocks of ``block`` lines, plus -- for the first rows of a
+    block -- the last two tokens of the two previous blocks (a window over
+    one summary row per block).  One shuffle of the line rows; no task sees
+    more than one block."""
+    toks = F.transform("ft", lambda s: s["t"])
+    ne = arrays.where(F.size("ft") > 0).select(
+        "doc_id", "line", "ft", _last_two(toks).alias("lt"),
+        F.floor(F.col("line") / block).alias("_blk"))
+    w_in = Window.partitionBy("doc_id", "_blk").orderBy("line").rowsBetween(-2, -1)
+    ne = ne.withColumn("_p_in", F.flatten(F.collect_list("lt").over(w_in)))
+    rows = F.sort_array(F.collect_list(F.struct("line", "lt")))
+    summary = ne.groupBy("doc_id", "_blk").agg(_last_two(rows).alias("_tail"))
+    summary = summary.select("doc_id", "_blk", F.flatten(F.transform("_tail", lambda x: x["lt"])).alias("_tail"))
+    w_b = Window.partitionBy("doc_id").orderBy("_blk").rowsBetween(-2, -1)
+    carry = summary.select("doc_id", "_blk", F.flatten(F.collect_list("_tail").over(w_b)).alias("_cin")) \
+        .where(F.size("_cin") > 0)
+    d = ne.join(carry, ["doc_id", "_blk"], "left")
+    before = F.concat(F.coalesce(F.col("_cin"), F.array().cast("array<string>")), F.col("_p_in"))
+    n = F.size(before)
+    return d.select("doc_id", "line", "ft", F.get(before, n - 1).alias("c1"), F.get(before, n - 2).alias("c2"))
+
+
+def ngram_rows(lines_df: DataFrame, block: int = 2048) -> DataFrame:
     """(doc_id, line, pos, t2, t1, t0): one row per statistic token.
 
     The context arrays are shifted slices zipped together, so the work per
     line is linear in its token count."""
-    d = with_carry(stat_token_arrays(lines_df))
+    d = with_carry(stat_token_arrays(lines_df), block)
     d = d.select(
         "doc_id", "line",
         F.transform("ft", lambda s: s["pos"]).alias("pos"),
