@@ -102,7 +102,7 @@ def feature_store(spark, sf):
 
 @register("stats_roundtrip", splans.PRUNE_SQL)
 def stats_roundtrip(spark, sf):
-    p = ngrams.pruned_statistics(doc_lines(spark, sf))
+    p = ngrams.pruned_statistics(doc_lines(spark, sf), materialize=True)
     base = scratch_path(spark, "statistics")
     for name, df in p.items():
         df.write.mode("overwrite").parquet(f"{base}/{name}")

@@ -131,4 +131,4 @@ LEFT JOIN ptri r ON r.t2 = c.t2 AND r.t1 = c.t1 AND r.t0 = c.t0
 """)
 def ngram_lookup(spark, sf):
     lines = doc_lines(spark, sf)
-    return lookup.ngram_lookup(ngrams.token_context(lines), ngrams.pruned_statistics(lines))
+    return lookup.ngram_lookup(ngrams.token_context(lines), ngrams.pruned_statistics(lines, materialize=True))

@@ -82,7 +82,7 @@ SELECT 'token' AS gram, '' AS t2, '' AS t1, t0, n FROM uni WHERE n > (SELECT max
 
 @register("prune_counts", PRUNE_SQL)
 def prune_counts(spark, sf):
-    p = ngrams.pruned_statistics(doc_lines(spark, sf))
+    p = ngrams.pruned_statistics(doc_lines(spark, sf), materialize=True)
     e = F.lit("")
     return (
         p["trigram"].select(F.lit("trigram").alias("gram"), "t2", "t1", "t0", "n")
