@@ -49,12 +49,25 @@ def coalesce_latest(reqs: DataFrame, key: str, ts: str, seq: str, every: str = "
     )
 
 
+# --- fixed values: event-time blocks for per-key look-backs --------------------------
+EVENT_BLOCK_MICROS = 3_600_000_000  # one hour
+
+
+def previous_item(df: DataFrame, key: str, item: str, ts: str, seq: str, out: str = "_prev") -> DataFrame:
+    """``out`` = ``item`` of the previous event of the same key in (ts, seq)
+    order.  A blocked look-back over hourly event-time blocks, so one very
+    active key is spread over its hours instead of one task."""
+    from linden.operators.sequence import carry_last
+
+    block = F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / F.lit(EVENT_BLOCK_MICROS))
+    return carry_last(df, F.col(item), out, key=key, order=[ts, seq], block_col=block)
+
+
 def recent_n(df: DataFrame, key: str, item: str, ts: str, seq: str, n: int = 10) -> DataFrame:
     """Newest-first list of the last ``n`` pushes per key, where a push equal
     to the previous one is ignored.  (rank 1 = newest).  The top-n filter is
     planned as a partial group limit before the shuffle."""
-    w = Window.partitionBy(key).orderBy(ts, seq)
-    d = df.withColumn("_prev", F.lag(item).over(w)).where(
+    d = previous_item(df, key, item, ts, seq).where(
         F.col("_prev").isNull() | (F.col("_prev") != F.col(item)))
     wr = Window.partitionBy(key).orderBy(F.col(ts).desc(), F.col(seq).desc())
     return d.withColumn("rank", F.row_number().over(wr)).where(F.col("rank") <= n).drop("_prev")

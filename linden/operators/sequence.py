@@ -30,24 +30,29 @@ def carry_last(df: DataFrame, value: Column, out: str, *, key="doc_id",
     ``order`` (``<=`` when ``inclusive``) in the same ``key`` (a column name
     or a list of names).
 
-    ``order`` must be unique within ``key`` and integral.  ``block_col``
-    overrides the block id (it must be non-decreasing in ``order``), e.g.
-    ``floor(line / 2048)`` when ``order`` packs (line, pos).
+    ``order`` must be unique within ``key``: one integral column, or a list
+    of columns compared in order (then ``block_col`` is required).
+    ``block_col`` overrides the block id (it must be non-decreasing in
+    ``order``), e.g. ``floor(line / 2048)`` when ``order`` packs (line, pos),
+    or a time bucket for event streams.
     """
     keys = [key] if isinstance(key, str) else list(key)
+    orders = [order] if isinstance(order, str) else list(order)
+    if len(orders) > 1 and block_col is None:
+        raise ValueError("block_col is required with a composite order")
     blk = "_cl_blk"
     val = "_cl_val"
-    bcol = block_col if block_col is not None else F.floor(F.col(order) / block)
+    bcol = block_col if block_col is not None else F.floor(F.col(orders[0]) / block)
     d = df.withColumn(blk, bcol).withColumn(val, value)
     end = 0 if inclusive else -1
-    w_in = Window.partitionBy(*keys, blk).orderBy(order).rowsBetween(Window.unboundedPreceding, end)
+    w_in = Window.partitionBy(*keys, blk).orderBy(*orders).rowsBetween(Window.unboundedPreceding, end)
     d = d.withColumn("_cl_local", F.last(val, ignorenulls=True).over(w_in))
 
     # The block summary is read from the windowed rows, which are already
     # hash-partitioned by (key, block): no extra shuffle for the groupBy.
     summary = (
         d.groupBy(*keys, blk)
-        .agg(F.max_by(F.col(val), F.when(F.col(val).isNotNull(), F.col(order))).alias("_cl_blast"))
+        .agg(F.max_by(F.col(val), F.when(F.col(val).isNotNull(), F.struct(*orders))).alias("_cl_blast"))
     )
     w_b = Window.partitionBy(*keys).orderBy(blk).rowsBetween(Window.unboundedPreceding, -1)
     carry = summary.select(*keys, blk, F.last("_cl_blast", ignorenulls=True).over(w_b).alias("_cl_in"))

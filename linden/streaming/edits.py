@@ -50,11 +50,16 @@ def edit_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dirty_edits(batch: DataFrame, state: DataFrame, base: DataFrame) -> DataFrame:
     """(doc_id, line, seq, text, dirty) for every edit of a batch that targets
     an existing line.  ``state`` / ``base``: (doc_id, line, text)."""
+    from linden.operators.sequence import carry_last
+
     known = base.select("doc_id", "line", F.col("text").alias("_base"))
     cur = state.select("doc_id", "line", F.col("text").alias("_state"))
     b = batch.join(known, ["doc_id", "line"]).join(cur, ["doc_id", "line"], "left")
-    w = Window.partitionBy("doc_id", "line").orderBy("ts", "seq")
-    before = F.coalesce(F.lag("text").over(w), F.col("_state"), F.col("_base"))
+    # Previous edit of the same line: blocked by event hour, so a line edited
+    # very often is not one task.
+    hour = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(3_600_000_000))
+    b = carry_last(b, F.col("text"), "_prev_edit", key=["doc_id", "line"], order=["ts", "seq"], block_col=hour)
+    before = F.coalesce(F.col("_prev_edit"), F.col("_state"), F.col("_base"))
     return b.select("doc_id", "line", "seq", "ts", "text", (F.col("text") != before).alias("dirty"))
 
 
