@@ -105,10 +105,17 @@ def _ord(line: Column, pos: Column, sub: Column) -> Column:
     return F.struct(line.alias("l"), pos.alias("p"), sub.alias("s"))
 
 
-def spelling(tokens: DataFrame, dictionary: DataFrame) -> DataFrame:
+def spelling(tokens: DataFrame, dictionary: DataFrame, materialize: bool = True) -> DataFrame:
     """(doc_id, line, pos, token, highlighted): identifiers (and string /
-    comment words) with at least one unknown word, reported once."""
+    comment words) with at least one unknown word, reported once.
+
+    The check events feed five branches (imports, names, string words, first
+    positions, words); with ``materialize`` they are written once to the
+    shared checkpoint folder instead of being recomputed per branch."""
     ev = check_events(scope_flags(tokens))
+    if materialize:
+        from linden.session import materialize as write_once
+        ev = write_once(ev, "spell-events")
     dict_words = dictionary.select("w").distinct()
     prefixes = dct.dictionary_prefixes(dictionary).withColumnRenamed("prefix", "w")
 

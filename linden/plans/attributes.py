@@ -6,6 +6,7 @@ from linden.operators import attributes as at
 from linden.plans import sql as q
 from linden.plans.common import code_lines
 from linden.plans.registry import register
+from linden.session import materialize
 
 PAIRS = f"""src AS (SELECT doc_id, line, text FROM code_lines WHERE contains(text, '.')),
 r AS (
@@ -39,7 +40,9 @@ co AS (SELECT DISTINCT x.doc_id, x.attr, y.attr AS attr2 FROM p x JOIN p y ON x.
 SELECT DISTINCT p.doc_id, p.name, co.attr2 AS attr FROM p JOIN co ON p.doc_id = co.doc_id AND p.attr = co.attr
 """)
 def infer_attributes(spark, sf):
-    return at.infer_attributes(_pairs(spark, sf))
+    # The pair table is read three times (both sides of the co-occurrence
+    # join and the final join): written once.
+    return at.infer_attributes(materialize(_pairs(spark, sf), "attr-pairs"))
 
 
 @register("type_attr_maps", RECURSIVE + """,

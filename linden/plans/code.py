@@ -10,6 +10,7 @@ from linden.operators import code
 from linden.plans import sql as q
 from linden.plans.common import code_lines, doc_lines
 from linden.plans.registry import register
+from linden.session import materialize
 from linden.sources.views import line_tokens
 
 P = q.lit(code.OUTLINE_PATTERN)
@@ -37,7 +38,9 @@ def _outline(spark, sf):
 
 
 def _parented(spark, sf):
-    items = _outline(spark, sf)
+    # Outline rows are read by the level probe and by every per-level
+    # look-back: written once.
+    items = materialize(_outline(spark, sf), "outline")
     # Distinct indentation levels: a tiny aggregate (bounded by line width).
     levels = [r[0] for r in items.select("level").distinct().collect()]
     return code.outline_parent(items, levels)

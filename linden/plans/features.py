@@ -62,9 +62,9 @@ CONTEXT_SQL = q.with_(*ranking.BASE[:5], code_plans.INDENTS, STARTS, CTX_ROWS) +
 
 
 def _ctx_rows(spark, sf):
-    t = code_tokens(spark, sf)
+    lines, t = _inputs(spark, sf)
     pos = cd.positions(t).select(*ft.GROUP, "t")
-    return ft.positions_with_context(code_lines(spark, sf), pos)
+    return ft.positions_with_context(lines, pos)
 
 
 @register("context_features", CONTEXT_SQL)

@@ -9,6 +9,7 @@ from linden.operators import ngrams
 from linden.plans import sql as q
 from linden.plans.common import code_tokens
 from linden.plans.registry import register
+from linden.session import materialize
 
 BASE = [q.LINES, q.CODE_LINES, q.CODE_TOKENS, """pos AS (
   SELECT doc_id, line, pos, t, substr(t, 1, 1) AS p FROM ctokens
@@ -34,7 +35,7 @@ def _cands(spark, sf):
 
 
 def _scored(spark, sf):
-    t = code_tokens(spark, sf)
+    t = materialize(code_tokens(spark, sf), "code-tokens")
     return cd.frequency_scored(cd.candidates(t), ngrams.unigram_counts(t))
 
 

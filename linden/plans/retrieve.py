@@ -13,6 +13,7 @@ from linden.plans import ranking
 from linden.plans import sql as q
 from linden.plans.common import code_tokens
 from linden.plans.registry import register
+from linden.session import materialize
 from linden.sources.tables import table
 
 SEG_SQL = """tot AS (SELECT CAST(sum(f) AS DOUBLE) AS n FROM vocab),
@@ -53,7 +54,8 @@ SELECT part, array_to_string(words, ' ') AS segmentation, CAST(len(words) AS INT
 def segment_words(spark, sf):
     t = code_tokens(spark, sf).where(F.col("kind") == lx.KIND_NAME)
     parts = t.select(F.explode(F.split("t", "_", -1)).alias("part"))
-    s = rt.segment_parts(parts, _vocab(spark, sf))
+    # The vocabulary is read twice (its total and the substring join).
+    s = rt.segment_parts(parts, materialize(_vocab(spark, sf), "vocabulary"))
     return s.select("part", F.array_join("words", " ").alias("segmentation"), F.size("words").alias("n_words"))
 
 
@@ -92,7 +94,9 @@ WHERE n.c <> '' AND (SELECT count(*) FROM dedup d WHERE d.doc_id = n.doc_id AND
   AND NOT EXISTS (SELECT 1 FROM dedup d WHERE d.doc_id = n.doc_id AND d.line = n.line AND d.pos = n.pos AND d.c = n.c)
 """)
 def extra_predictions(spark, sf):
-    t = code_tokens(spark, sf)
+    # The token table feeds the typed texts, the prefix index and the
+    # segmentation: written once, read by every branch.
+    t = materialize(code_tokens(spark, sf), "code-tokens")
     return rt.extra_predictions(cd.positions(t), t, _vocab(spark, sf))
 
 
