@@ -87,7 +87,7 @@ EXTRA_SQL = q.with_(q.VOCAB, *ranking.BASE[:4], """typed AS (
 
 
 @register("extra_predictions", EXTRA_SQL + """
-SELECT doc_id, line, pos, c, source, s FROM dedup
+SELECT doc_id, line, pos, c, source, CAST(s AS INTEGER) AS s FROM dedup
 UNION ALL
 SELECT n.doc_id, n.line, n.pos, n.c, 'word-segment' AS source, 1 AS s FROM snake n
 WHERE n.c <> '' AND (SELECT count(*) FROM dedup d WHERE d.doc_id = n.doc_id AND d.line = n.line AND d.pos = n.pos) < 6
