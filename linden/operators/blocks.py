@@ -147,8 +147,8 @@ def lint_rows(events: DataFrame) -> DataFrame:
     """Lint-like rows replayed from ``events``: (doc_id, line, col, seq, msg)."""
     return events.select(
         F.col("user_id").alias("doc_id"),
-        F.get_json_object("props", "$.k").cast("int").alias("line"),
-        F.floor("value").cast("int").alias("col"),
+        F.get_json_object("props", "$.k").try_cast("int").alias("line"),
+        F.floor("value").try_cast("int").alias("col"),
         F.col("event_id").alias("seq"),
         F.concat(F.col("event_type"), F.lit("\n"), F.col("props")).alias("msg"),
     )

@@ -117,7 +117,8 @@ def outcome_rollup(tokens: DataFrame, scored: DataFrame, score: str = "score") -
     )
     r = j.agg(*[F.count_if(outcome == k).alias(k) for k in ("correct", "wrong", "not_available", "not_required")])
     c, w, na = F.col("correct"), F.col("wrong"), F.col("not_available")
-    return r.select("*", F.round(c / (c + w), 9).alias("accuracy"), F.round(c / (c + w + na), 9).alias("success"))
+    return r.select("*", F.round(F.try_divide(c, c + w), 9).alias("accuracy"),
+                    F.round(F.try_divide(c, c + w + na), 9).alias("success"))
 
 
 def minmax_scale(scored: DataFrame, col: str, out: str) -> DataFrame:

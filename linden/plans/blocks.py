@@ -116,8 +116,8 @@ def first_tokens(spark, sf):
 @register("lint_order", """
 SELECT doc_id, line, col, seq, CASE WHEN i > 0 THEN substr(msg, 1, i) ELSE msg END AS title,
        CASE WHEN i > 0 THEN substr(msg, i + 2) ELSE '' END AS detail
-FROM (SELECT user_id AS doc_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS line,
-             CAST(floor(value) AS INTEGER) AS col, event_id AS seq, event_type || chr(10) || props AS msg,
+FROM (SELECT user_id AS doc_id, TRY_CAST(json_extract_string(props, '$.k') AS INTEGER) AS line,
+             TRY_CAST(floor(value) AS INTEGER) AS col, event_id AS seq, event_type || chr(10) || props AS msg,
              strpos(event_type || chr(10) || props, chr(10)) - 1 AS i FROM events)
 """)
 def lint_order(spark, sf):

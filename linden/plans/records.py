@@ -26,11 +26,11 @@ def _events(spark, sf):
 
 
 @register("json_source", """
-SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events
+SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events
 """)
 def json_source(spark, sf):
     e = _events(spark, sf)
-    return e.select("event_id", F.from_json("props", "k INT").getField("k").alias("k"))
+    return e.select("event_id", F.get_json_object("props", "$.k").try_cast("int").alias("k"))
 
 
 @register("kv_latest", """

@@ -74,7 +74,7 @@ CODE_LINES = f"""code_lines AS (
 CODE_TOKENS = tokens_over("code_lines", "ctokens")
 
 EDIT_LOG = """edit_log AS (
-  SELECT user_id AS doc_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS line,
+  SELECT user_id AS doc_id, TRY_CAST(json_extract_string(props, '$.k') AS INTEGER) AS line,
          event_type AS text, ts, event_id AS seq
   FROM events
 )"""

@@ -83,7 +83,7 @@ def edit_log(events: DataFrame) -> DataFrame:
     event type -> new text."""
     return events.select(
         F.col("user_id").alias("doc_id"),
-        F.get_json_object("props", "$.k").cast("int").alias("line"),
+        F.get_json_object("props", "$.k").try_cast("int").alias("line"),
         F.col("event_type").alias("text"),
         F.col("ts"),
         F.col("event_id").alias("seq"),
