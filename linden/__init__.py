@@ -13,6 +13,6 @@ collected to the driver.  The package is organised as
 * ``plans``     -- named queries over the driver tables plus their SQL twins.
 """
 
-from linden.session import get_session, ensure_checkpoint_dir
+from linden.session import ensure_checkpoint_dir, get_session, materialize
 
-__all__ = ["get_session", "ensure_checkpoint_dir"]
+__all__ = ["get_session", "ensure_checkpoint_dir", "materialize"]

@@ -13,7 +13,6 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linden.operators import candidates as cd
 
 # --- fixed values: ranker training ------------------------------------------------------
 RANKER_PARAMS = dict(maxIter=100, maxDepth=5, stepSize=0.2, featureSubsetStrategy="0.8", seed=0,

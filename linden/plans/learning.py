@@ -4,13 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from linden.functions import lexicon as lx
-from linden.operators import dictionary as dct
-from linden.operators import features as ft
 from linden.operators import learning as lr
 from linden.operators import ngrams
 from linden.plans import features as fplans
-from linden.plans import sql as q
 from linden.plans import stats as splans
 from linden.plans.common import doc_lines
 from linden.plans.registry import register

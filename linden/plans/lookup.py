@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from linden.operators import dictionary as dct
 from linden.operators import lookup, ngrams
 from linden.plans import sql as q

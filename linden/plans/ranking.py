@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from linden.operators import candidates as cd
 from linden.operators import ngrams
 from linden.plans import sql as q

@@ -9,7 +9,7 @@ from linden.functions import text as tx
 from linden.operators import manifest as mf
 from linden.operators import records as rec
 from linden.plans import sql as q
-from linden.plans.common import doc_lines, edit_log
+from linden.plans.common import edit_log
 from linden.plans.registry import register
 from linden.sources import views
 from linden.sources.tables import table

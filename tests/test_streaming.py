@@ -1,7 +1,5 @@
 """Edit streams against their batch twins, splices, tree folds."""
 
-from pyspark.sql import functions as F
-
 from linden.plans.common import doc_lines, edit_log
 from linden.streaming import changelog, edits
 from tests.conftest import SMALL
