@@ -66,11 +66,28 @@ def dirty_edits(batch: DataFrame, state: DataFrame, base: DataFrame) -> DataFram
 class EditApplier:
     """foreachBatch handler that versions line state and postings."""
 
+    KINDS = ("lines", "postings", "dirty")
+
     def __init__(self, spark: SparkSession, base_lines: DataFrame, root: str):
         self.spark = spark
         self.base = base_lines
         self.root = root
-        self.version = None
+        # After a driver restart, resume from the last version that all three
+        # state tables committed; the stream re-runs any later batch, which
+        # overwrites its own version folders.
+        self.version = self._latest_committed()
+
+    def _latest_committed(self):
+        from pyspark.errors import AnalysisException
+
+        common = None
+        for kind in self.KINDS:
+            try:
+                found = {r[0] for r in self.spark.read.parquet(f"{self.root}/{kind}").select("v").distinct().collect()}
+            except AnalysisException:
+                return None
+            common = found if common is None else common & found
+        return max(common) if common else None
 
     def _path(self, kind: str, version) -> str:
         return f"{self.root}/{kind}/v={version}"
@@ -104,10 +121,13 @@ class EditApplier:
         self.version = batch_id
 
 
-def run_edit_stream(spark: SparkSession, sf_dir: str, base_lines: DataFrame, name: str = "edits") -> EditApplier:
+def run_edit_stream(spark: SparkSession, sf_dir: str, base_lines: DataFrame, name: str = "edits",
+                    root: str | None = None) -> EditApplier:
     """Apply the whole available edit log (``availableNow``) and return the
-    applier, whose latest version holds lines, postings and dirty edits."""
-    root = scratch_path(spark, f"stream-{name}-{uuid.uuid4().hex[:12]}")
+    applier, whose latest version holds lines, postings and dirty edits.
+    Passing the ``root`` of an earlier run resumes it (stream checkpoint and
+    state versions live there)."""
+    root = root or scratch_path(spark, f"stream-{name}-{uuid.uuid4().hex[:12]}")
     applier = EditApplier(spark, base_lines, root)
     q = (
         edit_stream(spark, sf_dir).writeStream.foreachBatch(applier)

@@ -29,3 +29,14 @@ def test_tree_fold_with_renames(spark):
                                "root string, path string, op string, ts long, seq long, new_path string")
     got = {r.path for r in changelog.tree_state_with_renames(df).collect()}
     assert got == {"p/d/c.py"}
+
+
+def test_stream_resumes_from_committed_state(spark):
+    base = doc_lines(spark, SMALL)
+    first = edits.run_edit_stream(spark, SMALL, base)
+    want = sorted(tuple(r) for r in spark.read.parquet(first._path("postings", first.version)).collect())
+    # A new driver-side applier on the same root: no new input, state recovered.
+    again = edits.run_edit_stream(spark, SMALL, base, root=first.root)
+    assert again.version == first.version
+    got = sorted(tuple(r) for r in spark.read.parquet(again._path("postings", again.version)).collect())
+    assert got == want
