@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from linden.llm.common import chunks, file_system
-from linden.llm.wordids import WordIds
+from linden.llm.wordids import encoder
 
 HEAD = struct.Struct("<QI")
 TAIL = struct.Struct("<I")
@@ -113,13 +113,13 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2,
     index_path = f"{folder}/index"
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part = WordIds(tokenizer), TaskContext.get().partitionId()
+        words, part = encoder(tokenizer), TaskContext.get().partitionId()
         shards, start = ShardWriter(folder, part, shard_bytes), 0
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             rows: list[tuple] = []
             for a, b in chunks(texts):
-                ids, sizes, _, offsets = encoder.encode(texts[a:b])
+                ids, sizes, _, offsets = words.encode(texts[a:b])
                 for o, n in zip(offsets.tolist(), sizes.tolist(), strict=True):
                     record = frame(serialize(np.append(ids[o:o + n], np.uint32(end_id))))
                     shard, at = shards.add(record)

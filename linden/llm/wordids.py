@@ -2,62 +2,114 @@
 
 White space separates tokens of these vocabularies and Unicode composition
 never crosses a space, so the ids of a text are the ids of its
-space-separated words in a row.  Distinct words go through the library once
-per task; texts are then put together with array gathers.
+space-separated words in a row.  A word goes through the library when it is
+first met; texts are then put together with array gathers.
 """
 
 from __future__ import annotations
 
 import os
+import re
 from itertools import chain
 
 import numpy as np
 
-SENTENCE_ENDS = ".!?…。！？"
+SENTENCE_ENDS = tuple(".!?…。！？")
+#: A control character that is a token of its own between words.
+MARK = "\x01"
+#: Finds characters beyond plain Latin text.  Without them, lower-casing a
+#: text first changes no id: nothing composes, and each letter has one lower form.
+BEYOND = re.compile("[^\x00-\u012f\u0131-\u024f\u2010-\u2027\u2030-\u205e]").search
+#: One of these behind a letter is always a token of its own.
+TAILS = tuple(".,")
+
+
+class Codes(dict):
+    """Numbers words in the order they are met."""
+
+    def __init__(self):
+        super().__init__()
+        self.fresh: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = code = len(self)
+        self.fresh.append(word)
+        return code
 
 
 class WordIds:
     """Encoder that starts its word memory anew beyond ``memory`` entries."""
 
-    def __init__(self, path: str, memory: int = 400_000):
+    def __init__(self, path: str, memory: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
+        self.tails = {c: self.tokenizer.encode(c, add_special_tokens=False).ids[0] for c in TAILS}
         self.memory = memory
         self.forget()
 
     def forget(self) -> None:
-        self.code: dict[str, int] = {}
+        self.code = Codes()
         self.flat = np.zeros(0, np.uint32)
         self.begin = np.zeros(0, np.int64)
         self.size = np.zeros(0, np.int64)
         self.ends = np.zeros(0, bool)
         self.breaks = np.zeros(0, bool)
 
-    def learn(self, words: list[str]) -> None:
-        found = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
-        at = len(self.code)
-        self.code.update(zip(words, range(at, at + len(words)), strict=True))
-        size = np.array([len(x) for x in found], np.int64)
-        self.begin = np.concatenate([self.begin, len(self.flat) + np.cumsum(size) - size])
-        self.flat = np.concatenate([self.flat, *found])
-        self.size = np.concatenate([self.size, size])
-        self.ends = np.concatenate([self.ends, [w[-1:] != "" and w[-1] in SENTENCE_ENDS for w in words]])
-        self.breaks = np.concatenate([self.breaks, [w[:1] == "\n" for w in words]])
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words in a row and their number for each word."""
+        batch = lambda texts: [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        if not words:
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        if len(self.mark) != 1 or any(MARK in w for w in words):
+            found = batch(words)
+            return np.concatenate(found), np.array([len(x) for x in found], np.int64)
+        joined = [f" {MARK} ".join([*words[k:k + 500], ""]) for k in range(0, len(words), 500)]
+        ids = np.concatenate(batch(joined))
+        marks = ids == self.mark[0]
+        return ids[~marks], np.diff(np.flatnonzero(marks), prepend=-1) - 1
+
+    def learn(self) -> None:
+        """Encode the words met since the last call.  A word with a full stop
+        or comma behind a letter is put together from its two parts."""
+        code, first = self.code, len(self.size)
+        tailed, bases, plain = [], [], []
+        for w in code.fresh:  # a base not met before is appended, and so reached too
+            if w.endswith(TAILS) and w[-2:-1].isalpha():
+                tailed.append(code[w])
+                bases.append(code[w[:-1]])
+            else:
+                plain.append(code[w])
+        words, code.fresh = code.fresh, []
+        at = np.array(plain, np.int64)
+        ids, size = self.encode_words([words[c - first] for c in plain])
+        assert len(size) == len(plain)
+        self.begin, self.size = np.resize(self.begin, len(code)), np.resize(self.size, len(code))
+        self.begin[at], self.size[at] = len(self.flat) + np.cumsum(size) - size, size
+        self.flat = np.concatenate([self.flat, ids])
+        if tailed:
+            at, base = np.array(tailed, np.int64), np.array(bases, np.int64)
+            size = self.size[base] + 1
+            upto = np.cumsum(size)
+            ids = self.flat[np.minimum(np.repeat(self.begin[base] - (upto - size), size) + np.arange(upto[-1]), len(self.flat) - 1)]
+            ids[upto - 1] = [self.tails[words[c - first][-1]] for c in tailed]
+            self.begin[at], self.size[at] = len(self.flat) + upto - size, size
+            self.flat = np.concatenate([self.flat, ids])
+        self.ends = np.concatenate([self.ends, np.array([w.endswith(SENTENCE_ENDS) for w in words], bool)])
+        self.breaks = np.concatenate([self.breaks, np.array([w.startswith("\n") for w in words], bool)])
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Ids of all texts in a row; number of ids of each text; positions
         (in the row of ids) where a sentence ends; and the texts' offsets."""
         if len(self.code) > self.memory:
             self.forget()
-        words = [t.replace("\n", " \n").split(" ") for t in texts]
-        known = self.code
-        fresh = [w for w in dict.fromkeys(chain.from_iterable(words)) if w not in known]
-        if fresh:
-            self.learn(fresh)
+        words = [(t if BEYOND(t) else t.lower()).replace("\n", " \n").split(" ") for t in texts]
         counts = np.array([len(w) for w in words], np.int64)
         codes = np.fromiter(map(self.code.__getitem__, chain.from_iterable(words)), np.int64, int(counts.sum()))
+        if self.code.fresh:
+            self.learn()
         size = self.size[codes]
         after = np.cumsum(size)
         total = int(after[-1]) if len(after) else 0
@@ -66,3 +118,14 @@ class WordIds:
         upto = np.concatenate([[0], after])[edge]
         stops = np.concatenate([after[self.ends[codes]], (after - size)[self.breaks[codes]]])
         return ids, np.diff(upto), np.unique(stops), upto[:-1]
+
+
+_ENCODERS: dict[str, WordIds] = {}
+
+
+def encoder(path: str) -> WordIds:
+    """The process's encoder of a vocabulary: tasks that follow each other in
+    a worker share its word memory, which changes speed alone."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = WordIds(path)
+    return _ENCODERS[path]
