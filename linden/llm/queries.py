@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linden.llm import records
-from linden.llm.common import fresh_path, tokenizer_path
+from linden.llm import packing, pieces, quality, records
+from linden.llm.common import fresh_path, tokenizer_path, written
 from linden.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -20,6 +20,35 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return fn
 
 
+@query
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, learnt from the rows not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    stats = written(quality.vectors(docs, drop_text=True), "quality-stats")
+    model = quality.fit(quality.examples_of(stats, table(spark, sf_dir, "labels")))
+    return quality.add_scores(stats, model).select(
+        "doc_id", quality.held_out("doc_id").alias("held_out"), "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's piece ids and of what they decode to."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = pieces.encode(docs, tokenizer_path("piece_bpe_32k.model"), decoded=True)
+    return rows.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"),
+                       F.sha2("ids", 256).alias("ids_sha256"),
+                       F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+@query
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into windows of 4096 ids, a row for each piece."""
+    pieces_of = packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+    return pieces_of.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"),
+                            "doc_tokens", "sequence_id", "offset")
+
+
 @query
 def op10_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of all documents written as framed records and read back."""
