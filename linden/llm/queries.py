@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linden.llm import packing, pieces, quality, records
+from linden.llm import minhash, packing, pieces, quality, records, repeats
 from linden.llm.common import fresh_path, tokenizer_path, written
 from linden.sources.tables import table
 
@@ -41,6 +41,20 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+@query
+def op5_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without its repeated 400-byte strings."""
+    rows = repeats.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), 400)
+    return rows.select("doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).alias("n_removed"),
+                       F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents alike in their sets of four-word shingles."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=80)
+
+
 @query
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into windows of 4096 ids, a row for each piece."""
