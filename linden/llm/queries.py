@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linden.llm import minhash, packing, pieces, quality, records, repeats
+from linden.llm import chat, embeddings, fingerprints, minhash, packing, pieces, quality, records, repeats, urls
 from linden.llm.common import fresh_path, tokenizer_path, written
 from linden.sources.tables import table
 
@@ -41,6 +41,38 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+@query
+def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order MinHash fingerprints of every document and of its edited text,
+    with their likeness, and that to the next document's fingerprint."""
+    rows = fingerprints.edited(fingerprints.with_next(table(spark, sf_dir, "documents")))
+    rows = fingerprints.with_fingerprint(rows, "text", "fingerprint")
+    rows = fingerprints.with_fingerprint(rows, "edited_text", "edited_fingerprint")
+    rows = written(rows.select("doc_id", "n_chars", "next_id", F.sha2(F.col("edited_text").cast("binary"), 256).alias("edited_sha256"),
+                               "fingerprint", "edited_fingerprint"), "fingerprints")
+    follow = rows.select(F.col("doc_id").alias("follow_id"), F.col("fingerprint").alias("next_fingerprint"))
+    rows = rows.join(follow, F.col("next_id") == F.col("follow_id"), "left")
+    return rows.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
+                       fingerprints.likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
+                       fingerprints.likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"))
+
+
+@query
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one of control strings, formatted and read back."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hard = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+                                 F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+                                 F.lit("</s>[INST] ok [/INST]").alias("text"))
+    back = chat.parse(chat.format_conversations(chat.events_of(turns.union(hard)), F.col("position.turn")))
+    said = F.array_join(F.transform("parsed", lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n"))), "")
+    loss = F.array_join(F.transform("parsed", lambda t: t.masked), "")
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    return back.select("conv_id", F.size("parsed").cast("long").alias("n_turns"), digest(said).alias("turns_sha256"),
+                       F.length(loss).cast("long").alias("loss_chars"), digest(loss).alias("loss_sha256"),
+                       F.length("formatted").cast("long").alias("formatted_chars"))
+
+
 @query
 def op5_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document without its repeated 400-byte strings."""
@@ -49,12 +81,32 @@ def op5_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+URL_RULES = [urls.Rule("com", "/", "allow"), urls.Rule("example.com", "/en/", "block"), urls.Rule("www.example.com", "/en/", "allow"),
+             urls.Rule("net", "/es/", "block"), urls.Rule("net", "/fr/", "block")]
+
+
+@query
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's URL: the rules', else that of trees fitted on
+    the URLs that a rule labels."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    ruled = urls.with_rule(urls.split_url(pages), URL_RULES)
+    labelled = ruled.where("rule is not null").withColumn("label", (F.col("rule_verdict") == "block").cast("int"))
+    return urls.filter_urls(pages, URL_RULES, urls.train(labelled)).select("page_id", "host", "path", "rule", "verdict", "model_score")
+
+
 @query
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents alike in their sets of four-word shingles."""
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=80)
 
 
+@query
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and groups of the vectors of a label at a cosine of 0.93."""
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"), 0.93)
+
+
 @query
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into windows of 4096 ids, a row for each piece."""
