@@ -1,6 +1,67 @@
-STAGES = []
+"""Training corpus from the documents table: quality, near-duplicates, repeated
+passages, packing.
+
+Every stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; ``run``
+writes each stage's result as Parquet and hands what it reads back to the
+next.  All stages but the last return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from linden.llm import minhash, packing, quality, repeats
+from linden.llm.common import tokenizer_path, written
+from linden.sources.tables import table
+
+QUALITY_THRESHOLD = 0.3
+PASSAGE_BYTES = 240  # about fifty short words
+CLASS_WORDS, CLASS_PERCENT = 5, 80
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, fitted on the labelled ones among them,
+    does not reject."""
+    stats = written(quality.vectors(docs.select("doc_id", "text"), drop_text=True), "pipeline-stats")
+    model = quality.fit(quality.examples_of(stats, table(spark, sf_dir, "labels")))
+    return quality.classify(docs, model, QUALITY_THRESHOLD).where("predicted = 1").select(docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that is alike in five-word shingles; of rows
+    with equal doc_id and text one stays."""
+    groups = minhash.near_duplicates(docs, CLASS_WORDS, CLASS_PERCENT)
+    kept = groups.where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id"))).select(docs.columns).dropDuplicates(["doc_id", "text"])
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the passages that occur elsewhere too.  A passage may
+    begin or end inside a character; its rest goes with it."""
+    rows = repeats.remove_repeats(docs, PASSAGE_BYTES, as_text=True)
+    text = F.when(F.size("spans") == 0, F.col("text")).otherwise(F.col("kept"))
+    return rows.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in sequences of at most 4096 ids, in doc_id order."""
+    return packing.pack(docs, tokenizer_path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality", keep_quality),
+    ("near_duplicates", drop_near_duplicates),
+    ("repeated_passages", cut_repeats),
+    ("packing", pack_sequences),
+]
+
+#: No stage can be written in SQL; tests hold each against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -6,6 +6,7 @@ import os
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 from linden.session import ensure_checkpoint_dir
@@ -42,14 +43,16 @@ def file_system(uri: str):
     return fs.LocalFileSystem(), os.path.abspath(uri)
 
 
-def chunks(texts: list[str], limit: int = 1 << 23) -> Iterator[tuple[int, int]]:
-    """Index ranges of ``texts`` holding about ``limit`` characters each, so
-    that scratch arrays stay bounded whatever the Arrow batch holds."""
-    begin = size = 0
-    for i, t in enumerate(texts):
-        size += len(t)
-        if size >= limit:
-            yield begin, i + 1
-            begin, size = i + 1, 0
-    if begin < len(texts):
-        yield begin, len(texts)
+def chunks(column, limit: int = 1 << 21) -> Iterator[tuple[int, int, list[str]]]:
+    """(begin, end, texts) of stretches of an Arrow text column that hold
+    about ``limit`` bytes each, so that scratch arrays stay bounded whatever
+    the batch holds.  Nulls are empty texts."""
+    import pyarrow.compute as pc
+
+    upto = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False))
+    begin = 0
+    while begin < len(upto):
+        end = int(np.searchsorted(upto, (upto[begin - 1] if begin else 0) + limit)) + 1
+        end = min(end, len(upto))
+        yield begin, end, [t or "" for t in column.slice(begin, end - begin).to_pylist()]
+        begin = end

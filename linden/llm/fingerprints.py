@@ -45,7 +45,8 @@ def _place(packed: Column) -> Column:
 
 
 def _bin(packed: Column) -> Column:
-    return F.shiftrightunsigned(packed, 64 - BINS.bit_length() + 1)
+    """Bin of a packed long; bins rise with the (signed) longs."""
+    return F.shiftright(packed, 65 - BINS.bit_length()) + BINS // 2
 
 
 def with_fingerprint(rows: DataFrame, text: str, out: str) -> DataFrame:
@@ -67,7 +68,8 @@ def with_fingerprint(rows: DataFrame, text: str, out: str) -> DataFrame:
     rows = rows.withColumn(col["runs"], F.split(flags, "(?<=.)(?=1)"))
     rows = rows.withColumn(col["numbers"], F.flatten(F.transform(runs, lambda r: F.sequence(F.lit(1), F.greatest(F.length(r), F.lit(1))))))
     # the order of numbered k-mers: bin in the uppermost bits
-    numbered = F.transform(packed, lambda p, i: _pack(F.xxhash64(F.get(kmers, _place(p).cast("int")), F.get(numbers, i)), _place(p)))
+    # (a column named once inside a lambda would be computed anew for each element)
+    numbered = F.zip_with(packed, numbers, lambda p, n: _pack(F.xxhash64(F.get(kmers, _place(p).cast("int")), n), _place(p)))
     rows = rows.withColumn(col["order"], F.sort_array(numbered))
     least = F.filter(order, lambda p, i: F.coalesce(_bin(F.get(order, i - PICK)) != _bin(p), F.lit(True)))
     rows = rows.withColumn(col["picked"], least)
@@ -79,9 +81,10 @@ def with_fingerprint(rows: DataFrame, text: str, out: str) -> DataFrame:
         first = F.coalesce(_bin(F.get(picked, i - 1)) != _bin(p), F.lit(True))
         return F.when(first, F.struct(_bin(p).cast("int").alias("bin"), F.lower(F.right(F.hex(value), F.lit(DIGITS))).alias("digits")))
 
-    rows = rows.withColumn(col["tuples"], F.map_from_entries(F.filter(F.transform(picked, tuple_of), lambda t: t.isNotNull())))
-    full = F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda b: F.coalesce(F.lpad(F.element_at(tuples, b), DIGITS, "0"), F.lit(EMPTY)))
-    return rows.withColumn(out, F.array_join(full, "")).drop(*col.values())
+    rows = rows.withColumn(col["tuples"], F.filter(F.transform(picked, tuple_of), lambda t: t.isNotNull()))
+    filled = F.transform(tuples, lambda t, i: F.concat(
+        F.repeat(F.lit(EMPTY), t.bin - F.coalesce(F.get(tuples, i - 1).bin, F.lit(-1)) - 1), F.lpad(t.digits, DIGITS, "0")))
+    return rows.withColumn(out, F.rpad(F.array_join(filled, ""), BINS * DIGITS, ".")).drop(*col.values())
 
 
 def likeness(a: Column, b: Column) -> Column:

@@ -4,19 +4,22 @@ A document's set holds its distinct word shingles.  Two small collections of
 ``side`` band hashes each (``rows`` minhashes to a band) are computed once;
 every pair of a band from the first and one from the second makes a table
 key, so side * side tables cost only 2 * side * rows minhashes.  Two sets of
-similarity s share a key with probability (1 - (1 - s^rows)^side)^2: 0.99993
-at s = 0.8 with the defaults, and more above.
+similarity s share a key with probability (1 - (1 - s^rows)^side)^2: 0.9996
+at s = 0.8 with the defaults, 0.99998 at 0.85.
 
 Documents with equal sets are one node.  Keys are resolved without pairing
 all members of a bucket:
 
-1. every member is compared with its bucket's smallest node (a star);
-2. links found so far make components;
+1. every member is compared with its bucket's centre (a star), the member
+   that meets most others in all its buckets;
+2. links found so far make components; where a bucket still has several, all
+   members outside it are compared with a centre of a second component;
 3. what is left are pairs of one bucket in different components: those are
    compared in full, so that no link between components is missed.
 
-Comparisons use the full sets.  Nothing is capped; sets travel only for nodes
-that share a bucket with another.
+Before full sets travel, sizes and a sketch of four bits per minhash rule out
+pairs that merely share a passage (see ``most_differing``).  Links are decided
+on the full sets.  Nothing is capped.
 
 Nulls and edge cases: a text that is null or without words has an empty set
 and links with nothing; fewer words than a shingle are one shingle; rows that
@@ -32,7 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linden.llm.common import written
@@ -68,55 +71,83 @@ def shingles(text: str | None, words: int) -> np.ndarray:
         return np.zeros(0, np.uint64)
     h = np.fromiter(map(_WORDS.__getitem__, own), np.uint64, len(own))
     n = min(words, len(own))
-    total = np.full(len(own) - n + 1, np.uint64(n) * np.uint64(0x9E3779B97F4A7C15))
+    total = np.full(len(own) - n + 1, np.uint64(n * 0x9E3779B97F4A7C15 & 2**64 - 1))
     for k in range(n):
         total = mix(total + h[k:len(own) - n + 1 + k] * _FACTORS[k])
     return np.unique(total)
 
 
-def bands(own: np.ndarray, count: int, rows: int) -> np.ndarray:
-    """``count`` band hashes of ``rows`` minhashes each, as signed longs."""
-    least = np.array([(own * a + b).min() for a, b in _multipliers(count * rows)], np.uint64).reshape(count, rows)
-    total = np.arange(count, dtype=np.uint64)
+def minhashes(own: np.ndarray, count: int) -> np.ndarray:
+    """``count`` minima of the set under multiplicative hashes."""
+    least = np.full(count, np.uint64(2**64 - 1))
+    for k in range(0, len(own), 2048):
+        least = np.minimum(least, (own[None, k:k + 2048] * _multipliers(count)).min(axis=1))
+    return least
+
+
+def bands(least: np.ndarray, rows: int) -> np.ndarray:
+    """Band hashes of ``rows`` minhashes each, as signed longs."""
+    least = least.reshape(-1, rows)
+    total = np.arange(len(least), dtype=np.uint64)
     for k in range(rows):
         total = mix(total + least[:, k] * _FACTORS[32 + k])
     return total.view(np.int64)
 
 
-_MULTIPLIERS: dict[int, list] = {}
+def sketch(least: np.ndarray) -> np.ndarray:
+    """Four bits of each minhash, sixteen to a signed long."""
+    bits = mix(least) >> np.uint64(60)
+    bits = np.concatenate([bits, np.zeros(-len(bits) % 16, np.uint64)]).reshape(-1, 16)
+    return (bits << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(axis=1, dtype=np.uint64).view(np.int64)
+
 
+_MULTIPLIERS: dict[int, np.ndarray] = {}
 
-def _multipliers(n: int) -> list:
+
+def _multipliers(n: int) -> np.ndarray:
     if n not in _MULTIPLIERS:
-        rng = np.random.default_rng(SEED)
-        a = rng.integers(0, 1 << 63, n, np.uint64) * np.uint64(2) + np.uint64(1)
-        _MULTIPLIERS[n] = list(zip(a, rng.integers(0, 1 << 63, n, np.uint64), strict=True))
+        _MULTIPLIERS[n] = np.random.default_rng(SEED).integers(0, 1 << 63, (n, 1), np.uint64) * np.uint64(2) + np.uint64(1)
     return _MULTIPLIERS[n]
 
 
+def differing(a: Column, b: Column, longs: int) -> Column:
+    """Number of minhashes whose bits differ in two sketches."""
+    total = F.lit(0)
+    for k in range(longs):
+        x = a[k].bitwiseXOR(b[k])
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x1111111111111111))
+        total = total + F.bit_count(x)
+    return total
+
+
 def signatures(docs: DataFrame, words: int, side: int, rows: int) -> DataFrame:
-    """(doc_id, n_shingles, set_id, first, second): size and digest of each
-    document's set and its two collections of band hashes."""
+    """(doc_id, n_shingles, set_id, first, second, sketch): size and digest of
+    each document's set, its two collections of band hashes, its sketch."""
     import pyarrow as pa
 
+    count = 2 * side * rows
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, digests, one, two = [], [], [], []
+            sizes, digests, one, two, small = [], [], [], [], []
             for text in batch.column(1):
                 own = shingles(text.as_py(), words)
                 sizes.append(len(own))
                 digests.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest())
-                both = bands(own, 2 * side, rows).tolist() if len(own) else [0] * 2 * side
+                least = minhashes(own, count)
+                both = bands(least, rows).tolist()
                 one.append(both[:side])
                 two.append(both[side:])
+                small.append(sketch(least).tolist())
+            longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()),
-                 pa.array(one, pa.list_(pa.int64())), pa.array(two, pa.list_(pa.int64()))],
-                ["doc_id", "n_shingles", "set_id", "first", "second"])
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(one, longs), pa.array(two, longs), pa.array(small, longs)],
+                ["doc_id", "n_shingles", "set_id", "first", "second", "sketch"])
 
     key = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(
-        run, f"doc_id {key}, n_shingles long, set_id binary, first array<long>, second array<long>")
+        run, f"doc_id {key}, n_shingles long, set_id binary, first array<long>, second array<long>, sketch array<long>")
 
 
 def sets_of(docs: DataFrame, needed: DataFrame, words: int) -> DataFrame:
@@ -157,39 +188,64 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, side: int = 10, rows: int = 2) -> DataFrame:
+def most_differing(count: int, percent: int) -> int:
+    """Differing minhashes beyond which a pair is not compared: 6.5 standard
+    deviations above what a pair just at the threshold has, a chance of some
+    1e-10, far below that of sharing no table."""
+    s = percent / 100 + (1 - percent / 100) / 16
+    return min(count, int(np.ceil(count * (1 - s) + 6.5 * np.sqrt(count * s * (1 - s)))))
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, side: int = 12, rows: int = 3) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of ``docs``
     (doc_id, text); documents are linked at a Jaccard similarity of
     ``percent`` hundredths or more."""
     base = written(signatures(docs, words, side, rows), "signatures")
     nodes = base.where("n_shingles > 0").groupBy("set_id").agg(
-        F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("first").alias("first"), F.first("second").alias("second"))
+        F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("first").alias("first"), F.first("second").alias("second"), F.first("sketch").alias("sketch"))
     nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "sets")  # numbered once, when written
 
     table = F.posexplode(F.flatten(F.transform("first", lambda a: F.transform("second", lambda b: F.xxhash64(a, b)))))
-    members = nodes.select("node", "n_shingles", table.alias("table", "pair")) \
-        .select("node", "n_shingles", F.xxhash64("table", "pair").alias("key"))
-    buckets = members.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("other")) \
-        .where("pivot <> other").select("key", "pivot")
-    shared = written(members.join(buckets, "key").select("key", "node", "n_shingles", "pivot"), "buckets")
-    similar = f"n_shingles * 100 >= {percent} * m_shingles and m_shingles * 100 >= {percent} * n_shingles"
-
-    needed = shared.select("node").distinct().join(nodes, "node").select("node", "doc_id", "set_id")
-    sets = written(sets_of(docs, needed, words), "shingle-sets")
-    sizes = nodes.select(F.col("node").alias("pivot"), F.col("n_shingles").alias("m_shingles"))
-    star = shared.where("node <> pivot").select("node", "pivot", "n_shingles").distinct().join(sizes, "pivot").where(similar)
-    links = written(verified(star.select(F.col("node").alias("a"), F.col("pivot").alias("b")), sets, percent), "links")
-
+    members = nodes.select("node", table.alias("table", "pair")).select("node", F.xxhash64("table", "pair").alias("key"))
+    buckets = members.groupBy("key").agg(F.count("*").alias("filled")).where("filled > 1")
+    shared = written(members.join(buckets, "key"), "buckets")
+    # nodes that meet many others come first as centres: the original of a family of copies does
+    weights = shared.groupBy("node").agg(F.sum("filled").alias("weight"))
+    weights = written(weights.join(nodes, "node").select("node", "doc_id", "set_id", F.struct("weight", "node", "n_shingles", "sketch").alias("own")), "weights")
+    shared = written(shared.select("key", "node").join(weights, "node").select("key", "own"), "buckets")
+
+    sets = written(sets_of(docs, weights.select("node", "doc_id", "set_id"), words), "shingle-sets")
+
+    most = most_differing(2 * side * rows, percent)
+
+    def pairs(rows_of: DataFrame, left: str, right: str) -> DataFrame:
+        a, b = F.col(left), F.col(right)
+        alike = (a.n_shingles * 100 >= b.n_shingles * percent) & (b.n_shingles * 100 >= a.n_shingles * percent)
+        alike &= differing(a.sketch, b.sketch, -(-2 * side * rows // 16)) <= most
+        return rows_of.where(alike & (a.node != b.node)).select(
+            F.greatest(f"{left}.node", f"{right}.node").alias("a"), F.least(f"{left}.node", f"{right}.node").alias("b")).distinct()
+
+    centres = shared.groupBy("key").agg(F.max("own").alias("centre"))
+    tested = written(pairs(shared.join(centres, "key"), "own", "centre"), "star-pairs")
+    links = written(verified(tested, sets, percent), "links")
+    for final in (False, True):
+        roots = written(components(links), "roots")
+        placed = shared.join(roots, F.col("own.node") == F.col("node"), "left") \
+            .select("key", "own", F.coalesce("root", "own.node").alias("root"))
+        mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+        placed = written(placed.join(mixed, "key"), "mixed-buckets")
+        if final:  # whatever shares a bucket across components
+            other = placed.select("key", F.col("own").alias("other"), F.col("root").alias("other_root"))
+            rest = placed.join(other, "key").where("own.node > other.node and root <> other_root")
+        else:  # a second star, around the first node that the first star's component lacks
+            best = placed.groupBy("key").agg(F.max(F.struct("own", "root")).alias("best")).select("key", F.col("best.root").alias("best_root"))
+            other = placed.join(best, "key").where("root <> best_root").groupBy("key").agg(F.max(F.struct("own", "root")).alias("next")) \
+                .select("key", F.col("next.own").alias("other"), F.col("next.root").alias("other_root"))
+            rest = placed.join(other, "key").where("root <> other_root")
+        fresh = written(pairs(rest, "own", "other").join(tested, ["a", "b"], "left_anti"), "more-pairs")
+        tested = tested.union(fresh)
+        links = written(links.union(verified(fresh, sets, percent)), "links")
     roots = written(components(links), "roots")
-    placed = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-    rest = written(placed.join(mixed, "key").select("key", "node", "n_shingles", "root"), "mixed-buckets")
-    other = rest.select("key", F.col("node").alias("b"), F.col("n_shingles").alias("m_shingles"), F.col("root").alias("other_root"))
-    across = rest.withColumnRenamed("node", "a").join(other, "key").where("a > b and root <> other_root").where(similar) \
-        .select("a", "b").distinct()
-    tested = star.select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b"))
-    more = verified(across.join(tested, ["a", "b"], "left_anti"), sets, percent)
-    roots = written(components(links.union(more)), "roots")
 
     placed = nodes.select("set_id", "node", "doc_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"))

@@ -41,44 +41,54 @@ SCHEMA = ("doc_id {key}, start long, length long, ids binary, doc_tokens long, s
 
 def candidates(sizes: np.ndarray, stops: np.ndarray, stride: int = 256) -> tuple[np.ndarray, np.ndarray]:
     """Candidate cuts (ascending, the last at the end) and their penalties.
-    ``sizes``: ids per document; ``stops``: positions of sentence ends."""
+    ``sizes``: ids per document; ``stops``: ascending positions of sentence ends."""
     ends = np.cumsum(sizes)
     total = int(ends[-1]) if len(ends) else 0
     stops = stops[(stops > 0) & (stops < total)]
-    cuts = np.union1d(stops, ends)
+    cuts = np.concatenate([ends, stops])
+    cost = np.repeat([DOCUMENT, SENTENCE], [len(ends), len(stops)])
+    order = np.argsort(cuts, kind="stable")  # on ties the document's end comes first
+    cuts, cost = cuts[order], cost[order]
     gaps = np.diff(cuts, prepend=0)
     wide = np.flatnonzero(gaps > stride)
-    fill = [np.arange(cuts[k] - gaps[k] + stride, cuts[k], stride) for k in wide]
-    cuts = np.union1d(cuts, np.concatenate(fill)) if fill else cuts
-    cost = np.where(np.isin(cuts, ends), DOCUMENT, np.where(np.isin(cuts, stops), SENTENCE, ELSEWHERE))
-    return cuts, cost
+    if len(wide):
+        fill = np.concatenate([np.arange(cuts[k] - gaps[k] + stride, cuts[k], stride) for k in wide])
+        place = np.searchsorted(cuts, fill)
+        cuts, cost = np.insert(cuts, place, fill), np.insert(cost, place, ELSEWHERE)
+    fresh = np.diff(cuts, prepend=0) > 0
+    return cuts[fresh], cost[fresh]
 
 
 def plan(cuts: np.ndarray, cost: np.ndarray, window: int, last: bool) -> list[int]:
     """Positions of the chosen cuts, ascending.  Unless ``last``, it ends at
     the cheapest cut of the final window instead of the last candidate."""
-    at, pen = [0, *cuts.tolist()], [0.0, *cost.tolist()]
-    index = {t: i for i, t in enumerate(at)}
-    powers = [1 << k for k in range(8, window.bit_length()) if 1 << k < window]
+    known = np.concatenate([[0], cuts])
+    free: dict[int, list[int]] = {}  # candidates a power of two behind
+    for p in (1 << k for k in range(8, window.bit_length()) if 1 << k < window):
+        back = np.searchsorted(known, known - p)
+        for j in np.flatnonzero(known[back] == known - p).tolist():
+            free.setdefault(j, []).append(int(back[j]))
+    at, pen = known.tolist(), [0.0, *cost.tolist()]
     best, came = [0.0], [0]
     queue: deque[tuple[float, int]] = deque([(0.0, 0)])
     for j in range(1, len(at)):
         t = at[j]
-        while at[queue[0][1]] < t - window:
-            queue.popleft()
         low, i = queue[0]
+        while at[i] < t - window:
+            queue.popleft()
+            low, i = queue[0]
         low += window - t
-        for p in powers:
-            k = index.get(t - p)
-            if k is not None and best[k] < low:
-                low, i = best[k], k
+        if j in free:
+            for k in free[j]:
+                if best[k] < low:
+                    low, i = best[k], k
         low += pen[j]
         best.append(low)
         came.append(i)
-        key = low + t
-        while queue and queue[-1][0] >= key:
+        low += t
+        while queue and queue[-1][0] >= low:
             queue.pop()
-        queue.append((key, j))
+        queue.append((low, j))
     j = len(at) - 1
     if not last:
         j = min((k for k in range(j, 0, -1) if at[k] > at[-1] - window), key=lambda k: best[k])
@@ -175,9 +185,9 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 4096, end_id: int = 2, s
 
         for batch in batches:
             kinds = [batch.schema.field(0).type, pa.int64(), pa.int64(), pa.binary(), *[pa.int64()] * 4]
-            keys, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
-            for a, b in chunks(texts):
-                ids, sizes, stops, offsets = words.encode(texts[a:b])
+            keys = batch.column(0).to_pylist()
+            for a, _, texts in chunks(batch.column(1)):
+                ids, sizes, stops, offsets = words.encode(texts)
                 edges = [np.searchsorted(stops, offsets, "right"), np.searchsorted(stops, offsets + sizes, "left")]
                 rows: list[tuple] = []
                 for k, (o, n) in enumerate(zip(offsets.tolist(), sizes.tolist(), strict=True)):

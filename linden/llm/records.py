@@ -116,10 +116,9 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2,
         words, part = encoder(tokenizer), TaskContext.get().partitionId()
         shards, start = ShardWriter(folder, part, shard_bytes), 0
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
             rows: list[tuple] = []
-            for a, b in chunks(texts):
-                ids, sizes, _, offsets = words.encode(texts[a:b])
+            for _, _, texts in chunks(batch.column(1)):
+                ids, sizes, _, offsets = words.encode(texts)
                 for o, n in zip(offsets.tolist(), sizes.tolist(), strict=True):
                     record = frame(serialize(np.append(ids[o:o + n], np.uint32(end_id))))
                     shard, at = shards.add(record)

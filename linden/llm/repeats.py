@@ -223,9 +223,10 @@ def _merge(ranges: DataFrame, length: int) -> DataFrame:
     return ranges.select("digest", "ranges").mapInArrow(run, "digest binary, spans array<struct<first: long, end: long>>")
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, gram: int = GRAM) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 400, gram: int = GRAM, as_text: bool = False) -> DataFrame:
     """``docs`` (doc_id, text, ...) with n_bytes, ``spans`` (removed byte
-    ranges) and ``kept`` (the bytes that remain)."""
+    ranges) and ``kept``: the bytes that remain or, ``as_text``, their text
+    without the characters that a span cuts through."""
     import pyarrow as pa
 
     added = ["n_bytes", "spans", "kept"]
@@ -246,9 +247,10 @@ def remove_repeats(docs: DataFrame, length: int = 400, gram: int = GRAM) -> Data
                     at = s["end"]
                 sizes.append(len(data))
                 cut.append(spans)
-                kept.append(b"".join([*parts, data[at:]]))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sizes, pa.int64()), pa.array(cut, kind), pa.array(kept, pa.binary())],
+                own = b"".join([*parts, data[at:]])
+                kept.append(own.decode("utf-8", "ignore") if as_text else own)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sizes, pa.int64()), pa.array(cut, kind), pa.array(kept, pa.string() if as_text else pa.binary())],
                                              [*rest, *added])
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "spans"]
-    return rows.mapInArrow(run, ", ".join([*fields, "n_bytes long, spans array<struct<first: long, end: long>>, kept binary"]))
+    return rows.mapInArrow(run, ", ".join([*fields, "n_bytes long, spans array<struct<first: long, end: long>>", f"kept {'string' if as_text else 'binary'}"]))

@@ -20,6 +20,7 @@ MARK = "\x01"
 #: Finds characters beyond plain Latin text.  Without them, lower-casing a
 #: text first changes no id: nothing composes, and each letter has one lower form.
 BEYOND = re.compile("[^\x00-\u012f\u0131-\u024f\u2010-\u2027\u2030-\u205e]").search
+SHORT = 7
 #: One of these behind a letter is always a token of its own.
 TAILS = tuple(".,")
 
@@ -38,7 +39,8 @@ class Codes(dict):
 
 
 class WordIds:
-    """Encoder that starts its word memory anew beyond ``memory`` entries."""
+    """Encoder that remembers words; beyond ``memory`` entries it forgets the
+    longer ones, which seldom come again."""
 
     def __init__(self, path: str, memory: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -58,6 +60,21 @@ class WordIds:
         self.ends = np.zeros(0, bool)
         self.breaks = np.zeros(0, bool)
 
+    def trim(self) -> None:
+        """Keep the words of at most ``SHORT`` characters, or none if those
+        are most of the memory."""
+        kept = [(w, c) for w, c in self.code.items() if len(w) <= SHORT]
+        if len(kept) > self.memory // 2:
+            self.forget()
+            return
+        at = np.array([c for _, c in kept], np.int64)
+        size = self.size[at]
+        upto = np.cumsum(size)
+        self.flat = self.flat[np.repeat(self.begin[at] - (upto - size), size) + np.arange(upto[-1] if len(upto) else 0)]
+        self.begin, self.size, self.ends, self.breaks = upto - size, size, self.ends[at], self.breaks[at]
+        self.code = Codes()
+        self.code.update((w, k) for k, (w, _) in enumerate(kept))
+
     def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words in a row and their number for each word."""
         batch = lambda texts: [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -104,7 +121,7 @@ class WordIds:
         """Ids of all texts in a row; number of ids of each text; positions
         (in the row of ids) where a sentence ends; and the texts' offsets."""
         if len(self.code) > self.memory:
-            self.forget()
+            self.trim()
         words = [(t if BEYOND(t) else t.lower()).replace("\n", " \n").split(" ") for t in texts]
         counts = np.array([len(w) for w in words], np.int64)
         codes = np.fromiter(map(self.code.__getitem__, chain.from_iterable(words)), np.int64, int(counts.sum()))

@@ -38,7 +38,7 @@ def brute(spark, text):
         rows.append(((r.v & ~low) | r.i))
     bins = {}
     for p in sorted(rows):
-        bins.setdefault((p & (2**64 - 1)) >> 58, []).append(p)
+        bins.setdefault((p >> 58) + 32, []).append(p)
     out = [fp.EMPTY] * fp.BINS
     for b, own in bins.items():
         own = sorted(own[:fp.PICK], key=lambda p: p & low)
