@@ -12,10 +12,13 @@ all members of a bucket:
 
 1. every member is compared with its bucket's centre (a star), the member
    that meets most others in all its buckets;
-2. links found so far make components; where a bucket still has several, all
-   members outside it are compared with a centre of a second component;
-3. what is left are pairs of one bucket in different components: those are
-   compared in full, so that no link between components is missed.
+2. links found so far make components; only buckets that still have several
+   go on, and only pairs across components;
+3. if two members share no shingle beside those of their centre, they share no
+   more than the smaller of what each shares with it.  So the pairs left to
+   compare are those for which that number is enough, and those that meet in a
+   shingle which the centre lacks.  No other pair can be a link, so none is
+   missed; most of a family's pairs are never made.
 
 Before full sets travel, sizes and a sketch of four bits per minhash rule out
 pairs that merely share a passage (see ``most_differing``).  Links are decided
@@ -188,6 +191,27 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def residuals(stars: DataFrame, sets: DataFrame) -> DataFrame:
+    """(node, centre, shared, extra): how many shingles each node shares with
+    its centre, and the others it has."""
+    import pyarrow as pa
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            shared, extra = [], []
+            for x, c in zip(batch.column("x"), batch.column("c"), strict=True):
+                x = np.frombuffer(x.as_py(), np.uint64)
+                own = np.setdiff1d(x, np.frombuffer(c.as_py(), np.uint64), assume_unique=True)
+                shared.append(len(x) - len(own))
+                extra.append(own.view(np.int64).tolist())
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("centre"), pa.array(shared, pa.int64()),
+                                              pa.array(extra, pa.list_(pa.int64()))], ["node", "centre", "shared", "extra"])
+
+    rows = stars.join(sets.select("node", F.col("own").alias("x")), "node") \
+        .join(sets.select(F.col("node").alias("centre"), F.col("own").alias("c")), "centre")
+    return rows.select("node", "centre", "x", "c").mapInArrow(run, "node long, centre long, shared long, extra array<long>")
+
+
 def most_differing(count: int, percent: int) -> int:
     """Differing minhashes beyond which a pair is not compared: 6.5 standard
     deviations above what a pair just at the threshold has, a chance of some
@@ -226,25 +250,33 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, side: in
             F.greatest(f"{left}.node", f"{right}.node").alias("a"), F.least(f"{left}.node", f"{right}.node").alias("b")).distinct()
 
     centres = shared.groupBy("key").agg(F.max("own").alias("centre"))
-    tested = written(pairs(shared.join(centres, "key"), "own", "centre"), "star-pairs")
-    links = written(verified(tested, sets, percent), "links")
-    for final in (False, True):
-        roots = written(components(links), "roots")
-        placed = shared.join(roots, F.col("own.node") == F.col("node"), "left") \
-            .select("key", "own", F.coalesce("root", "own.node").alias("root"))
-        mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-        placed = written(placed.join(mixed, "key"), "mixed-buckets")
-        if final:  # whatever shares a bucket across components
-            other = placed.select("key", F.col("own").alias("other"), F.col("root").alias("other_root"))
-            rest = placed.join(other, "key").where("own.node > other.node and root <> other_root")
-        else:  # a second star, around the first node that the first star's component lacks
-            best = placed.groupBy("key").agg(F.max(F.struct("own", "root")).alias("best")).select("key", F.col("best.root").alias("best_root"))
-            other = placed.join(best, "key").where("root <> best_root").groupBy("key").agg(F.max(F.struct("own", "root")).alias("next")) \
-                .select("key", F.col("next.own").alias("other"), F.col("next.root").alias("other_root"))
-            rest = placed.join(other, "key").where("root <> other_root")
-        fresh = written(pairs(rest, "own", "other").join(tested, ["a", "b"], "left_anti"), "more-pairs")
-        tested = tested.union(fresh)
-        links = written(links.union(verified(fresh, sets, percent)), "links")
+    starred = shared.join(centres, "key")
+    links = written(verified(pairs(starred, "own", "centre"), sets, percent), "links")
+
+    # buckets whose members are not one component yet
+    roots = written(components(links), "roots")
+    placed = starred.join(roots, F.col("own.node") == F.col("node"), "left") \
+        .select("key", "own", F.col("centre.node").alias("centre"), F.coalesce("root", "own.node").alias("root"))
+    mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+    placed = written(placed.join(mixed, "key"), "mixed-buckets")
+    beside = written(residuals(placed.where("own.node <> centre").select(F.col("own.node").alias("node"), "centre").distinct(), sets), "residuals")
+    members = placed.join(beside.select("node", F.col("centre").alias("of"), "shared"), (F.col("own.node") == F.col("node")) & (F.col("centre") == F.col("of")))
+    members = members.select("key", "centre", F.col("own").alias("x"), F.col("root").alias("x_root"), F.col("shared").alias("x_shared"))
+    others = members.select("key", F.col("x").alias("y"), F.col("x_root").alias("y_root"), F.col("x_shared").alias("y_shared"))
+    # without a common shingle beside the centre's, two members share no more than each shares with it
+    bound = F.least("x_shared", "y_shared")
+    fit = members.join(others, "key").where("x.node > y.node and x_root <> y_root").where(
+        bound * 100 >= (F.col("x.n_shingles") + F.col("y.n_shingles") - bound) * percent)
+    found = pairs(fit, "x", "y")
+    owners = members.select(F.col("centre").alias("of"), "x", "x_root").distinct()
+    extra = beside.select("node", "centre", F.explode("extra").alias("shingle")) \
+        .join(owners, (F.col("node") == F.col("x.node")) & (F.col("centre") == F.col("of")))
+    common = extra.groupBy("centre", "shingle").agg(F.min("x_root").alias("low"), F.max("x_root").alias("high")) \
+        .where("low <> high").select("centre", "shingle")
+    extra = written(extra.select("centre", "shingle", "x", "x_root").join(common, ["centre", "shingle"]), "shared-residuals")
+    others = extra.select("centre", "shingle", F.col("x").alias("y"), F.col("x_root").alias("y_root"))
+    found = found.union(pairs(extra.join(others, ["centre", "shingle"]).where("x.node > y.node and x_root <> y_root"), "x", "y")).distinct()
+    links = links.union(verified(found, sets, percent))
     roots = written(components(links), "roots")
 
     placed = nodes.select("set_id", "node", "doc_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
