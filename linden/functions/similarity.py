@@ -8,6 +8,8 @@ scoring: these are per-pair costs of O(len(a) * len(b)).
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -92,69 +94,51 @@ def partial_ratio_sql(a: str, b: str) -> str:
 
 # --- abbreviation score (Arrow-batched helper) ------------------------------------------------
 
-def _same_upper(x: str, y: str) -> bool:
-    return x.upper() == y.upper()
+NOWHERE = float("-inf")
+
+
+def _gains(target: str, typed: str) -> list[list[float]]:
+    """What each typed character is worth on each target position.  A letter
+    that starts a word (an upper-case letter in a mixed-case target, or one
+    behind an underscore) is worth more than one inside a word."""
+    shout = target == target.upper()
+    behind = ["", *target]
+    rows = []
+    for letter in typed:
+        big = letter.upper()
+        rows.append([
+            NOWHERE if c.upper() != big else
+            ABBREV_MATCH_UPPER if b == "_" or (c == big and not shout) else ABBREV_MATCH_LOWER
+            for c, b in zip(target, behind)])
+    if rows and rows[0] and rows[0][0] != NOWHERE:
+        rows[0][0] = ABBREV_FIRST_CHAR_EXACT if typed[0] == target[0] else ABBREV_MATCH_UPPER
+    return rows
 
 
 def abbreviation_score(target: str, typed: str) -> int:
     """Fuzzy score of ``typed`` as an abbreviation of ``target``.
 
-    Cell (i, j) holds the best score of matching the first i typed characters
-    with j target characters skipped so far; matching a character scores more
-    when the case agrees with a word start (after ``_`` or in camel humps);
-    one skip per run costs -1, running past the end costs -200."""
+    Typed characters land on target positions from left to right.  ``at[k]``
+    is the best score with the last of them on position k: it comes from the
+    neighbouring position, or over a gap of any width for one skip, which a
+    running maximum provides.  Characters left when the target has ended cost
+    a fixed amount each; a gap before the target's end is a skip too."""
     if typed == target:
         return ABBREV_EQUAL
-    n_t = len(target)
-    if n_t == 0:
+    n = len(target)
+    if n == 0:
         return ABBREV_MIN
-    typed_up = typed.upper()
-    target_up = target.upper()
-    all_upper = target == target_up
-    n_in = min(len(typed), ABBREV_MAX_INPUT)
-
-    def char_at(k: int) -> str | None:
-        return target[k] if 0 <= k < n_t else None
-
-    def gain(i: int, k: int) -> int | None:
-        """Score for typed char i-1 landing on target char k, or None."""
-        tc = char_at(k)
-        if tc is None:
-            return None
-        before = char_at(k - 1)
-        if typed_up[i - 1] == tc:
-            return ABBREV_MATCH_LOWER if (all_upper and before != "_") else ABBREV_MATCH_UPPER
-        if typed_up[i - 1] == target_up[k]:
-            return ABBREV_MATCH_UPPER if before == "_" else ABBREV_MATCH_LOWER
-        return None
-
-    prev = [0] + [-1] * (n_t - 1)
-    for i in range(1, n_in + 1):
-        row = [0] * n_t
-        if i == 1 and _same_upper(typed[0], target[0]):
-            first = ABBREV_FIRST_CHAR_EXACT if typed[0] == target[0] else ABBREV_MATCH_UPPER
-        else:
-            g = gain(i, i - 1)
-            first = ABBREV_MIN if g is None else g
-        row[0] = ABBREV_MIN if first == ABBREV_MIN else prev[0] + first
-        skipped = False
-        for j in range(1, n_t):
-            top = prev[j]
-            if top != ABBREV_MIN:
-                if i + j - 1 >= n_t:
-                    top += ABBREV_UNMATCHED
-                else:
-                    g = gain(i, i + j - 1)
-                    top = ABBREV_MIN if g is None else top + g
-            left = row[j - 1]
-            if left != ABBREV_MIN and not skipped:
-                left += ABBREV_SKIP
-            if top > left:
-                skipped, row[j] = False, top
-            else:
-                skipped, row[j] = True, left
-        prev = row
-    return prev[n_t - 1]
+
+    def ended(at: list[float]) -> float:
+        return max(at[-1], max(at[:-1], default=NOWHERE) + ABBREV_SKIP)
+
+    at = [0.0, *[NOWHERE] * n]  # position 0 stands before the target
+    beyond = NOWHERE
+    for worth in _gains(target, typed[:ABBREV_MAX_INPUT]):
+        beyond = max(beyond, ended(at)) + ABBREV_UNMATCHED
+        far = [NOWHERE, *accumulate(at[:-2], max)]
+        at = [NOWHERE, *(max(near, gap + ABBREV_SKIP) + w for near, gap, w in zip(at, far, worth))]
+    return int(max(ended(at), beyond, ABBREV_MIN))
 
 
 @F.pandas_udf(T.IntegerType())

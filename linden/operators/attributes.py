@@ -73,56 +73,54 @@ def type_attr_maps(pairs: DataFrame) -> DataFrame:
     return by_name.unionByName(by_attr)
 
 
-class AttributeLearner:
-    """The order-dependent fold over (name, attr) events of one document.
-
-    * known name whose types already carry the attribute -> nothing;
-    * known name otherwise -> the attribute is added to all its non-builtin
-      types, or a new type named after the name if all are builtin;
-    * unknown name -> it adopts the set of types known for the attribute
-      (the same set object, so later additions are shared), else a new type.
-    """
+BUILTIN = "!"  # first character of a built-in type's name
+
+
+def fold_attributes(events, builtin=()):
+    """Fold (name, attr) events in order; returns (groups, edges).
 
-    def __init__(self, builtin_attr_types=None, builtin_type_attrs=None):
-        self.name_types: dict[str, set] = {}
-        self.attr_types: dict[str, set] = {}
-        self.type_attrs: dict[str, set] = {}
-        for a, ts in (builtin_attr_types or {}).items():
-            self.attr_types.setdefault(a, set()).update(ts)
-        for t, attrs in (builtin_type_attrs or {}).items():
-            self.type_attrs[t] = set(attrs)
-
-    def _new_type(self, name: str, attr: str) -> None:
-        self.name_types[name] = {name}
-        self.attr_types.setdefault(attr, set()).add(name)
-        self.type_attrs[name] = {attr}
-
-    def digest(self, name: str, attr: str) -> None:
-        types = self.name_types.get(name)
-        if types:
-            if any(attr in self.type_attrs.get(t, ()) for t in types):
-                return
-            added = False
-            for t in types:
-                if t.startswith("!"):
-                    continue
-                self.type_attrs.setdefault(t, set()).add(attr)
-                self.attr_types.setdefault(attr, set()).add(t)
-                added = True
-            if not added:
-                self._new_type(name, attr)
+    Types live in numbered groups.  ``groups["name", n]`` and
+    ``groups["attr", a]`` give the group of a name or attribute, a list of its
+    types; a name that adopts an attribute's group shares it from then on.
+    ``edges`` holds the (type, attr) pairs.  Rules, by what is known:
+
+    * the name's types have the attribute: nothing changes;
+    * they lack it: those that are not built in get it;
+    * none of them can get it, or neither name nor attribute is known: a new
+      type, called like the name, has this attribute alone;
+    * only the attribute is known: the name adopts its group.
+    """
+    groups: dict[tuple[str, str], list[str]] = {}
+    edges: set[tuple[str, str]] = set()
+
+    def attach(types, attr):
+        group = groups.setdefault(("attr", attr), [])
+        group.extend(t for t in types if t not in group)
+        edges.update((t, attr) for t in types)
+
+    for t, attr in builtin:
+        attach([t], attr)
+    for name, attr in events:
+        own = groups.get(("name", name)) or []
+        able = [t for t in own if not t.startswith(BUILTIN)]
+        if any((t, attr) in edges for t in own):
+            continue
+        if able:
+            attach(able, attr)
+        elif not own and groups.get(("attr", attr)):
+            groups["name", name] = groups["attr", attr]
         else:
-            known = self.attr_types.setdefault(attr, set())
-            if known:
-                self.name_types[name] = known
-            else:
-                self._new_type(name, attr)
+            edges = {e for e in edges if e[0] != name}
+            groups["name", name] = [name]
+            attach([name], attr)
+    return groups, edges
+
 
-    def infer(self, name: str) -> set:
-        out: set = set()
-        for t in self.name_types.get(name, ()):
-            out |= self.type_attrs.get(t, set())
-        return out
+def attributes_of(folded, name) -> set:
+    """Attributes of a name's types after the fold."""
+    groups, edges = folded
+    types = set(groups.get(("name", name), ()))
+    return {a for t, a in edges if t in types}
 
 
 LEARNED_SCHEMA = "doc_id long, name string, attr string"
@@ -130,10 +128,12 @@ LEARNED_SCHEMA = "doc_id long, name string, attr string"
 
 def _learn_group(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values(["line", "k"], kind="stable")
-    eng = AttributeLearner()
-    for n, a in zip(pdf["name"], pdf["attr"]):
-        eng.digest(n, a)
-    rows = [(n, a) for n in eng.name_types for a in sorted(eng.infer(n))]
+    groups, edges = fold_attributes(zip(pdf["name"], pdf["attr"]))
+    by_type: dict[str, set] = {}
+    for t, attr in edges:
+        by_type.setdefault(t, set()).add(attr)
+    rows = [(n, attr) for (kind, n), types in groups.items() if kind == "name"
+            for attr in sorted(set().union(*(by_type.get(t, ()) for t in types)))]
     doc = int(pdf["doc_id"].iloc[0])
     return pd.DataFrame({"doc_id": [doc] * len(rows), "name": [r[0] for r in rows], "attr": [r[1] for r in rows]})
 

@@ -32,17 +32,23 @@ def test_learning_fold(spark):
     assert learned["gamma()"] == {"delta"}
 
 
-def test_digest_sharing():
-    eng = at.AttributeLearner()
-    eng.digest("t1", "a1")
-    assert eng.infer("t1") == {"a1"}
-    eng.digest("t2", "a2")
-    eng.digest("t2", "a2")
-    eng.digest("t2", "a1")
-    assert eng.infer("t2") == {"a1", "a2"}
-    eng.digest("t3", "a2")
-    assert eng.infer("t3") == {"a1", "a2"}
-    eng.digest("t3", "a3")
-    assert eng.infer("t3") == {"a1", "a2", "a3"}
-    assert eng.infer("t2") == {"a1", "a2", "a3"}
-    assert eng.infer("t1") == {"a1"}
+def test_shared_groups():
+    events = [("t1", "a1"), ("t2", "a2"), ("t2", "a2"), ("t2", "a1")]
+    folded = at.fold_attributes(events)
+    assert at.attributes_of(folded, "t1") == {"a1"}
+    assert at.attributes_of(folded, "t2") == {"a1", "a2"}
+    folded = at.fold_attributes([*events, ("t3", "a2")])
+    assert at.attributes_of(folded, "t3") == {"a1", "a2"}
+    folded = at.fold_attributes([*events, ("t3", "a2"), ("t3", "a3")])
+    assert at.attributes_of(folded, "t3") == {"a1", "a2", "a3"}
+    assert at.attributes_of(folded, "t2") == {"a1", "a2", "a3"}
+    assert at.attributes_of(folded, "t1") == {"a1"}
+
+
+def test_builtin_types_are_adopted_and_never_changed():
+    builtin = [("!list", "append"), ("!list", "pop"), ("!array", "shape"), ("!array", "ndim")]
+    folded = at.fold_attributes([("arr", "shape"), ("lst", "append")], builtin)
+    assert at.attributes_of(folded, "arr") == {"shape", "ndim"}
+    assert at.attributes_of(folded, "lst") == {"append", "pop"}
+    folded = at.fold_attributes([("arr", "shape"), ("arr", "a3")], builtin)
+    assert at.attributes_of(folded, "arr") == {"a3"}
