@@ -14,11 +14,12 @@ all members of a bucket:
    that meets most others in all its buckets;
 2. links found so far make components; only buckets that still have several
    go on, and only pairs across components;
-3. if two members share no shingle beside those of their centre, they share no
-   more than the smaller of what each shares with it.  So the pairs left to
-   compare are those for which that number is enough, and those that meet in a
-   shingle which the centre lacks.  No other pair can be a link, so none is
-   missed; most of a family's pairs are never made.
+3. the core of such a family is what more than half of its members have.  If
+   two members share no shingle beside the core, they share no more than the
+   smaller of what each has of it.  So the pairs left to compare are those for
+   which that number is enough, and those that meet in a shingle outside the
+   core.  No other pair can be a link, so none is missed; most of a family's
+   pairs are never made.
 
 Before full sets travel, sizes and a sketch of four bits per minhash rule out
 pairs that merely share a passage (see ``most_differing``).  Links are decided
@@ -191,25 +192,20 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def residuals(stars: DataFrame, sets: DataFrame) -> DataFrame:
-    """(node, centre, shared, extra): how many shingles each node shares with
-    its centre, and the others it has."""
+def elements(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """(centre, node, shingle): the shingles of each (centre, node)."""
     import pyarrow as pa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            shared, extra = [], []
-            for x, c in zip(batch.column("x"), batch.column("c"), strict=True):
-                x = np.frombuffer(x.as_py(), np.uint64)
-                own = np.setdiff1d(x, np.frombuffer(c.as_py(), np.uint64), assume_unique=True)
-                shared.append(len(x) - len(own))
-                extra.append(own.view(np.int64).tolist())
-            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("centre"), pa.array(shared, pa.int64()),
-                                              pa.array(extra, pa.list_(pa.int64()))], ["node", "centre", "shared", "extra"])
+            own = [np.frombuffer(x.as_py(), np.int64) for x in batch.column("own")]
+            edges = np.cumsum([0, *map(len, own)]).astype(np.int32)
+            flat = pa.array(np.concatenate(own) if own else np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("centre"), batch.column("node"), pa.ListArray.from_arrays(edges, flat)],
+                                             ["centre", "node", "shingles"])
 
-    rows = stars.join(sets.select("node", F.col("own").alias("x")), "node") \
-        .join(sets.select(F.col("node").alias("centre"), F.col("own").alias("c")), "centre")
-    return rows.select("node", "centre", "x", "c").mapInArrow(run, "node long, centre long, shared long, extra array<long>")
+    rows = members.join(sets, "node").select("centre", "node", "own")
+    return rows.mapInArrow(run, "centre long, node long, shingles array<long>").select("centre", "node", F.explode("shingles").alias("shingle"))
 
 
 def most_differing(count: int, percent: int) -> int:
@@ -259,23 +255,30 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, side: in
         .select("key", "own", F.col("centre.node").alias("centre"), F.coalesce("root", "own.node").alias("root"))
     mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
     placed = written(placed.join(mixed, "key"), "mixed-buckets")
-    beside = written(residuals(placed.where("own.node <> centre").select(F.col("own.node").alias("node"), "centre").distinct(), sets), "residuals")
-    members = placed.join(beside.select("node", F.col("centre").alias("of"), "shared"), (F.col("own.node") == F.col("node")) & (F.col("centre") == F.col("of")))
-    members = members.select("key", "centre", F.col("own").alias("x"), F.col("root").alias("x_root"), F.col("shared").alias("x_shared"))
-    others = members.select("key", F.col("x").alias("y"), F.col("x_root").alias("y_root"), F.col("x_shared").alias("y_shared"))
-    # without a common shingle beside the centre's, two members share no more than each shares with it
+    # what most members of a family have is its core; beside it few share anything
+    family = placed.select("centre", F.col("own.node").alias("node"), "own", "root").distinct()
+    shingle = written(elements(family.select("centre", "node"), sets), "family-shingles")
+    sizes = family.groupBy("centre").agg(F.count("*").alias("members"))
+    counts = shingle.groupBy("centre", "shingle").agg(F.count("*").alias("having")).where("having > 1").join(sizes, "centre") \
+        .select("centre", "shingle", (F.col("having") * 2 > F.col("members")).alias("core"))
+    shingle = written(shingle.join(counts, ["centre", "shingle"]), "shared-shingles")
+    shared = shingle.where("core").groupBy("centre", "node").agg(F.count("*").alias("shared"))
+    family = written(family.join(shared, ["centre", "node"], "left").fillna(0, ["shared"]), "families")
+    x = family.select("centre", F.col("node").alias("x_node"), F.col("own").alias("x"), F.col("root").alias("x_root"), F.col("shared").alias("x_shared"))
+    y = family.select("centre", F.col("node").alias("y_node"), F.col("own").alias("y"), F.col("root").alias("y_root"), F.col("shared").alias("y_shared"))
+    # without a common shingle beside the core, two members share no more than each has of it
     bound = F.least("x_shared", "y_shared")
-    fit = members.join(others, "key").where("x.node > y.node and x_root <> y_root").where(
-        bound * 100 >= (F.col("x.n_shingles") + F.col("y.n_shingles") - bound) * percent)
-    found = pairs(fit, "x", "y")
-    owners = members.select(F.col("centre").alias("of"), "x", "x_root").distinct()
-    extra = beside.select("node", "centre", F.explode("extra").alias("shingle")) \
-        .join(owners, (F.col("node") == F.col("x.node")) & (F.col("centre") == F.col("of")))
-    common = extra.groupBy("centre", "shingle").agg(F.min("x_root").alias("low"), F.max("x_root").alias("high")) \
-        .where("low <> high").select("centre", "shingle")
-    extra = written(extra.select("centre", "shingle", "x", "x_root").join(common, ["centre", "shingle"]), "shared-residuals")
-    others = extra.select("centre", "shingle", F.col("x").alias("y"), F.col("x_root").alias("y_root"))
-    found = found.union(pairs(extra.join(others, ["centre", "shingle"]).where("x.node > y.node and x_root <> y_root"), "x", "y")).distinct()
+    far = placed.select("key", "centre", F.col("own.node").alias("node"))
+    fit = far.withColumnRenamed("node", "x_node").join(x, ["centre", "x_node"]).join(
+        far.withColumnRenamed("node", "y_node").join(y, ["centre", "y_node"]).drop("centre"), "key").where(
+        "x_node > y_node and x_root <> y_root").where(bound * 100 >= (F.col("x.n_shingles") + F.col("y.n_shingles") - bound) * percent)
+    rare = shingle.where("not core").select("centre", "shingle", "node")
+    mixed = rare.join(family.select("centre", "node", "root"), ["centre", "node"]).groupBy("centre", "shingle") \
+        .agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("centre", "shingle")
+    rare = written(rare.join(mixed, ["centre", "shingle"]), "mixed-shingles")
+    meet = rare.withColumnRenamed("node", "x_node").join(x, ["centre", "x_node"]).join(
+        rare.withColumnRenamed("node", "y_node").join(y, ["centre", "y_node"]), ["centre", "shingle"]).where("x_node > y_node and x_root <> y_root")
+    found = pairs(fit, "x", "y").union(pairs(meet, "x", "y")).distinct()
     links = links.union(verified(found, sets, percent))
     roots = written(components(links), "roots")
 
