@@ -1,7 +1,7 @@
 """String similarity as JVM-side expressions, plus one Arrow-batched helper.
 
 ``ratio`` and ``partial_ratio`` are dynamic programs written with nested
-``aggregate`` calls, so they run inside whole-stage code generation with no
+``aggregate`` calls: interpreted, but in the JVM with no
 Python worker.  Callers must block pairs (equi-join on a cheap key) before
 scoring: these are per-pair costs of O(len(a) * len(b)).
 """
