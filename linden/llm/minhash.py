@@ -268,10 +268,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, side: in
     y = family.select("centre", F.col("node").alias("y_node"), F.col("own").alias("y"), F.col("root").alias("y_root"), F.col("shared").alias("y_shared"))
     # without a common shingle beside the core, two members share no more than each has of it
     bound = F.least("x_shared", "y_shared")
-    far = placed.select("key", "centre", F.col("own.node").alias("node"))
-    fit = far.withColumnRenamed("node", "x_node").join(x, ["centre", "x_node"]).join(
-        far.withColumnRenamed("node", "y_node").join(y, ["centre", "y_node"]).drop("centre"), "key").where(
-        "x_node > y_node and x_root <> y_root").where(bound * 100 >= (F.col("x.n_shingles") + F.col("y.n_shingles") - bound) * percent)
+    fit = x.join(y, "centre").where("x_node > y_node and x_root <> y_root").where(
+        bound * 100 >= (F.col("x.n_shingles") + F.col("y.n_shingles") - bound) * percent)
     rare = shingle.where("not core").select("centre", "shingle", "node")
     mixed = rare.join(family.select("centre", "node", "root"), ["centre", "node"]).groupBy("centre", "shingle") \
         .agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("centre", "shingle")
