@@ -109,31 +109,30 @@ def with_next(docs: DataFrame) -> DataFrame:
     next_text holds no more than the edit takes.  Windows span blocks of
     neighbouring ids; only the last document of a block looks further, through
     windows over block ends, so no task orders the table."""
-    rows = docs.select(F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("n_chars", F.length("text").cast("long"))
-    rows = rows.withColumn("block", F.floor(F.col("doc_id") / BLOCK))
-    order = [F.desc_nulls_last("doc_id"), F.desc("text")]
-    own = Window.partitionBy("block").orderBy(*order)
-    half = F.floor(F.col("n_chars") / 2).cast("int")
-    rows = rows.withColumns({"next_id": F.lead("doc_id").over(own), "follows": F.lead(F.lit(True)).over(own),
-                             "leads": F.lag(F.lit(True)).over(own).isNull(),
-                             "next_text": F.substring(F.lead("text").over(own), F.lit(1), half)})
+    rows = docs.select(F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    block = F.coalesce(F.floor(F.col("doc_id") / BLOCK), F.lit(-(1 << 62)))  # null ids: the last block
+    rows = rows.withColumn("block", block)
+    own = Window.partitionBy("block").orderBy(F.desc_nulls_last("doc_id"), F.desc("text"))
+    half = F.floor(F.length("text") / 2).cast("int")
+    heads = rows.withColumn("leads", F.row_number().over(own)).where("leads = 1") \
+        .select(F.col("block").alias("head_block"), F.col("doc_id").alias("head_id"), F.col("text").alias("head_text"))
     # block -> the block after it, by blocks of blocks, then over the few ends of those
-    ids = docs.select(F.floor(F.col("doc_id") / BLOCK).alias("block")).distinct().withColumn("wide", F.floor(F.col("block") / WIDE))
-    inner = Window.partitionBy("wide").orderBy(F.desc_nulls_last("block"))
+    ids = docs.select(block.alias("block")).distinct().withColumn("wide", F.floor(F.col("block") / WIDE))
+    inner = Window.partitionBy("wide").orderBy(F.desc("block"))
     ids = ids.withColumns({"after": F.lead("block").over(inner), "found": F.lead(F.lit(True)).over(inner)})
     tops = ids.groupBy("wide").agg(F.max("block").alias("top"))
-    outer = Window.orderBy(F.desc_nulls_last("wide"))
+    outer = Window.orderBy(F.desc("wide"))
     every = outer.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     tops = tops.select(F.col("wide").alias("own_wide"),
                        F.when(F.lead(F.lit(True)).over(outer), F.lead("top").over(outer)).otherwise(F.first("top").over(every)).alias("next_top"))
-    ids = ids.join(tops, F.col("wide").eqNullSafe(F.col("own_wide"))) \
+    ids = ids.join(tops, F.col("wide") == F.col("own_wide")) \
         .select(F.col("block").alias("from_block"), F.when(F.col("found"), F.col("after")).otherwise(F.col("next_top")).alias("to_block"))
-    last = rows.where("follows is null").select("block", "doc_id", "n_chars", "text")
-    last = last.join(ids, F.col("block").eqNullSafe(F.col("from_block"))).drop("block", "from_block")
-    head = rows.where("leads").select(F.col("block").alias("head_block"), F.col("doc_id").alias("next_id"), F.col("text").alias("head_text"))
-    last = last.join(head, F.col("to_block").eqNullSafe(F.col("head_block")))
-    last = last.select("doc_id", "n_chars", "text", "next_id", F.substring("head_text", F.lit(1), half).alias("next_text"))
-    return rows.where("follows").select("doc_id", "n_chars", "text", "next_id", "next_text").union(last)
+    heads = heads.join(ids, F.col("to_block") == F.col("head_block")).select("from_block", "head_id", "head_text")
+    rows = rows.withColumns({"n_chars": F.length("text").cast("long"), "own_next": F.lead("doc_id").over(own), "follows": F.lead(F.lit(True)).over(own),
+                             "own_text": F.lead("text").over(own)})
+    rows = rows.join(heads, (F.col("block") == F.col("from_block")) & F.col("follows").isNull(), "left")
+    return rows.select("doc_id", "n_chars", "text", F.when(F.col("follows"), F.col("own_next")).otherwise(F.col("head_id")).alias("next_id"),
+                       F.substring(F.when(F.col("follows"), F.col("own_text")).otherwise(F.col("head_text")), F.lit(1), half).alias("next_text"))
 
 
 def edited(rows: DataFrame) -> DataFrame:
