@@ -52,7 +52,7 @@ class WordHashes(dict):
     """64-bit hashes of words, remembered while there are not too many."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 100_000:
             self.clear()
         self[word] = h = xxhash.xxh64_intdigest(word, SEED)
         return h
