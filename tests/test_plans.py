@@ -4,7 +4,7 @@ only where listed)."""
 
 import pytest
 
-import __spark_entry__ as E
+from linden.plans import QUERIES
 from tests.conftest import SMALL
 
 ARROW_ALLOWED = {"abbrev_score", "rank_candidates", "learn_attributes"}
@@ -17,9 +17,9 @@ def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(set(E.queries()) - SKIP))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - SKIP))
 def test_plan_shape(spark, name):
-    plan = _plan(E.queries()[name](spark, SMALL))
+    plan = _plan(QUERIES[name](spark, SMALL))
     assert "CartesianProduct" not in plan
     assert "BroadcastNestedLoopJoin" not in plan
     assert "BatchEvalPython" not in plan
