@@ -8,6 +8,7 @@ first met; texts are then put together with array gathers.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from itertools import chain
@@ -20,6 +21,9 @@ MARK = "\x01"
 #: Finds characters beyond plain Latin text.  Without them, lower-casing a
 #: text first changes no id: nothing composes, and each letter has one lower form.
 BEYOND = re.compile("[^\x00-\u012f\u0131-\u024f\u2010-\u2027\u2030-\u205e]").search
+#: Words of these letters alone are in normal form and one piece each before
+#: merging, so that the library's normaliser and pattern have nothing to do.
+LETTERS = re.compile("\n?[a-z\u00df-\u00f6\u00f8-\u00ff\u0153]+").fullmatch
 SHORT = 7
 #: One of these behind a letter is always a token of its own.
 TAILS = tuple(".,")
@@ -38,6 +42,21 @@ class Codes(dict):
         return code
 
 
+def without_patterns(tokenizer):
+    """For ``LETTERS`` words: the tokenizer without its normaliser and with
+    white space in place of its pattern, or itself if it is built otherwise."""
+    from tokenizers import Tokenizer
+
+    rules = json.loads(tokenizer.to_str())
+    steps = (rules["pre_tokenizer"] or {}).get("pretokenizers", [])
+    kinds = [x["type"] for x in (rules["normalizer"] or {}).get("normalizers", [])]
+    if [x["type"] for x in steps] != ["Split", "ByteLevel"] or not {*kinds} <= {"NFC", "Replace", "Lowercase"} \
+            or "|[\\p{L}]+|" not in steps[0]["pattern"].get("Regex", ""):
+        return tokenizer
+    rules["normalizer"], steps[0] = None, {"type": "WhitespaceSplit"}
+    return Tokenizer.from_str(json.dumps(rules))
+
+
 class WordIds:
     """Encoder that remembers words; beyond ``memory`` entries it forgets the
     longer ones, which seldom come again."""
@@ -47,6 +66,7 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.letters = without_patterns(self.tokenizer)
         self.mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
         self.tails = {c: self.tokenizer.encode(c, add_special_tokens=False).ids[0] for c in TAILS}
         self.memory = memory
@@ -75,15 +95,15 @@ class WordIds:
         self.code = Codes()
         self.code.update((w, k) for k, (w, _) in enumerate(kept))
 
-    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def encode_words(self, words: list[str], tokenizer) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words in a row and their number for each word."""
-        batch = lambda texts: [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        batch = lambda texts: [np.array(e.ids, np.uint32) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         if not words:
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
         if len(self.mark) != 1 or any(MARK in w for w in words):
             found = batch(words)
             return np.concatenate(found), np.array([len(x) for x in found], np.int64)
-        joined = [f" {MARK} ".join([*words[k:k + 500], ""]) for k in range(0, len(words), 500)]
+        joined = [f" {MARK} ".join([*words[k:k + 100], ""]) for k in range(0, len(words), 100)]
         ids = np.concatenate(batch(joined))
         marks = ids == self.mark[0]
         return ids[~marks], np.diff(np.flatnonzero(marks), prepend=-1) - 1
@@ -92,20 +112,21 @@ class WordIds:
         """Encode the words met since the last call.  A word with a full stop
         or comma behind a letter is put together from its two parts."""
         code, first = self.code, len(self.size)
-        tailed, bases, plain = [], [], []
+        tailed, bases, plain, other = [], [], [], []
         for w in code.fresh:  # a base not met before is appended, and so reached too
             if w.endswith(TAILS) and w[-2:-1].isalpha():
                 tailed.append(code[w])
                 bases.append(code[w[:-1]])
             else:
-                plain.append(code[w])
+                (plain if LETTERS(w) else other).append(code[w])
         words, code.fresh = code.fresh, []
-        at = np.array(plain, np.int64)
-        ids, size = self.encode_words([words[c - first] for c in plain])
-        assert len(size) == len(plain)
         self.begin, self.size = np.resize(self.begin, len(code)), np.resize(self.size, len(code))
-        self.begin[at], self.size[at] = len(self.flat) + np.cumsum(size) - size, size
-        self.flat = np.concatenate([self.flat, ids])
+        for codes, tokenizer in ((plain, self.letters), (other, self.tokenizer)):
+            at = np.array(codes, np.int64)
+            ids, size = self.encode_words([words[c - first] for c in codes], tokenizer)
+            assert len(size) == len(codes)
+            self.begin[at], self.size[at] = len(self.flat) + np.cumsum(size) - size, size
+            self.flat = np.concatenate([self.flat, ids])
         if tailed:
             at, base = np.array(tailed, np.int64), np.array(bases, np.int64)
             size = self.size[base] + 1
