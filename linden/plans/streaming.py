@@ -27,16 +27,14 @@ SELECT doc_id, line, seq FROM (
 ) WHERE dirty
 """)
 def dirty_lines(spark, sf):
-    a = _run(spark, sf)
-    return spark.read.parquet(a._path("dirty", a.version))
+    return _run(spark, sf).read("dirty")
 
 
 @register("stream_edit_latest", q.with_(*EDITS_SQL) + """
 SELECT doc_id, line, arg_max(text, (ts, seq)) AS text FROM known GROUP BY doc_id, line
 """)
 def stream_edit_latest(spark, sf):
-    a = _run(spark, sf)
-    return spark.read.parquet(a._path("lines", a.version))
+    return _run(spark, sf).read("lines")
 
 
 @register("postings_after_edits", q.with_(*EDITS_SQL, """final AS (
@@ -47,8 +45,15 @@ def stream_edit_latest(spark, sf):
 SELECT doc_id, t, line, count(*) AS n FROM ftokens GROUP BY doc_id, t, line
 """)
 def postings_after_edits(spark, sf):
-    a = _run(spark, sf)
-    return spark.read.parquet(a._path("postings", a.version))
+    return _run(spark, sf).read("postings")
+
+
+@register("rejected_edits", q.with_(q.LINES, q.EDIT_LOG) + """
+SELECT e.doc_id, e.line, e.seq FROM edit_log e
+LEFT JOIN lines l ON l.doc_id = e.doc_id AND l.line = e.line WHERE l.text IS NULL
+""")
+def rejected_edits(spark, sf):
+    return _run(spark, sf).rejected()
 
 
 @register("tree_state", """

@@ -1,20 +1,21 @@
-"""Edit streams: keep line text, dirty lines and postings current.
+"""Edit streams: keep line text, dirty edits and postings current.
 
-The edit log (``doc_id, line, text, ts, seq``) arrives as a stream.  Each
-micro-batch is applied with ``foreachBatch``:
+The edit log (``doc_id, line, text, ts, seq``) arrives as a stream, in any
+order and split over any number of micro-batches.  ``foreachBatch`` appends
+to tables under the shared checkpoint folder, one folder per batch id:
 
-1. order the batch's edits per (doc_id, line) by (ts, seq);
-2. an edit is *dirty* when its text differs from the line's text before it
-   (the previous edit in the batch, else the stored state, else the base
-   document line);
-3. the line-state table gets the latest text per touched line;
-4. the postings table drops the touched lines and adds their new tokens.
+``log``       every edit of the batch with the base text of its line
+``lines``     latest text of each line that the batch touches
+``dirty``     dirty edits of those lines: text differs from the edit before
+              in (ts, seq) order, or from the base line for the first one
+``postings``  tokens of those lines
 
-State tables are written as new versions under the shared checkpoint folder
-(one folder per batch id, so a retried batch rewrites the same version), and
-the stream's own checkpoint records progress: a restarted job resumes after
-the last committed batch.  The stream carries a 1-hour event-time watermark
-so stateful operators downstream keep bounded state.
+Rows of the last three replace what earlier batches say of the same line, so
+a late edit puts its line right without rewriting other lines.  A batch reads
+the log up to itself and writes only its own folders, then its commit marker:
+a batch that runs again writes the same again, and readers see committed
+batches alone.  Edits of a line that does not exist stay in the log and are
+returned by ``rejected`` (their sender needs a full sync).
 
 Range edits that change the number of lines (splices) are order-dependent
 per document; ``apply_splice`` is the pure fold used for them.
@@ -28,105 +29,105 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linden.operators import lookup
+from linden.operators.sequence import carry_last
 from linden.session import scratch_path
 from linden.sources import views
 
 EDIT_SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
-WATERMARK = "1 hour"
+LINE = ["doc_id", "line"]
+
+
+def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stream over the files of the ``events`` table, be it one file or a folder."""
+    # a pattern, because the source takes a plain path for a folder
+    events = spark.readStream.schema(EDIT_SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{sf_dir.rstrip('/')}/events.parque[t]")
+    return events.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def edit_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Streaming edit log replayed from the ``events`` parquet file."""
-    ev = (
-        spark.readStream.schema(EDIT_SCHEMA)
-        .option("pathGlobFilter", "events.parquet")
-        .option("maxFilesPerTrigger", 1)
-        .parquet(sf_dir)
-    )
-    e = views.edit_log(ev).withColumn("ts", F.col("ts").cast("timestamp"))
-    return e.withWatermark("ts", WATERMARK)
+    """Streaming edit log replayed from the ``events`` table."""
+    return views.edit_log(event_stream(spark, sf_dir))
 
 
-def dirty_edits(batch: DataFrame, state: DataFrame, base: DataFrame) -> DataFrame:
-    """(doc_id, line, seq, text, dirty) for every edit of a batch that targets
-    an existing line.  ``state`` / ``base``: (doc_id, line, text)."""
-    from linden.operators.sequence import carry_last
+def with_base(edits: DataFrame, base: DataFrame) -> DataFrame:
+    """Edits with the ``base`` text of their line, null where there is none."""
+    known = base.select(*LINE, F.col("text").alias("base"))
+    return edits.select(*LINE, "text", "ts", "seq").join(known, LINE, "left")
 
-    known = base.select("doc_id", "line", F.col("text").alias("_base"))
-    cur = state.select("doc_id", "line", F.col("text").alias("_state"))
-    b = batch.join(known, ["doc_id", "line"]).join(cur, ["doc_id", "line"], "left")
+
+def dirty_edits(edits: DataFrame) -> DataFrame:
+    """(doc_id, line, seq, ts, text, dirty) for edits (``with_base``) of existing lines."""
     # Previous edit of the same line: blocked by event hour, so a line edited
     # very often is not one task.
     hour = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(3_600_000_000))
-    b = carry_last(b, F.col("text"), "_prev_edit", key=["doc_id", "line"], order=["ts", "seq"], block_col=hour)
-    before = F.coalesce(F.col("_prev_edit"), F.col("_state"), F.col("_base"))
-    return b.select("doc_id", "line", "seq", "ts", "text", (F.col("text") != before).alias("dirty"))
+    found = carry_last(edits.where("base is not null"), F.col("text"), "_before", key=LINE, order=["ts", "seq"], block_col=hour)
+    return found.select(*LINE, "seq", "ts", "text", (F.col("text") != F.coalesce("_before", "base")).alias("dirty"))
 
 
 class EditApplier:
-    """foreachBatch handler that versions line state and postings."""
+    """foreachBatch handler; its tables live under ``root``."""
 
-    KINDS = ("lines", "postings", "dirty")
+    KINDS = {
+        "log": "doc_id long, line int, text string, ts timestamp, seq long, base string",
+        "lines": "doc_id long, line int, text string",
+        "dirty": "doc_id long, line int, seq long",
+        "postings": "doc_id long, t string, line int, n long",
+        "commits": "done boolean",
+    }
 
     def __init__(self, spark: SparkSession, base_lines: DataFrame, root: str):
-        self.spark = spark
-        self.base = base_lines
-        self.root = root
-        # After a driver restart, resume from the last version that all three
-        # state tables committed; the stream re-runs any later batch, which
-        # overwrites its own version folders.
-        self.version = self._latest_committed()
-
-    def _latest_committed(self):
-        from pyspark.errors import AnalysisException
-
-        common = None
-        for kind in self.KINDS:
-            try:
-                found = {r[0] for r in self.spark.read.parquet(f"{self.root}/{kind}").select("v").distinct().collect()}
-            except AnalysisException:
-                return None
-            common = found if common is None else common & found
-        return max(common) if common else None
-
-    def _path(self, kind: str, version) -> str:
-        return f"{self.root}/{kind}/v={version}"
-
-    def _read(self, kind: str, schema: str) -> DataFrame:
-        if self.version is None:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.parquet(self._path(kind, self.version))
+        self.spark, self.base, self.root = spark, base_lines, root
+        for kind, schema in self.KINDS.items():  # so that every table can be read from the start
+            spark.createDataFrame([], schema).write.mode("ignore").parquet(self._path(kind, -1))
+
+    def _path(self, kind: str, batch_id: int) -> str:
+        return f"{self.root}/{kind}/batch={batch_id}"
+
+    def _table(self, kind: str) -> DataFrame:
+        return self.spark.read.schema(self.KINDS[kind]).parquet(f"{self.root}/{kind}")
+
+    @property
+    def version(self) -> int:
+        """Last committed batch, -1 before the first."""
+        return self._table("commits").agg(F.coalesce(F.max("batch"), F.lit(-1))).first()[0]
+
+    def _newest(self) -> DataFrame:
+        """(doc_id, line, batch): the committed batch that last touched each line."""
+        return self._table("lines").where(F.col("batch") <= self.version).groupBy(*LINE).agg(F.max("batch").alias("batch"))
+
+    def read(self, kind: str) -> DataFrame:
+        """Current rows of ``lines`` or ``dirty``, or the postings of all lines
+        of the edited documents."""
+        rows = self._table(kind).join(self._newest(), [*LINE, "batch"]).drop("batch")
+        if kind == "postings":
+            same = lookup.postings(views.tokens(self.base)).join(self._newest(), LINE, "left_anti")
+            rows = rows.unionByName(same.select(rows.columns))
+        return rows
+
+    def rejected(self) -> DataFrame:
+        """(doc_id, line, seq) of edits whose line does not exist."""
+        return self._table("log").where((F.col("batch") <= self.version) & F.col("base").isNull()).select(*LINE, "seq")
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        batch = batch.select("doc_id", "line", "text", "ts", "seq")
-        state = self._read("lines", "doc_id long, line int, text string")
-        post = self._read("postings", "doc_id long, t string, line int, n long")
-        dirty_log = self._read("dirty", "doc_id long, line int, seq long")
-
-        marked = dirty_edits(batch, state, self.base)
-        latest = marked.groupBy("doc_id", "line").agg(
-            F.max_by("text", F.struct("ts", "seq")).alias("text"), F.max("dirty").alias("changed"))
-        touched = latest.where("changed").select("doc_id", "line", "text")
-        new_state = state.join(latest.select("doc_id", "line"), ["doc_id", "line"], "left_anti") \
-            .unionByName(latest.select("doc_id", "line", "text"))
-        # Postings start from the base document; touched lines are replaced.
-        if self.version is None:
-            post = lookup.postings(views.tokens(self.base))
-        new_post = post.join(touched.select("doc_id", "line"), ["doc_id", "line"], "left_anti") \
-            .unionByName(lookup.postings(views.tokens(touched)).select("doc_id", "t", "line", "n"))
-        new_dirty = dirty_log.unionByName(marked.where("dirty").select("doc_id", "line", "seq"))
-
-        for kind, df in (("lines", new_state), ("postings", new_post), ("dirty", new_dirty)):
-            df.write.mode("overwrite").parquet(self._path(kind, batch_id))
-        self.version = batch_id
+        def write(kind: str, rows: DataFrame) -> None:
+            rows.write.mode("overwrite").parquet(self._path(kind, batch_id))
+
+        write("log", with_base(batch, self.base))
+        log = self._table("log").where(F.col("batch") <= batch_id)
+        touched = log.where((F.col("batch") == batch_id) & F.col("base").isNotNull()).select(*LINE).distinct()
+        log = log.join(touched, LINE, "left_semi")
+        write("lines", log.groupBy(*LINE).agg(F.max_by("text", F.struct("ts", "seq")).alias("text")))
+        write("dirty", dirty_edits(log).where("dirty").select(*LINE, "seq"))
+        lines = self.spark.read.schema(self.KINDS["lines"]).parquet(self._path("lines", batch_id))
+        write("postings", lookup.postings(views.tokens(lines)).select("doc_id", "t", "line", "n"))
+        write("commits", self.spark.createDataFrame([(True,)], self.KINDS["commits"]))
 
 
 def run_edit_stream(spark: SparkSession, sf_dir: str, base_lines: DataFrame, name: str = "edits",
                     root: str | None = None) -> EditApplier:
     """Apply the whole available edit log (``availableNow``) and return the
-    applier, whose latest version holds lines, postings and dirty edits.
-    Passing the ``root`` of an earlier run resumes it (stream checkpoint and
-    state versions live there)."""
+    applier.  Passing the ``root`` of an earlier run resumes it (stream
+    checkpoint and tables live there)."""
     root = root or scratch_path(spark, f"stream-{name}-{uuid.uuid4().hex[:12]}")
     applier = EditApplier(spark, base_lines, root)
     q = (
@@ -148,8 +149,7 @@ def final_lines(base: DataFrame, edits: DataFrame) -> DataFrame:
 
 def dirty_lines_batch(base: DataFrame, edits: DataFrame) -> DataFrame:
     """Batch twin of the dirty-edit log: (doc_id, line, seq)."""
-    empty = base.limit(0).select("doc_id", "line", "text")
-    return dirty_edits(edits, empty, base).where("dirty").select("doc_id", "line", "seq")
+    return dirty_edits(with_base(edits, base)).where("dirty").select(*LINE, "seq")
 
 
 def apply_splice(doc: list[str], from_line: int, to_line: int, new_lines: list[str]) -> list[str] | None:
