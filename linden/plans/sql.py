@@ -80,12 +80,12 @@ EDIT_LOG = """edit_log AS (
 )"""
 
 MANIFESTS = """manifest_old AS (
-  SELECT CAST(doc_id AS VARCHAR) AS path, md5(text) AS hash FROM documents WHERE doc_id % 10 <> 0
+  SELECT CASE WHEN doc_id % 10 = 0 THEN 'old/' ELSE '' END || CAST(doc_id AS VARCHAR) AS path, md5(text) AS hash FROM documents
 ),
 manifest_new AS (
-  SELECT CAST(doc_id AS VARCHAR) AS path,
+  SELECT CASE WHEN doc_id % 7 = 0 THEN 'new/' ELSE '' END || CAST(doc_id AS VARCHAR) AS path,
          md5(text || CASE WHEN doc_id % 5 = 0 THEN 'x' ELSE '' END) AS hash
-  FROM documents WHERE doc_id % 7 <> 0
+  FROM documents
 )"""
 
 

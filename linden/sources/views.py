@@ -91,15 +91,14 @@ def edit_log(events: DataFrame) -> DataFrame:
 
 
 def manifest_old(documents: DataFrame) -> DataFrame:
-    return documents.where(F.col("doc_id") % 10 != 0).select(
-        F.col("doc_id").cast("string").alias("path"),
-        F.md5(F.col("text")).alias("hash"),
-    )
+    """One path per document; those that are gone later are under ``old/``."""
+    path = F.concat(F.when(F.col("doc_id") % 10 == 0, "old/").otherwise(""), F.col("doc_id").cast("string"))
+    return documents.select(path.alias("path"), F.md5(F.col("text")).alias("hash"))
 
 
 def manifest_new(documents: DataFrame) -> DataFrame:
+    """One path per document; those not there before are under ``new/``, and
+    the text of every fifth has grown."""
+    path = F.concat(F.when(F.col("doc_id") % 7 == 0, "new/").otherwise(""), F.col("doc_id").cast("string"))
     suffix = F.when(F.col("doc_id") % 5 == 0, F.lit("x")).otherwise(F.lit(""))
-    return documents.where(F.col("doc_id") % 7 != 0).select(
-        F.col("doc_id").cast("string").alias("path"),
-        F.md5(F.concat(F.col("text"), suffix)).alias("hash"),
-    )
+    return documents.select(path.alias("path"), F.md5(F.concat(F.col("text"), suffix)).alias("hash"))
