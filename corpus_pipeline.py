@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linden.llm import minhash, packing, quality, repeats
-from linden.llm.common import tokenizer_path, written
+from linden.llm.common import bounded_batches, tokenizer_path, written
 from linden.sources.tables import table
 
 QUALITY_THRESHOLD = 0.3
@@ -23,6 +23,7 @@ CLASS_WORDS, CLASS_PERCENT = 5, 80
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on the labelled ones among them,
     does not reject."""
+    bounded_batches(spark)
     stats = written(quality.vectors(docs.select("doc_id", "text"), drop_text=True), "pipeline-stats")
     model = quality.fit(quality.examples_of(stats, table(spark, sf_dir, "labels")))
     return quality.classify(docs, model, QUALITY_THRESHOLD).where("predicted = 1").select(docs.columns)
@@ -31,6 +32,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that is alike in five-word shingles; of rows
     with equal doc_id and text one stays."""
+    bounded_batches(spark)
     groups = minhash.near_duplicates(docs, CLASS_WORDS, CLASS_PERCENT)
     kept = groups.where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
     return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id"))).select(docs.columns).dropDuplicates(["doc_id", "text"])
@@ -39,6 +41,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages that occur elsewhere too.  A passage may
     begin or end inside a character; its rest goes with it."""
+    bounded_batches(spark)
     rows = repeats.remove_repeats(docs, PASSAGE_BYTES, as_text=True)
     text = F.when(F.size("spans") == 0, F.col("text")).otherwise(F.col("kept"))
     return rows.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
@@ -46,6 +49,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of at most 4096 ids, in doc_id order."""
+    bounded_batches(spark)
     return packing.pack(docs, tokenizer_path("word_bpe_49k.json"))
 
 

@@ -17,6 +17,12 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def bounded_batches(spark: SparkSession, size: int = 4 << 20) -> None:
+    """From now on Arrow batches between Spark and Python hold at most about
+    ``size`` bytes, however long the texts of a batch's rows are."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as Parquet under the shared folder and read back:
     later branches scan it, and a lost executor costs no recomputation."""
