@@ -160,12 +160,12 @@ class UrlModel:
 
 
 def train(labelled: DataFrame, url: str = "url", most: int = 20_000, trees: int = 20, depth: int = 4, seed: int = 7) -> UrlModel:
-    """Fit on rows (url, host, path, label 0 or 1).  The trees see at most
-    ``most`` distinct labelled URLs, those with the smallest hashes; the
-    suffix statistics see the same."""
-    sample = written(labelled.select(url, "host", "path", "label").distinct()
-                     .orderBy(F.xxhash64(url), url, "label").limit(most), "labelled-urls")
-    statistics = suffix_statistics(sample)
+    """Fit on rows (url, host, path, label 0 or 1).  The suffix statistics
+    count every distinct labelled URL; the trees see at most ``most`` of them,
+    those with the smallest hashes."""
+    distinct = labelled.select(url, "host", "path", "label").distinct()
+    statistics = written(suffix_statistics(distinct), "url-statistics")
+    sample = written(distinct.orderBy(F.xxhash64(url), url, "label").limit(most), "labelled-urls")
     kinds = sorted(r.label for r in sample.select("label").distinct().collect())
     if len(kinds) < 2:
         return UrlModel(None, statistics, "block" if kinds == [1] else "allow")

@@ -89,3 +89,17 @@ def test_nulls_repeats_one_label_and_empty(spark):
         rows = urls.filter_urls(pages, URL_RULES, urls.train(labelled)).collect()
         assert [(r.host, r.path, r.rule, r.verdict) for r in rows] == [("", "", None, verdict)] * 3
     assert urls.filter_urls(pages.limit(0), URL_RULES, urls.train(none)).count() == 0
+
+
+def test_statistics_count_every_labelled_url(spark):
+    rows = [(f"http://h.site{i % 60}.net/p{i % 90}/{i}", int(i % 60 < 20)) for i in range(600)]
+    pages = urls.split_url(spark.createDataFrame(rows + rows[:100], "url string, label int"))
+    got = {(r.kind, r.key): r.blocked for r in urls.train(pages, most=50, trees=2).statistics.collect()}
+    counts = Counter()
+    for u, y in rows:
+        for key in (("suffix", "net"), ("site", f"{u.split('/')[2][2:]}"), ("section", f"net/{u.split('/')[3]}")):
+            counts[key, y] += 1
+    keys = {k for k, _ in counts}
+    assert got.keys() == keys and len(keys) == 151
+    for k in keys:
+        assert math.isclose(got[k], (counts[k, 1] + 2) / (counts[k, 0] + counts[k, 1] + 4))
