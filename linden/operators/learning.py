@@ -91,10 +91,11 @@ def feature_importances(model: PipelineModel, features: list[str]) -> dict[str,
 
 
 def select_features(train_df: DataFrame, valid_df: DataFrame, features: list[str], label: str = "y",
-                    max_rounds: int = 3, num_trees: int = SELECTION_TREES, seed: int = 0) -> list[str]:
+                    max_rounds: int | None = None, num_trees: int = SELECTION_TREES, seed: int = 0) -> list[str]:
     """Drop features with importance below 1e-5 and refit until none is left;
-    then try removing features least-important-first and keep a removal when
-    validation top-1 does not drop; repeat up to ``max_rounds`` passes.
+    then try removing features least-important-first and keep the first
+    removal that does not lower validation top-1; start over after it and stop
+    when no removal is kept.  ``max_rounds`` can bound the removals kept.
 
     ``train_df`` / ``valid_df`` should be written tables (lineage cut): every
     refit rescans them."""
@@ -114,28 +115,22 @@ def select_features(train_df: DataFrame, valid_df: DataFrame, features: list[str
         s = model.transform(v).withColumn("score", F.get(vector_to_array(F.col("p")), 1))
         return evaluate(s).first()["top1_accuracy"] or 0.0
 
-    cols = list(features)
+    cols, rounds = list(features), 0
     while True:
         m = fit(cols)
         imp = m.stages[-1].featureImportances
         keep = [c for i, c in enumerate(cols) if imp[i] >= IMPORTANCE_FLOOR]
-        if len(keep) == len(cols) or not keep:
+        if 0 < len(keep) < len(cols):
+            cols = keep
+            continue
+        if len(cols) < 2 or rounds == max_rounds:
             break
-        cols = keep
-    for _ in range(max_rounds):
-        changed = False
-        m = fit(cols)
-        base = top1(m, cols)
-        imp = m.stages[-1].featureImportances
-        order = sorted(range(len(cols)), key=lambda i: imp[i])
-        for i in order:
-            trial = [c for c in cols if c != cols[i]] if i < len(cols) else cols
-            if len(trial) < 1:
-                continue
-            acc = top1(fit(trial), trial)
-            if acc >= base:
-                cols, base, changed = trial, acc, True
+        base, rounds = top1(m, cols), rounds + 1
+        for i in sorted(range(len(cols)), key=lambda i: imp[i]):
+            trial = cols[:i] + cols[i + 1:]
+            if top1(fit(trial), trial) >= base:
+                cols = trial
                 break
-        if not changed:
+        else:
             break
     return cols

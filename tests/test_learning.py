@@ -57,3 +57,17 @@ def test_context_feature_order():
     names = list(ft.REGISTRY.context)
     assert names[:5] == ["blank_line_before", "line_number", "indent", "indent_delta", "at_line_start"]
     assert len(names) == 52
+
+
+def test_feature_selection_goes_on_until_nothing_changes(spark):
+    # Each of six features is mute on its own sixth of the training groups and
+    # tells all on the validation groups: any five can go.
+    names = [f"a{k}" for k in range(6)]
+    schema = "doc_id long, line int, pos int, c string, y int, " + ", ".join(f"{c} double" for c in names)
+
+    def table_of(mute):
+        return spark.createDataFrame([(g, 0, 0, f"c{k}", int(k == g % 3), *[float(k == g % 3 and not mute(g, f)) * 5 for f in range(6)])
+                                      for g in range(72) for k in range(3)], schema)
+
+    train, valid = table_of(lambda g, f: g % 6 == f), table_of(lambda g, f: False)
+    assert len(lr.select_features(train, valid, names, num_trees=10)) == 1
