@@ -18,8 +18,9 @@ import numpy as np
 SENTENCE_ENDS = tuple(".!?…。！？")
 #: A control character that is a token of its own between words.
 MARK = "\x01"
-#: Finds characters beyond plain Latin text.  Without them, lower-casing a
-#: text first changes no id: nothing composes, and each letter has one lower form.
+#: Finds characters beyond plain Latin text.  Without them, lower-casing a word
+#: first changes no id (nothing composes, and each letter has one lower form),
+#: unless it then holds an added token: the library finds those in the raw word.
 BEYOND = re.compile("[^\x00-\u012f\u0131-\u024f\u2010-\u2027\u2030-\u205e]").search
 #: Words of these letters alone are in normal form and one piece each before
 #: merging, so that the library's normaliser and pattern have nothing to do.
@@ -67,6 +68,7 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.letters = without_patterns(self.tokenizer)
+        self.added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
         self.tails = {c: self.tokenizer.encode(c, add_special_tokens=False).ids[0] for c in TAILS}
         self.memory = memory
@@ -138,12 +140,23 @@ class WordIds:
         self.ends = np.concatenate([self.ends, np.array([w.endswith(SENTENCE_ENDS) for w in words], bool)])
         self.breaks = np.concatenate([self.breaks, np.array([w.startswith("\n") for w in words], bool)])
 
+    def words_of(self, text: str) -> list[str]:
+        """The words of a text, lower-cased where that changes no id."""
+        if BEYOND(text):
+            return text.replace("\n", " \n").split(" ")
+        lower = text.lower().replace("\n", " \n")
+        words = lower.split(" ")
+        if any(t in lower for t in self.added):
+            raw = text.replace("\n", " \n").split(" ")
+            words = [r if any(t in w for t in self.added) else w for w, r in zip(words, raw, strict=True)]
+        return words
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Ids of all texts in a row; number of ids of each text; positions
         (in the row of ids) where a sentence ends; and the texts' offsets."""
         if len(self.code) > self.memory:
             self.trim()
-        words = [(t if BEYOND(t) else t.lower()).replace("\n", " \n").split(" ") for t in texts]
+        words = [self.words_of(t) for t in texts]
         counts = np.array([len(w) for w in words], np.int64)
         codes = np.fromiter(map(self.code.__getitem__, chain.from_iterable(words)), np.int64, int(counts.sum()))
         if self.code.fresh:

@@ -31,6 +31,15 @@ def test_word_ids_equal_the_library(texts):
     assert [ids[o:o + n].tolist() for o, n in zip(offsets, sizes, strict=True)] == library_ids(texts)
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["<|endoftext|>", "<|EndOfText|>", "<|ENDOFTEXT|>", "<|StartOfText|>", "<|startoftext|>", "<|",
+                                          "|>", "Word", "É", ".", ",", "!", " ", "\n", "Σ"]), max_size=12).map("".join), max_size=4))
+def test_markers_in_any_case_equal_the_library(texts):
+    texts += ["a <|EndOfText|> b", "A<|ENDOFTEXT|>B.", "<|endoftext|>Word <|StartOfText|>, X"]
+    ids, sizes, _, offsets = WordIds(PATH).encode(texts)
+    assert [ids[o:o + n].tolist() for o, n in zip(offsets, sizes, strict=True)] == library_ids(texts)
+
+
 def test_frame_detects_damage():
     data = records.frame(b"\x02abc")
     assert records.unframe(data) == b"\x02abc"
