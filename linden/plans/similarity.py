@@ -46,7 +46,8 @@ def fuzzy_partial(spark, sf):
 
 @register("abbrev_score")
 def abbrev_score(spark, sf):
+    # Typed texts are all prefixes of the neighbour; each pair is scored once.
     p = _pairs(spark, sf)
-    typed = F.lower(F.substring("a", 1, 3))
-    return p.select(F.col("b").alias("target"), typed.alias("typed")).distinct().select(
+    prefixes = F.transform(F.sequence(F.lit(1), F.length("a")), lambda n: F.lower(F.substring("a", F.lit(1), n)))
+    return p.select(F.col("b").alias("target"), F.explode(prefixes).alias("typed")).distinct().select(
         "target", "typed", sim.abbreviation_score_udf(F.col("target"), F.col("typed")).alias("score"))

@@ -1,8 +1,11 @@
 """Similarity scores pinned by the reference's feature and UI tests."""
 
 from pyspark.sql import functions as F
+from tests.conftest import SMALL
 
 from linden.functions import similarity as sim
+from linden.plans.registry import QUERIES
+from linden.plans.similarity import _pairs
 
 RATIO = [("_underscore", "__dunder", 63), ("regularizers", "kernel_regularizer", 73),
          ("regularizers", "regularize", 91), ("placeholder", "hold", 53), ("string", "str", 67),
@@ -46,3 +49,11 @@ def test_abbreviation_udf_matches_python(spark):
     df = spark.createDataFrame(rows, "t string, s string")
     got = [r[0] for r in df.select(sim.abbreviation_score_udf("t", "s")).collect()]
     assert got == [sim.abbreviation_score(t, s) for t, s in rows]
+
+
+def test_abbreviation_query_scores_every_prefix(spark):
+    got = QUERIES["abbrev_score"](spark, SMALL).collect()
+    want = {(r.b, r.a[:n].lower()) for r in _pairs(spark, SMALL).collect() for n in range(1, len(r.a) + 1)}
+    assert len(got) == len(want) and {(r.target, r.typed) for r in got} == want
+    assert max(len(r.typed) for r in got) > 3
+    assert all(r.score == sim.abbreviation_score(r.target, r.typed) for r in got[:2000])
