@@ -1,4 +1,4 @@
-"""Removal of repeated byte strings by a difference cover of the suffixes.
+"""Removal of repeated byte strings by samples chosen by content and digests.
 
 A byte is removed if some string of ``length`` bytes that covers it also
 starts elsewhere.  That is a question about the first ``length`` bytes of
@@ -22,7 +22,7 @@ suffixes are named first and the remaining ones follow from them:
    places among them mean a repeat (a minimum and a maximum per name, which
    aggregate before the shuffle, instead of a sorted scan).
 
-A sort of every byte's suffix would shuffle the input some forty times over;
+A sort of every byte's suffix would by estimate shuffle the input some forty times over;
 this shuffles one row per sampled position.  Names of step 1 only select; the
 names that decide are 128-bit digests of the bytes.  Equal documents are
 represented once and removed whole.
