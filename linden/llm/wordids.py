@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import unicodedata
 from itertools import chain
 
 import numpy as np
@@ -30,6 +31,12 @@ SHORT = 7
 TAILS = tuple(".,")
 
 
+def ends_in_letter(word: str) -> bool:
+    """Whether the word still ends in a letter once lower-cased and composed:
+    some letters become a letter and a mark, and a mark joins what follows."""
+    return unicodedata.normalize("NFC", word.lower())[-1:].isalpha()
+
+
 class Codes(dict):
     """Numbers words in the order they are met."""
 
@@ -116,7 +123,7 @@ class WordIds:
         code, first = self.code, len(self.size)
         tailed, bases, plain, other = [], [], [], []
         for w in code.fresh:  # a base not met before is appended, and so reached too
-            if w.endswith(TAILS) and w[-2:-1].isalpha():
+            if w.endswith(TAILS) and (LETTERS(w[:-1]) or ends_in_letter(w[:-1])):
                 tailed.append(code[w])
                 bases.append(code[w[:-1]])
             else:

@@ -95,3 +95,19 @@ def test_nulls_long_texts_repeats_and_order(spark):
     twice = packing.pack(docs.union(docs), PATH).collect()
     assert sum(r.length for r in twice) == 2 * sum(r.length for r in rows)
     assert packing.pack(docs.limit(0), PATH).count() == 0
+
+
+def test_every_letter_before_a_stop_or_comma():
+    """The ids of texts that end in any character and a stop or comma are the library's."""
+    from linden.llm.wordids import WordIds
+
+    t = Tokenizer.from_file(PATH)
+    texts = [f"{b}{chr(c)}{e} x" for c in range(0x21, 0x20000) if not 0xD800 <= c < 0xE000 for b, e in (("", "."), ("ab", ","))]
+    own = WordIds(PATH)
+    for k in range(0, len(texts), 40_000):
+        part = texts[k:k + 40_000]
+        ids, counts, *_ = own.encode(part)
+        want = [e.ids for e in t.encode_batch(part, add_special_tokens=False)]
+        upto = np.cumsum(counts)
+        for i, w in enumerate(want):
+            assert ids[upto[i] - counts[i]:upto[i]].tolist() == w, part[i]
