@@ -18,7 +18,9 @@ no row of tokens is ever shuffled.
 
 Nulls and edge cases: a null text is an empty one; empty and blank texts have
 an empty fingerprint (all dots), and two of those are alike (1.0); fewer
-tokens than a k-mer are one k-mer; texts of any length are taken whole.
+tokens than a k-mer are one k-mer; texts of any length are taken whole; a null
+doc_id comes after all others, and rows that repeat a doc_id stay rows of
+their own, ordered by text.
 """
 
 from __future__ import annotations
@@ -95,7 +97,7 @@ def likeness(a: Column, b: Column) -> Column:
     counts = F.aggregate(both, F.struct(F.lit(0).alias("same"), F.lit(0).alias("filled")), lambda s, v: F.struct(
         (s.same + F.coalesce(v, F.lit(0))).alias("same"), (s.filled + v.isNotNull().cast("int")).alias("filled")))
     return F.when(F.length(F.replace(F.concat(a, b), F.lit("."))) == 0, F.lit(1.0)).otherwise(
-        F.transform(F.array(counts), lambda s: s.same / s.filled)[0])
+        F.transform(F.array(counts), lambda s: F.try_divide(s.same, s.filled))[0])
 
 
 #: Documents of neighbouring ids that a window holds at a time.
@@ -104,18 +106,20 @@ WIDE = 1024
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_chars, text, next_id, next_text): each document with the one
-    that follows in descending doc_id order, the first after the last.
+    """(doc_id, n_chars, text, text_hash, next_id, next_hash, next_text): each
+    document with the one that follows in descending doc_id order (then by
+    descending text, null ids last), the first after the last.  text_hash
+    tells rows that repeat a doc_id apart, next_hash is the following row's;
     next_text holds no more than the edit takes.  Windows span blocks of
     neighbouring ids; only the last document of a block looks further, through
     windows over block ends, so no task orders the table."""
-    rows = docs.select(F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = docs.select(F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
     block = F.coalesce(F.floor(F.col("doc_id") / BLOCK), F.lit(-(1 << 62)))  # null ids: the last block
     rows = rows.withColumn("block", block)
     own = Window.partitionBy("block").orderBy(F.desc_nulls_last("doc_id"), F.desc("text"))
     half = F.floor(F.length("text") / 2).cast("int")
     heads = rows.withColumn("leads", F.row_number().over(own)).where("leads = 1") \
-        .select(F.col("block").alias("head_block"), F.col("doc_id").alias("head_id"), F.col("text").alias("head_text"))
+        .select(F.col("block").alias("head_block"), F.col("doc_id").alias("head_id"), F.col("text").alias("head_text"), F.col("text_hash").alias("head_hash"))
     # block -> the block after it, by blocks of blocks, then over the few ends of those
     ids = docs.select(block.alias("block")).distinct().withColumn("wide", F.floor(F.col("block") / WIDE))
     inner = Window.partitionBy("wide").orderBy(F.desc("block"))
@@ -127,11 +131,13 @@ def with_next(docs: DataFrame) -> DataFrame:
                        F.when(F.lead(F.lit(True)).over(outer), F.lead("top").over(outer)).otherwise(F.first("top").over(every)).alias("next_top"))
     ids = ids.join(tops, F.col("wide") == F.col("own_wide")) \
         .select(F.col("block").alias("from_block"), F.when(F.col("found"), F.col("after")).otherwise(F.col("next_top")).alias("to_block"))
-    heads = heads.join(ids, F.col("to_block") == F.col("head_block")).select("from_block", "head_id", "head_text")
+    heads = heads.join(ids, F.col("to_block") == F.col("head_block")).select("from_block", "head_id", "head_text", "head_hash")
     rows = rows.withColumns({"n_chars": F.length("text").cast("long"), "own_next": F.lead("doc_id").over(own), "follows": F.lead(F.lit(True)).over(own),
-                             "own_text": F.lead("text").over(own)})
+                             "own_text": F.lead("text").over(own), "own_hash": F.lead("text_hash").over(own)})
     rows = rows.join(heads, (F.col("block") == F.col("from_block")) & F.col("follows").isNull(), "left")
-    return rows.select("doc_id", "n_chars", "text", F.when(F.col("follows"), F.col("own_next")).otherwise(F.col("head_id")).alias("next_id"),
+    return rows.select("doc_id", "n_chars", "text", "text_hash",
+                       F.when(F.col("follows"), F.col("own_next")).otherwise(F.col("head_id")).alias("next_id"),
+                       F.when(F.col("follows"), F.col("own_hash")).otherwise(F.col("head_hash")).alias("next_hash"),
                        F.substring(F.when(F.col("follows"), F.col("own_text")).otherwise(F.col("head_text")), F.lit(1), half).alias("next_text"))
 
 

@@ -48,10 +48,12 @@ def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fingerprints.edited(fingerprints.with_next(table(spark, sf_dir, "documents")))
     rows = fingerprints.with_fingerprint(rows, "text", "fingerprint")
     rows = fingerprints.with_fingerprint(rows, "edited_text", "edited_fingerprint")
-    rows = written(rows.select("doc_id", "n_chars", "next_id", F.sha2(F.col("edited_text").cast("binary"), 256).alias("edited_sha256"),
+    rows = written(rows.select("doc_id", "n_chars", "text_hash", "next_id", "next_hash", F.sha2(F.col("edited_text").cast("binary"), 256).alias("edited_sha256"),
                                "fingerprint", "edited_fingerprint"), "fingerprints")
-    follow = rows.select(F.col("doc_id").alias("follow_id"), F.col("fingerprint").alias("next_fingerprint"))
-    rows = rows.join(follow, F.col("next_id") == F.col("follow_id"), "left")
+    # the following row by its id (null or not) and text; equal rows have equal fingerprints
+    key = lambda name, text: [F.coalesce(name, F.lit(0)).alias("id"), F.col(name).isNull().alias("no_id"), F.col(text).alias("hash")]
+    follow = rows.select(*key("doc_id", "text_hash"), F.col("fingerprint").alias("next_fingerprint")).dropDuplicates(["id", "no_id", "hash"])
+    rows = rows.select("*", *key("next_id", "next_hash")).join(follow, ["id", "no_id", "hash"], "left")
     return rows.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
                        fingerprints.likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
                        fingerprints.likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"))

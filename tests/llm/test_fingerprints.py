@@ -95,6 +95,17 @@ def next_ids(spark, rows):
     return sorted(((r.doc_id, r.text, r.next_id, r.next_text) for r in fp.with_next(df).collect()), key=str)
 
 
+def test_query_keeps_null_and_repeated_ids(spark, tmp_path):
+    rows = [(1, "a b c d"), (1, "a b c d"), (1, "e f g h"), (2, None), (3, "x y z w " * 9), (None, "n"), (None, "m m"), (None, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["op3_order_minhash"](spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.n_chars) for r in got if r.doc_id) == [(1, 7), (1, 7), (1, 7), (2, 0), (3, 72)]
+    assert sorted(r.n_chars for r in got if r.doc_id is None) == [0, 1, 3]
+    assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in got)
+    ones = sorted(r.near_next for r in got if r.doc_id == 1)  # e.. -> a.., a.. -> a.., a.. -> null id
+    assert ones == [0, 0, 1]
+
+
 def test_next_document_across_blocks_gaps_and_wide_blocks(spark):
     rng = random.Random(6)
     ids = sorted(rng.sample(range(-5000, 200_000), 300) + list(range(100)), reverse=True)
