@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linden.llm import chat, embeddings, fingerprints, minhash, packing, pieces, quality, records, repeats, urls
+from linden.llm import chat, embeddings, fingerprints, minhash, packing, pieces, quality, records, repeats, sharding, urls
 from linden.llm.common import fresh_path, tokenizer_path, written
 from linden.sources.tables import table
 
@@ -125,3 +125,13 @@ def op10_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = records.read_records(records.with_starts(index), folder)
     return back.select("doc_id", "start", (F.length("ids") / 4).cast("long").alias("n_tokens"),
                        F.crc32("ids").alias("ids_crc32"))
+
+
+@query
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents written in a global random order to 24 shards of row
+    counts at most one apart, and read back."""
+    rows = sharding.write_shards(table(spark, sf_dir, "documents"), 24)
+    text = F.coalesce("doc.text", F.lit(""))
+    return rows.select("doc.doc_id", sharding.size_of(F.col("doc.text")).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
+                       F.lit(sharding.LAW).alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
