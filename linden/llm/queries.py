@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linden.llm import chat, embeddings, fingerprints, minhash, packing, pieces, quality, records, repeats, sharding, urls
+from linden.llm import chat, embeddings, fingerprints, minhash, packing, phrases, pieces, quality, records, repair, repeats, sharding, urls
 from linden.llm.common import fresh_path, tokenizer_path, written
 from linden.sources.tables import table
 
@@ -135,3 +135,61 @@ def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("doc.text", F.lit(""))
     return rows.select("doc.doc_id", sharding.size_of(F.col("doc.text")).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
                        F.lit(sharding.LAW).alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, damaged by a checksum and repaired at least cost."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    summary, messages = repair.repair(repair.damaged(turns))
+    joined = lambda c: F.array_join(F.transform(F.sort_array(c), lambda r: r.line), "\n")
+    line = F.concat("role", F.lit(":"), "text").alias("line")
+    blocks = messages.groupBy("conv_id", F.shiftright("id", repair.LEAF).alias("node")).agg(joined(F.collect_list(F.struct("id", "nth", line))).alias("line"))
+    whole = blocks.groupBy(F.col("conv_id").alias("own_id")).agg(joined(F.collect_list(F.struct("node", "line"))).alias("repaired"))
+    rows = turns.select("conv_id").distinct().join(summary.withColumnRenamed("conv_id", "sum_id"), F.col("conv_id").eqNullSafe(F.col("sum_id")), "left") \
+        .join(whole, F.col("conv_id").eqNullSafe(F.col("own_id")), "left")
+    zero = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return rows.select("conv_id", *zero, F.coalesce("audit", F.lit("")).alias("audit"),
+                       F.sha2(F.coalesce("repaired", F.lit("")).cast("binary"), 256).alias("repaired_sha256"))
+
+
+@query
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's first 2000 two- and three-word phrases by the score of
+    their weakest cut."""
+    return phrases.collocations(table(spark, sf_dir, "documents").select("lang", "text"))
+
+
+ORACLE["op13_collocations"] = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), words AS (
+  SELECT lang, [x for x in regexp_split_to_array(piece, '[ \t]+') if x <> ''] AS w FROM pieces
+), grams AS (
+  SELECT lang, 1 AS k, unnest(w) AS p FROM words
+  UNION ALL SELECT lang, 2, unnest([w[i] || ' ' || w[i + 1] for i in range(1, len(w))]) FROM words
+  UNION ALL SELECT lang, 3, unnest([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] for i in range(1, len(w) - 1)]) FROM words
+), f AS (SELECT lang, k, p, count(*) AS n FROM grams GROUP BY lang, k, p),
+totals AS (SELECT lang, sum(n) AS n FROM f WHERE k = 1 GROUP BY lang),
+candidates AS (SELECT lang, k, p, n AS a, string_split(p, ' ') AS w FROM f WHERE k > 1 AND n >= 10),
+cuts AS (
+  SELECT c.lang, c.k, c.p, c.a, j, l.n AS l, r.n AS r, (1000000::HUGEINT * c.a * c.a) // (l.n::HUGEINT * r.n) AS score
+  FROM (SELECT *, unnest(range(1, k)) AS j FROM candidates) c
+  JOIN f l ON l.lang = c.lang AND l.p = array_to_string(c.w[1:j], ' ')
+  JOIN f r ON r.lang = c.lang AND r.p = array_to_string(c.w[j + 1:], ' ')
+), weakest AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, p ORDER BY score, j) AS nth FROM cuts
+), dropped AS (
+  SELECT DISTINCT s.lang, s.p FROM candidates s
+  JOIN (SELECT lang, a, unnest([w[1] || ' ' || w[2], w[2] || ' ' || w[3]]) AS inner_p FROM candidates WHERE k = 3) t
+    ON t.lang = s.lang AND t.inner_p = s.p WHERE 100 * t.a >= 50 * s.a
+), ranked AS (
+  SELECT x.lang, x.p, x.a, x.l, x.r, x.score,
+         row_number() OVER (PARTITION BY x.lang ORDER BY x.score DESC, x.a DESC, x.p) AS rank
+  FROM weakest x LEFT JOIN dropped d ON d.lang = x.lang AND d.p = x.p WHERE x.nth = 1 AND d.p IS NULL
+)
+SELECT ranked.lang, rank, p AS phrase, a, l, r, totals.n::BIGINT AS n, score::BIGINT AS score
+FROM ranked JOIN totals ON totals.lang = ranked.lang WHERE rank <= 2000
+"""
