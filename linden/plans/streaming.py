@@ -8,7 +8,7 @@ from linden.plans.common import doc_lines
 from linden.plans.records import STATE_TYPE
 from linden.plans.registry import register
 from linden.sources.tables import table
-from linden.streaming import changelog, compact, edits
+from linden.streaming import changelog, compact, edits, splices
 
 EDITS_SQL = [q.LINES, q.EDIT_LOG, """known AS (
   SELECT e.doc_id, e.line, e.text, e.ts, e.seq, l.text AS base FROM edit_log e
@@ -56,6 +56,38 @@ def rejected_edits(spark, sf):
     return _run(spark, sf).rejected()
 
 
+SPLICE_SQL = q.with_(q.LINES, """splice_log AS (
+  SELECT doc_id, a, a + CASE event_type WHEN 'view' THEN 1 WHEN 'error' THEN 1 WHEN 'purchase' THEN 3 ELSE 0 END AS b,
+         CASE event_type WHEN 'error' THEN []::VARCHAR[]
+           WHEN 'signup' THEN [event_type || ':1:' || CAST(seq AS VARCHAR), event_type || ':2:' || CAST(seq AS VARCHAR)]
+           ELSE [event_type || ':1:' || CAST(seq AS VARCHAR)] END AS added, ts, seq
+  FROM (SELECT user_id AS doc_id, TRY_CAST(json_extract_string(props, '$.k') AS INTEGER) // 4 AS a, event_type, ts, event_id AS seq FROM events)
+)""", "base AS (SELECT doc_id, list(text ORDER BY line) AS lines FROM lines GROUP BY doc_id)", """folded AS (
+  SELECT doc_id, list_reduce(es, lambda acc, e:
+    CASE WHEN e.a IS NULL OR e.a < 0 OR e.b > len(acc.lines) THEN {'lines': acc.lines, 'bad': list_append(acc.bad, e.seq)}
+    ELSE {'lines': list_concat(list_concat(acc.lines[1:e.a], e.added), acc.lines[e.b + 1:]), 'bad': acc.bad} END,
+    {'lines': lines, 'bad': []::BIGINT[]}) AS r
+  FROM (SELECT s.doc_id, any_value(b.lines) AS lines, list({'a': s.a, 'b': s.b, 'added': s.added, 'seq': s.seq} ORDER BY s.ts, s.seq) AS es
+        FROM splice_log s JOIN base b ON b.doc_id = s.doc_id GROUP BY s.doc_id)
+)""")
+
+
+@register("splice_stream", SPLICE_SQL + """
+SELECT doc_id, CAST(generate_subscripts(r.lines, 1) - 1 AS INTEGER) AS line, unnest(r.lines) AS text FROM folded
+""")
+def splice_stream(spark, sf):
+    base = doc_lines(spark, sf)
+    return splices.splices_of_events(spark, sf, base).lines(base)
+
+
+@register("splice_rejected", SPLICE_SQL + """
+SELECT doc_id, unnest(r.bad) AS seq, 'range' AS reason FROM folded
+UNION ALL SELECT doc_id, seq, 'document' FROM splice_log s WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = s.doc_id)
+""")
+def splice_rejected(spark, sf):
+    return splices.splices_of_events(spark, sf, doc_lines(spark, sf)).rejected()
+
+
 @register("tree_state", """
 SELECT path FROM (
   SELECT 'u' || CAST(user_id AS VARCHAR) || '/' || json_extract_string(props, '$.k') AS path,
