@@ -1,23 +1,25 @@
 """Phrase collocations by the stripes pattern.
 
 Words are runs without blanks or tabs of lower-cased (A-Z) text, cut at the
-punctuation of ``BREAKS``; phrases lie inside such pieces.  A *stripe* belongs
-to a prefix of two words (the second may be the end of the piece) and counts
-the words that follow it, the piece's end included.  It holds everything that
+punctuation of ``BREAKS``; phrases lie inside such pieces.  The *stripe* of a
+word counts the words that follow it, and for each of those the words that
+follow both (the end of a piece counts as a word).  It holds everything that
 is asked of a corpus:
 
-* its entries count the three-word phrases,
-* their sum (prefix total) counts the two-word phrase, and the sum over the
-  stripes of a first word counts that word,
-* its largest entry tells whether an extension subsumes the prefix.
-
-Tasks gather stripes of about ``TOKENS`` words at a time with array sorts,
-so a common prefix leaves a task as one row, whatever it occurs there.  Rows
-are dealt by prefix, sorted, and merged element by element in one pass that
-holds one stripe.  A stripe of more than ``WIDE`` different words is cut by
-the hash of the next word into ``SLICES`` slices dealt apart; a mark among
-the uncut stripes sends what they have of that prefix the same way, and Spark
-adds such parts up entry by entry.  No prefix is ever gathered in one task.
+* its inner entries count the three-word phrases,
+* an inner counter's sum counts the two-word phrase, the whole sum the word,
+* an inner counter's largest entry tells whether a longer phrase subsumes the
+  two-word phrase.
+
+Tasks gather the stripes of about ``TOKENS`` words at a time with array sorts,
+so a common word leaves a task as one row, whatever follows it there.  A row
+packs its counters into four byte strings (words end in a newline; numbers
+take a byte, larger ones are split).  Rows are dealt by word, sorted, and
+merged element by element in a pass that holds one stripe.  The stripes of
+words that hold a large share of the corpus are cut by the hash of the second
+word into as many slices as there are shuffle partitions, and dealt apart.
+Which words those are is read off a sample; like that of a range partitioner
+it decides where rows go and no result.
 
 Nulls and edge cases: a null text is empty, a null lang is ``und``; texts are
 taken whole, however long (they are read in slices, phrases across the cuts
@@ -41,12 +43,14 @@ BREAKS = b".,;:!?\n\x0b\x0c\r"
 TOKENS = 2_000_000
 WORDS = 1 << 20  # a state's vocabulary stays below 2^21, three codes to a long
 PIECE = 1 << 20
-WIDE = 1024
-SLICES = 64
 ROWS = 50_000
-END = ""  # as next or second word: the piece ends
-STRIPE = "lang string, first string, second string, slice int, marked boolean, nexts array<string>, counts array<long>"
-MERGED = "lang string, first string, second string, part boolean, total long, nexts array<string>, counts array<long>"
+ENTRIES = 500_000
+MOST = 255  # of a byte
+SAMPLE = 64  # one text in so many, for the words whose stripes are sliced
+HEAVY = 4096
+END = ""  # as second or third word: the piece ends
+STRIPE = "lang string, first string, slice int, seconds binary, spans binary, thirds binary, counts binary"
+MERGED = "lang string, first string, second string, total long, nexts array<string>, counts array<long>"
 
 _TABLE = bytes(10 if c in BREAKS else 32 if c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -102,46 +106,63 @@ class Gatherer:
         return words, keys // base // base, keys // base % base, keys % base, counts
 
 
-def rows_of(lang: str, gathered) -> Iterator:
+def split_large(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions and parts of ``MOST`` at most that add up to the values."""
+    times = -(-values // MOST)
+    at = np.repeat(np.arange(len(values)), times)
+    nth = np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
+    return at, np.minimum(MOST, values[at] - nth * MOST)
+
+
+def packed(data, edges: np.ndarray):
+    """Byte strings ``data[edges[i]:edges[i + 1]]`` as an Arrow column."""
+    import pyarrow as pa
+
+    return pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer(edges.astype(np.int32)), pa.py_buffer(data)])
+
+
+def rows_of(lang: str, gathered, heavy: frozenset, slices: int) -> Iterator:
     """Arrow batches of ``STRIPE`` rows."""
     import pyarrow as pa
 
-    words, first, second, follow, counts = gathered
-    text = [w.decode("utf-8", "surrogateescape") if k > 1 else END for k, w in enumerate(words)]
-    texts = pa.array(text, pa.string())
-    pair = np.cumsum(np.diff(first * len(words) + second, prepend=-1) != 0) - 1
-    wide = (np.bincount(pair) > WIDE)[pair] if len(pair) else np.zeros(0, bool)
-    part = np.zeros(len(pair), np.int32)
+    words, first, second, third, counts = gathered
+    if not len(first):
+        return
+    lines = pa.array([(w if k > 1 else b"") + b"\n" for k, w in enumerate(words)], pa.binary())
+    part = np.zeros(len(first), np.int32)
+    wide = np.fromiter((w in heavy for w in words), bool, len(words))[first]
     if wide.any():
         hashed = np.zeros(len(words), np.int32)
-        used = np.unique(follow[wide])
-        hashed[used] = [zlib.crc32(words[k]) % SLICES + 1 for k in used]
-        part[wide] = hashed[follow[wide]]
-        order = np.lexsort((part, pair))
-        pair, part, first, second, follow, counts = (x[order] for x in (pair, part, first, second, follow, counts))
-    edges = np.flatnonzero(np.diff(pair * (SLICES + 1) + part, prepend=-1))
-    ends = np.append(edges[1:], len(pair))
-
-    def batch(at, offsets, entries, marked):
-        n = len(at)
-        return pa.RecordBatch.from_arrays(
-            [pa.array([lang] * n, pa.string()), texts.take(pa.array(first[at])), texts.take(pa.array(second[at])),
-             pa.array(np.zeros(n, np.int32) if marked else part[at]), pa.array([marked] * n, pa.bool_()),
-             pa.ListArray.from_arrays(offsets, texts.take(pa.array(follow[entries]))),
-             pa.ListArray.from_arrays(offsets, pa.array(counts[entries].astype(np.int64)))],
-            ["lang", "first", "second", "slice", "marked", "nexts", "counts"])
-
-    for k in range(0, len(edges), ROWS):
-        at, to = edges[k:k + ROWS], ends[k:k + ROWS]
-        offsets = pa.array(np.append(at, to[-1]) - at[0], pa.int32())
-        yield batch(at, offsets, slice(at[0], to[-1]), False)
-    marks = edges[(part[edges] > 0) & (np.diff(pair[edges], prepend=-1) != 0)]
-    if len(marks):
-        yield batch(marks, pa.array(np.zeros(len(marks) + 1), pa.int32()), slice(0, 0), True)
-
-
-def stripes(docs: DataFrame) -> DataFrame:
-    """``STRIPE`` rows of ``docs`` (lang, text), several to a prefix."""
+        used = np.unique(second[wide])
+        hashed[used] = [zlib.crc32(words[k]) % slices + 1 for k in used]
+        part[wide] = hashed[second[wide]]
+        order = np.lexsort((part, first))  # stable: second words stay in order
+        first, second, third, counts, part = (x[order] for x in (first, second, third, counts, part))
+    at, counts = split_large(counts)
+    first, second, third, part = first[at], second[at], third[at], part[at]
+    row = np.diff(first * (slices + 1) + part, prepend=-1) != 0
+    run = row | (np.diff(second, prepend=-1) != 0)
+    runs = np.flatnonzero(run)
+    own, spans = split_large(np.diff(np.append(runs, len(run))))
+    begin = np.append(np.flatnonzero(row), len(row))
+    for k in range(0, len(begin) - 1, ROWS):
+        edges = begin[k:k + ROWS + 1]
+        entries = slice(edges[0], edges[-1])
+        lo, hi = np.searchsorted(runs[own], [edges[0], edges[-1]])
+        heads = lines.take(pa.array(second[runs[own[lo:hi]]]))
+        tails = lines.take(pa.array(third[entries]))
+        run_edges = np.searchsorted(runs[own[lo:hi]], edges)
+        offsets = lambda a: np.frombuffer(a.buffers()[1], np.int32, len(a) + 1)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([lang] * (len(edges) - 1), pa.string()), pa.array([words[x].decode("utf-8", "surrogateescape") for x in first[edges[:-1]]], pa.string()),
+             pa.array(part[edges[:-1]]),
+             packed(heads.buffers()[2], offsets(heads)[run_edges]), packed(spans[lo:hi].astype(np.uint8), run_edges),
+             packed(tails.buffers()[2], offsets(tails)[edges - edges[0]]), packed(counts[entries].astype(np.uint8), edges - edges[0])],
+            ["lang", "first", "slice", "seconds", "spans", "thirds", "counts"])
+
+
+def stripes(docs: DataFrame, heavy: frozenset, slices: int) -> DataFrame:
+    """``STRIPE`` rows of ``docs`` (lang, text), several to a word."""
 
     def run(batches: Iterator) -> Iterator:
         own: dict[str, Gatherer] = {}
@@ -149,7 +170,7 @@ def stripes(docs: DataFrame) -> DataFrame:
         def flush(last: bool) -> Iterator:
             for lang, g in own.items():
                 if g.size:
-                    yield from rows_of(lang, g.stripes(last))
+                    yield from rows_of(lang, g.stripes(last), heavy, slices)
 
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -165,113 +186,152 @@ def stripes(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text").mapInArrow(run, STRIPE)
 
 
-def merge(batches: Iterator, least: int) -> Iterator:
-    """``MERGED`` rows of sorted ``STRIPE`` batches: stripes of equal prefix and
-    slice added up.  Whole stripes keep entries of ``least`` or more and go if
-    their total is smaller; parts keep all.  Rows with a null second word hold
-    totals by first word."""
+def bytes_of(column) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of an Arrow column of byte strings, and the strings' edges."""
+    edges = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, column.offset * 4).astype(np.int64)
+    data = column.buffers()[2]
+    whole = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+    return whole[edges[0]:edges[-1]], edges - edges[0]
+
+
+def words_in(column) -> tuple:
+    """The newline-ended words of byte strings: their codes, the distinct
+    words, and how many each string holds."""
     import pyarrow as pa
     import pyarrow.compute as pc
 
-    names = ["lang", "first", "second", "slice", "marked", "nexts", "counts"]
+    data, edges = bytes_of(column)
+    ends = np.append(0, np.flatnonzero(data == 10) + 1)
+    coded = pc.dictionary_encode(packed(np.ascontiguousarray(data), ends))
+    if isinstance(coded, pa.ChunkedArray):
+        coded = coded.combine_chunks()
+    return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary, np.diff(np.searchsorted(ends, edges))
+
+
+class Merger:
+    """Adds up sorted ``STRIPE`` rows; yields ``MERGED`` rows: pairs that occur
+    ``least`` times with the triples that do, and (second null) word totals."""
+
+    def __init__(self, least: int):
+        self.least, self.held, self.size, self.wanted = least, [], 0, ENTRIES
 
-    def added(table: pa.Table):
-        """The table's stripes merged, as columns with one row per stripe."""
-        table = table.combine_chunks()
-        col = {n: table.column(n).combine_chunks() for n in names}
+    def add(self, batch) -> Iterator:
+        self.held.append(batch)
+        self.size += batch.num_rows + len(bytes_of(batch.column(6))[0])
+        if self.size > self.wanted:
+            yield from self.emit(False)
+
+    def emit(self, last: bool) -> Iterator:
+        """Everything but the last stripe, which may go on."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        table = pa.Table.from_batches(self.held).combine_chunks()
+        col = [c.chunk(0) for c in table.columns]
         new = np.ones(table.num_rows, bool)
-        same = None
-        for n in names[:4]:
-            eq = pc.equal(col[n].slice(1), col[n].slice(0, table.num_rows - 1)).to_numpy(zero_copy_only=False)
-            same = eq if same is None else same & eq
-        new[1:] = ~same
-        heads = np.flatnonzero(new)
-        lengths = pc.list_value_length(col["nexts"]).to_numpy(zero_copy_only=False)
-        group = np.repeat(np.cumsum(new) - 1, lengths)
-        words = pc.dictionary_encode(col["nexts"].flatten())
-        base = max(len(words.dictionary), 1)
-        keys = group * base + words.indices.to_numpy(zero_copy_only=False)
+        new[1:] = False
+        for c in col[:3]:
+            new[1:] |= pc.not_equal(c.slice(1), c.slice(0, len(c) - 1)).to_numpy(zero_copy_only=False)
+        heads, group = np.flatnonzero(new), np.cumsum(new) - 1
+        n = len(heads) if last else len(heads) - 1
+        code2, seconds, n2 = words_in(col[3])
+        code3, thirds, n3 = words_in(col[5])
+        own = np.repeat(np.arange(len(code2)), bytes_of(col[4])[0])  # the run of each entry
+        pair = np.repeat(group, n2) * len(seconds) + code2
+        keys = pair[own] * len(thirds) + code3
         order = np.argsort(keys, kind="stable")
-        keys, values = keys[order], col["counts"].flatten().to_numpy(zero_copy_only=False)[order]
+        keys, values = keys[order], self.counts(col, n3)[order]
         starts = np.flatnonzero(np.diff(keys, prepend=-1))
-        sums = np.add.reduceat(values, starts) if len(starts) else np.zeros(0, np.int64)
-        keys = keys[starts]
-        marked = np.maximum.reduceat(col["marked"].to_numpy(zero_copy_only=False).astype(np.int8), heads) > 0
-        return {n: col[n].take(pa.array(heads)) for n in names[:4]}, marked, keys // base, words.dictionary, keys % base, sums
-
-    def lists(group, n, values):
-        offsets = np.searchsorted(group, np.arange(n + 1))
-        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
-
-    def out(head, marked, group, words, code, sums):
-        n = len(marked)
-        total = np.zeros(n, np.int64)
-        np.add.at(total, group, sums)
-        part = marked | (head["slice"].to_numpy() > 0)
-        keep = part[group] | (sums >= least)
-        rows = pa.RecordBatch.from_arrays(
-            [head["lang"], head["first"], head["second"], pa.array(part), pa.array(total),
-             lists(group[keep], n, words.take(pa.array(code[keep]))), lists(group[keep], n, pa.array(sums[keep]))],
-            ["lang", "first", "second", "part", "total", "nexts", "counts"])
-        yield rows.filter(pa.array((part | (total >= least)) & (n > 0)))
-        firsts = pa.table({"lang": head["lang"], "first": head["first"], "total": total}).group_by(["lang", "first"]).aggregate([("total", "sum")])
-        k = firsts.num_rows
-        none = lists(np.zeros(0, np.int64), k, pa.array([], pa.string())), lists(np.zeros(0, np.int64), k, pa.array([], pa.int64()))
-        yield from pa.table({"lang": firsts["lang"], "first": firsts["first"], "second": pa.nulls(k, pa.string()), "part": pa.array([False] * k),
-                             "total": firsts["total_sum"], "nexts": none[0], "counts": none[1]}).to_batches()
-
-    held, size = [], 0
-
-    def emit(last: bool) -> Iterator:
-        """Everything but the last stripe, which may go on, merged."""
-        nonlocal held, size
-        head, marked, group, words, code, sums = added(pa.Table.from_batches(held))
-        n = len(marked) if last else len(marked) - 1
-        own = group < n
+        keys, sums = keys[starts], np.add.reduceat(values, starts)
+        pair, third = keys // len(thirds), keys % len(thirds)
+        owner = pair // len(seconds)
+        done = owner < n
+        lang, first = (col[k].take(pa.array(heads[:n])) for k in (0, 1))
         if n:
-            yield from out({k: v.slice(0, n) for k, v in head.items()}, marked[:n], group[own], words, code[own], sums[own])
-        held, size = [], 0
-        if not last:
-            rest = ~own
-            edge = pa.array([0, int(rest.sum())], pa.int32())
-            held = [pa.RecordBatch.from_arrays(
-                [*[head[k].slice(n, 1) for k in names[:4]], pa.array(marked[n:]), pa.ListArray.from_arrays(edge, words.take(pa.array(code[rest]))),
-                 pa.ListArray.from_arrays(edge, pa.array(sums[rest]))], names)]
+            yield from self.out(lang, first, pair[done], third[done], sums[done], seconds, thirds)
+        self.held, self.size, self.wanted = [], 0, ENTRIES
+        if not last:  # the stripe that may go on, merged, its sums as a column of their own
+            rest = ~done
+            runs = np.flatnonzero(np.diff(pair[rest], prepend=-1))
+            at, spans = split_large(np.diff(np.append(runs, rest.sum())))
+            heads2 = seconds.take(pa.array(pair[rest][runs][at] % len(seconds)))
+            tails = thirds.take(pa.array(third[rest]))
+            one = lambda a: packed(a.buffers()[2], np.array([0, np.frombuffer(a.buffers()[1], np.int32)[len(a)]]))
+            blank = np.zeros(len(tails), np.uint8)
+            self.held = [pa.RecordBatch.from_arrays(
+                [*[c.slice(int(heads[-1]), 1) for c in col[:3]], one(heads2), packed(spans.astype(np.uint8), np.array([0, len(spans)])),
+                 one(tails), packed(blank, np.array([0, len(blank)]))], table.column_names)]
+            self.carried = sums[rest]
+            self.wanted = max(ENTRIES, 2 * len(tails))
+
+    carried = np.zeros(0, np.int64)
+
+    def counts(self, col, n3: np.ndarray) -> np.ndarray:
+        values = bytes_of(col[6])[0].astype(np.int64)
+        if len(self.carried):  # the first row is what was carried over
+            values[:len(self.carried)] = self.carried
+            self.carried = np.zeros(0, np.int64)
+        return values
+
+    def out(self, lang, first, pair, third, sums, seconds, thirds) -> Iterator:
+        import pyarrow as pa
+
+        runs = np.flatnonzero(np.diff(pair, prepend=-1))
+        totals = np.add.reduceat(sums, runs)
+        owner, code = pair[runs] // len(seconds), pair[runs] % len(seconds)
+        text = lambda words, at: [w[:-1].decode("utf-8", "surrogateescape") for w in words.take(pa.array(at)).to_pylist()]
+        second = seconds.index(b"\n").as_py()
+        pick = (totals >= self.least) & (code != second)
+        lengths = np.diff(np.append(runs, len(pair)))
+        keep = np.repeat(pick, lengths) & (sums >= self.least) & (third != thirds.index(b"\n").as_py())
+        inner = np.add.reduceat(keep.astype(np.int64), runs)[pick]
+        offsets = pa.array(np.append(0, np.cumsum(inner)), pa.int32())
+        chosen = pa.array(owner[pick])
+        yield pa.RecordBatch.from_arrays(
+            [lang.take(chosen), first.take(chosen), pa.array(text(seconds, code[pick]), pa.string()), pa.array(totals[pick]),
+             pa.ListArray.from_arrays(offsets, pa.array(text(thirds, third[keep]), pa.string())), pa.ListArray.from_arrays(offsets, pa.array(sums[keep]))],
+            ["lang", "first", "second", "total", "nexts", "counts"])
+        k = len(lang)
+        whole = np.bincount(owner, totals, k).astype(np.int64) if totals.sum() < 1 << 52 else np.array(
+            [totals[owner == i].sum() for i in range(k)], np.int64)
+        none = pa.array(np.zeros(k + 1), pa.int32())
+        yield pa.RecordBatch.from_arrays(
+            [lang, first, pa.nulls(k, pa.string()), pa.array(whole), pa.ListArray.from_arrays(none, pa.array([], pa.string())),
+             pa.ListArray.from_arrays(none, pa.array([], pa.int64()))], ["lang", "first", "second", "total", "nexts", "counts"])
 
+
+def merge(batches: Iterator, least: int) -> Iterator:
+    merger = Merger(least)
     for batch in batches:
         if batch.num_rows:
-            held.append(batch)
-            size += len(batch.column(5).flatten()) + batch.num_rows
-            if size > 500_000:
-                yield from emit(False)
-    if held:
-        yield from emit(True)
+            yield from merger.add(batch)
+    if merger.held:
+        yield from merger.emit(True)
 
 
-def merged_stripes(docs: DataFrame, least: int) -> DataFrame:
-    key = ["lang", "first", "second", "slice"]
-    rows = stripes(docs).repartition(*key).sortWithinPartitions(*key)
-    return written(rows.mapInArrow(lambda batches: merge(batches, least), MERGED), "stripes")
+def heavy_words(docs: DataFrame, slices: int) -> frozenset:
+    """At most ``HEAVY`` words that hold a large share of a sample."""
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    some = docs.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0).select(F.translate("text", letters, letters.lower()).alias("text"))
+    words = some.select(F.explode(F.regexp_extract_all("text", F.lit(r"[^ \t.,;:!?\n\x0B\f\r]+"), F.lit(0))).alias("w"))
+    counts = words.groupBy("w").agg(F.count("*").alias("n"))
+    most = counts.orderBy(F.desc("n"), "w").limit(HEAVY).collect()
+    total = max(counts.agg(F.sum("n")).first()[0] or 0, 1) if most else 1
+    return frozenset(r.w.encode() for r in most if r.n * 2 * slices >= total)
 
 
 def counts_of(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(lang, first, f) of all words; (lang, first, second, f, extended) of
     pairs and (lang, first, second, third, f) of triples that occur ``least``
     times; ``extended`` is the largest count of a triple that goes on a pair."""
-    merged = merged_stripes(docs, least)
+    slices = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    key = ["lang", "first", "slice"]
+    rows = stripes(docs, heavy_words(docs, slices), slices).repartition(*key).sortWithinPartitions(*key)
+    merged = written(rows.mapInArrow(lambda batches: merge(batches, least), MERGED), "stripes")
     words = merged.where("second is null").groupBy("lang", "first").agg(F.sum("total").alias("f"))
-    entry = F.explode(F.arrays_zip("nexts", "counts")).alias("e")
-    parts = merged.where("part").select("lang", "first", "second", entry) \
-        .groupBy("lang", "first", "second", F.col("e.nexts").alias("third")).agg(F.sum("e.counts").alias("f"))
-    parts = written(parts, "wide-stripes")
-    goes_on = F.when((F.col("third") != END) & (F.col("f") >= least), F.col("f"))
-    wide = parts.groupBy("lang", "first", "second").agg(F.sum("f").alias("f"), F.max(goes_on).alias("extended"))
-    whole = merged.where("second is not null and not part")
-    best = F.array_max(F.transform(F.filter(F.arrays_zip("nexts", "counts"), lambda e: e.nexts != END), lambda e: e.counts))
-    pairs = whole.select("lang", "first", "second", F.col("total").alias("f"), best.alias("extended")).union(wide) \
-        .where((F.col("second") != END) & (F.col("f") >= least))
-    triples = whole.select("lang", "first", "second", entry).select("lang", "first", "second", F.col("e.nexts").alias("third"), F.col("e.counts").alias("f")) \
-        .union(parts).where((F.col("third") != END) & (F.col("f") >= least))
+    pairs = merged.where("second is not null").select("lang", "first", "second", F.col("total").alias("f"), F.array_max("counts").alias("extended"))
+    triples = merged.where("second is not null").select("lang", "first", "second", F.explode(F.arrays_zip("nexts", "counts")).alias("e")) \
+        .select("lang", "first", "second", F.col("e.nexts").alias("third"), F.col("e.counts").alias("f"))
     return words, pairs, triples
 
 

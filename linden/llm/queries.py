@@ -171,14 +171,15 @@ WITH pieces AS (
   SELECT lang, 1 AS k, unnest(w) AS p FROM words
   UNION ALL SELECT lang, 2, unnest([w[i] || ' ' || w[i + 1] for i in range(1, len(w))]) FROM words
   UNION ALL SELECT lang, 3, unnest([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] for i in range(1, len(w) - 1)]) FROM words
-), f AS (SELECT lang, k, p, count(*) AS n FROM grams GROUP BY lang, k, p),
+), f AS MATERIALIZED (SELECT lang, k, p, count(*) AS n FROM grams GROUP BY lang, k, p),
 totals AS (SELECT lang, sum(n) AS n FROM f WHERE k = 1 GROUP BY lang),
-candidates AS (SELECT lang, k, p, n AS a, string_split(p, ' ') AS w FROM f WHERE k > 1 AND n >= 10),
-cuts AS (
-  SELECT c.lang, c.k, c.p, c.a, j, l.n AS l, r.n AS r, (1000000::HUGEINT * c.a * c.a) // (l.n::HUGEINT * r.n) AS score
-  FROM (SELECT *, unnest(range(1, k)) AS j FROM candidates) c
-  JOIN f l ON l.lang = c.lang AND l.p = array_to_string(c.w[1:j], ' ')
-  JOIN f r ON r.lang = c.lang AND r.p = array_to_string(c.w[j + 1:], ' ')
+candidates AS MATERIALIZED (SELECT lang, k, p, n AS a, string_split(p, ' ') AS w FROM f WHERE k > 1 AND n >= 10),
+halves AS MATERIALIZED (
+  SELECT lang, p, a, 1 AS j, w[1] AS lp, CASE k WHEN 2 THEN w[2] ELSE w[2] || ' ' || w[3] END AS rp FROM candidates
+  UNION ALL SELECT lang, p, a, 2, w[1] || ' ' || w[2], w[3] FROM candidates WHERE k = 3
+), cuts AS (
+  SELECT h.lang, h.p, h.a, j, l.n AS l, r.n AS r, (1000000::HUGEINT * h.a * h.a) // (l.n::HUGEINT * r.n) AS score
+  FROM halves h JOIN f l ON l.lang = h.lang AND l.p = h.lp JOIN f r ON r.lang = h.lang AND r.p = h.rp
 ), weakest AS (
   SELECT *, row_number() OVER (PARTITION BY lang, p ORDER BY score, j) AS nth FROM cuts
 ), dropped AS (

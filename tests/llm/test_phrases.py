@@ -4,6 +4,8 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from linden.llm import phrases
@@ -44,51 +46,43 @@ def result(spark, rows, **how):
 
 @pytest.fixture
 def small_parts(monkeypatch):
-    """Flushes, slices and wide stripes in small fixtures; the tests below also call the parts without Spark."""
-    for name, value in (("TOKENS", 60), ("PIECE", 40), ("WIDE", 3), ("ROWS", 5)):
+    """Flushes, cuts and carried stripes in small fixtures, without Spark."""
+    for name, value in (("TOKENS", 60), ("PIECE", 40), ("ROWS", 5), ("MOST", 2), ("ENTRIES", 30)):
         monkeypatch.setattr(phrases, name, value)
 
 
-def merged_by_hand(rows):
-    """The Python halves of the operator, without Spark: all stripes of any flush merged."""
-    import pyarrow as pa
-
-    gathered = phrases.Gatherer()
-    batches = []
-    for text in rows:
+@pytest.mark.parametrize("heavy", [frozenset(), frozenset([b"a", b"h"])])
+def test_parts_count_every_phrase(small_parts, heavy):
+    rng = random.Random(1)
+    texts = [" ".join(rng.choices(["a", "b", "c", "d", "e.", "f,g", "h"], k=rng.randrange(90))) for _ in range(40)]
+    gathered, batches = phrases.Gatherer(), []
+    for text in texts:
         for piece in phrases.cut(text.encode().translate(phrases._TABLE)):
             gathered.add(piece)
             if gathered.size > phrases.TOKENS:
-                batches += phrases.rows_of("en", gathered.stripes(False))
-        import numpy as np
+                batches += phrases.rows_of("en", gathered.stripes(False), heavy, 3)
         gathered.parts.append(np.ones(1, np.int64))
-    batches += phrases.rows_of("en", gathered.stripes(True))
+    batches += phrases.rows_of("en", gathered.stripes(True), heavy, 3)
     table = pa.Table.from_batches(batches)
-    order = sorted(range(table.num_rows), key=lambda i: tuple(table.column(c)[i].as_py() for c in ("lang", "first", "second", "slice")))
-    return list(phrases.merge(iter(table.take(order).to_batches(max_chunksize=7)), 1))
-
-
-def test_parts_count_every_phrase(small_parts):
-    rng = random.Random(1)
-    texts = [" ".join(rng.choices(["a", "b", "c", "d", "e.", "f,g", "h"], k=rng.randrange(90))) for _ in range(40)]
-    found, pairs, firsts, wide = Counter(), Counter(), Counter(), 0
-    for b in merged_by_hand(texts):
+    assert len({*table.column("slice").to_pylist()}) == (4 if heavy else 1)
+    keys = list(zip(*(table.column(c).to_pylist() for c in ("lang", "first", "slice")), strict=True))
+    order = sorted(range(len(keys)), key=keys.__getitem__)
+    found, pairs, firsts = Counter(), Counter(), Counter()
+    for b in phrases.merge(iter(table.take(order).to_batches(max_chunksize=7)), 1):
         for r in b.to_pylist():
             if r["second"] is None:
                 firsts[r["first"]] += r["total"]
                 continue
-            wide += r["part"]
             pairs[r["first"], r["second"]] += r["total"]
             for w, k in zip(r["nexts"], r["counts"], strict=True):
                 found[r["first"], r["second"], w] += k
-    want3, want2, want1 = Counter(), Counter(), Counter()
+    want = [Counter(), Counter(), Counter()]
     for t in texts:
         for piece in re.split("[.,]", t):
-            w = [*piece.split(), "", ""]
-            want1.update(w[:-2])
-            want2.update((w[i], w[i + 1]) for i in range(len(w) - 2))
-            want3.update(tuple(w[i:i + 3]) for i in range(len(w) - 2))
-    assert wide and (found, pairs, firsts) == (want3, want2, want1)
+            w = piece.split()
+            for k in range(3):
+                want[k].update(tuple(w[i:i + k + 1]) for i in range(len(w) - k))
+    assert found == want[2] and pairs == want[1] and firsts == {k: n for (k,), n in want[0].items()}
 
 
 def test_equals_brute_force(spark):
@@ -101,10 +95,12 @@ def test_equals_brute_force(spark):
     assert result(spark, rows, top=5, least=20, subsumed=80) == brute(rows, 20, 80, 5)
 
 
-def test_wide_stripes_of_one_prefix(spark):
-    """A pair that goes on in 3000 ways, and one of them often."""
+def test_heavy_words_and_wide_stripes(spark):
+    """A pair that goes on in 3000 ways, and one of them often; its words are sliced."""
     rows = [("en", f"very common w{k % 3000}") for k in range(9000)] + [("en", "very common pair")] * 30 + [("en", "very common")] * 20
     assert result(spark, rows) == brute(rows)
+    docs = spark.createDataFrame(rows, "lang string, text string")
+    assert {b"very", b"common"} <= phrases.heavy_words(docs, 8) and phrases.heavy_words(docs.limit(0), 8) == frozenset()
 
 
 def test_sums_beyond_64_bits(spark):
