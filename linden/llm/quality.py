@@ -28,6 +28,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 WINDOW = 512  # code points of a window
 UPPER, LOWER, DIGIT, BLANK, STOP, MARK = range(6)
@@ -108,8 +109,8 @@ def vectors(docs: DataFrame, text: str = "text", drop_text: bool = False) -> Dat
             lists = pa.ListArray.from_arrays(np.arange(0, SIZE * len(found) + 1, SIZE, dtype=np.int32), flat)
             yield pa.RecordBatch.from_arrays([*(batch.column(rest.index(c)) for c in kept), lists], [*kept, "stats"])
 
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in kept]
-    return docs.mapInArrow(run, ", ".join([*fields, "stats array<double>"]))
+    fields = [f for f in docs.schema if f.name in kept]
+    return docs.mapInArrow(run, StructType([*fields, StructField("stats", ArrayType(DoubleType()))]))
 
 
 @dataclass(frozen=True)
@@ -184,8 +185,8 @@ def add_scores(rows: DataFrame, model: Discriminant) -> DataFrame:
             x = batch.column(len(rest)).flatten().to_numpy(zero_copy_only=False).reshape(-1, SIZE)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(model.score(x))], [*rest, "score"])
 
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "stats"]
-    return rows.mapInArrow(run, ", ".join([*fields, "score double"]))
+    fields = [f for f in rows.schema if f.name != "stats"]
+    return rows.mapInArrow(run, StructType([*fields, StructField("score", DoubleType())]))
 
 
 def held_out(doc_id: str) -> Column:

@@ -41,6 +41,7 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, LongType, StringType, StructField, StructType
 
 from linden.llm.common import written
 
@@ -252,5 +253,6 @@ def remove_repeats(docs: DataFrame, length: int = 400, gram: int = GRAM, as_text
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sizes, pa.int64()), pa.array(cut, kind), pa.array(kept, pa.string() if as_text else pa.binary())],
                                              [*rest, *added])
 
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "spans"]
-    return rows.mapInArrow(run, ", ".join([*fields, "n_bytes long, spans array<struct<first: long, end: long>>", f"kept {'string' if as_text else 'binary'}"]))
+    span = StructType([StructField("first", LongType()), StructField("end", LongType())])
+    more = [StructField("n_bytes", LongType()), StructField("spans", ArrayType(span)), StructField("kept", StringType() if as_text else BinaryType())]
+    return rows.mapInArrow(run, StructType([*[f for f in rows.schema if f.name != "spans"], *more]))

@@ -62,3 +62,15 @@ def test_stages_on_odd_rows(spark):
             if name == "near_duplicates" and docs.count():
                 assert sorted((r.doc_id is None, r.doc_id) for r in found) == [(False, 1), (False, 2), (False, 3), (False, 4), (False, 5), (True, None)]
             assert docs.count() or not found
+
+
+def test_columns_of_any_name_go_through(spark):
+    names = ["stats", "kept_id", "score", "predicted", "spans", "kept", "n_bytes", "own_digest", "rest", "odd name.x", "label"]
+    texts = ["The river ran by the old mill, and the people of the town came to see it every spring. " * 3, None, "zz " * 30]
+    docs = spark.createDataFrame([(k, t, *[f"{n}{k}" for n in names]) for k, t in enumerate(texts)],
+                                 "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    rows = {r.doc_id: tuple(r) for r in docs.collect()}
+    for name, stage in P.STAGES[:-1]:
+        out = stage(spark, docs, SMALL)
+        assert out.columns == docs.columns
+        assert all(tuple(r)[2:] == rows[r.doc_id][2:] for r in out.collect()), name
