@@ -13,7 +13,7 @@ a filter on first-seen line; AQE splits a crowded key on the larger side.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from linden.functions import lexicon as lx
@@ -53,6 +53,27 @@ def candidates(tokens: DataFrame) -> DataFrame:
     return j.select("doc_id", "line", "pos", "t", "c", (F.col("c") == F.col("t")).cast("int").alias("y"))
 
 
+def members(tokens: DataFrame) -> DataFrame:
+    """(doc_id, line, pos, name, t): NAME tokens behind ``name.``, in order."""
+    w = Window.partitionBy("doc_id", "line").orderBy("pos")
+    near = tokens.select("doc_id", "line", "pos", "kind", "t", F.lag("t").over(w).alias("dot"), F.lag("t", 2).over(w).alias("name"), F.lag("kind", 2).over(w).alias("of"))
+    return near.where((F.col("kind") == lx.KIND_NAME) & (F.col("dot") == ".") & (F.col("of") == lx.KIND_NAME)).select("doc_id", "line", "pos", "name", "t")
+
+
+def dot_candidates(tokens: DataFrame) -> DataFrame:
+    """(doc_id, line, pos, name, t, c, y): completions offered right behind
+    ``name.``, where nothing is typed yet: what the document has used as a
+    member of that name on an earlier line.  A member is valid from the line
+    behind its first use on, so the state of any line is an interval join on
+    the name.  Positions whose own token is not offered form no group."""
+    found = members(tokens)
+    known = found.groupBy("doc_id", "name", F.col("t").alias("c")).agg((F.min("line") + 1).alias("valid_from"))
+    own = known.select("doc_id", "name", F.col("c").alias("t"), F.col("valid_from").alias("own_from"))
+    asked = found.join(own, ["doc_id", "name", "t"]).where(F.col("own_from") <= F.col("line")).drop("own_from")
+    offered = asked.join(known, ["doc_id", "name"]).where(F.col("valid_from") <= F.col("line"))
+    return offered.select("doc_id", "line", "pos", "name", "t", "c", (F.col("c") == F.col("t")).cast("int").alias("y"))
+
+
 def group_sizes(cands: DataFrame) -> DataFrame:
     return cands.groupBy("doc_id", "line", "pos").agg(
         F.count(F.lit(1)).alias("size"), F.sum("y").alias("n_pos"))

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -130,6 +131,44 @@ def ignored(path: Column, rules: list[str]) -> Column:
     return expr
 
 
+NEAREST_LEVELS = 5  # fixed value: a rule file counts this many folders up
+
+
+def compiled_rules(files: DataFrame) -> DataFrame:
+    """(dir, rules): rule files (dir, n, rule; a row per line) as arrays of
+    (regex, neg) in line order; files without a rule in force stay, empty."""
+    @F.pandas_udf("regex string, neg boolean")
+    def compiled(rules: pd.Series) -> pd.DataFrame:
+        found = [glob_to_regex(r or "") or (None, None) for r in rules]
+        return pd.DataFrame(found, columns=["regex", "neg"])
+
+    rows = files.select("dir", "n", compiled("rule").alias("r"))
+    own = F.sort_array(F.collect_list(F.struct("n", "r.regex", "r.neg")))
+    return rows.groupBy("dir").agg(F.filter(own, lambda r: r.regex.isNotNull()).alias("rules"))
+
+
+def nearest_ignored(rels: DataFrame, files: DataFrame) -> DataFrame:
+    """``rels`` (rel: a path relative to the top folder, ...) with ``rule_dir``
+    and ``ignored``: the rule file of the nearest folder above the path, at
+    most ``NEAREST_LEVELS`` folders up, decides alone; its last rule that fits
+    the path below that folder wins, and without one nothing is ignored.
+
+    Paths look their folders up (five keys each at most, folders once for all
+    their paths) and keep the longest that has rules: two equi-joins on
+    folders.  A null path is not ignored; the top folder is the empty string."""
+    folder = F.regexp_replace("rel", "/?[^/]*$", "")
+    parts = F.when(folder == "", F.array().cast("array<string>")).otherwise(F.split(folder, "/", -1))
+    rows = rels.withColumns({"_folder": folder, "_parts": parts})
+    levels = F.sequence(F.greatest(F.size("_parts") - NEAREST_LEVELS + 1, F.lit(0)), F.size("_parts"))
+    above = rows.select("_folder", "_parts").distinct().select("_folder", F.explode(F.transform(levels, lambda n: F.array_join(F.slice("_parts", 1, n), "/"))).alias("dir"))
+    rules = compiled_rules(files)
+    near = above.join(rules.select("dir"), "dir").groupBy("_folder").agg(F.max_by("dir", F.length("dir")).alias("rule_dir"))
+    ruled = near.join(rules.withColumnRenamed("dir", "rule_dir"), "rule_dir")
+    below = F.when(F.col("rule_dir") == "", F.col("rel")).otherwise(F.substring("rel", F.length("rule_dir") + 2, F.length("rel")))
+    ignored = F.aggregate("rules", F.lit(False), lambda last, r: F.when(F.rlike(below, r.regex), ~r.neg).otherwise(last))
+    return rows.join(ruled, "_folder", "left").select(*[rels[c] for c in rels.columns], "rule_dir", F.coalesce(ignored, F.lit(False)).alias("ignored"))
+
+
 def markdown_links(lines: DataFrame) -> DataFrame:
     """(doc_id, line, name, url, hosted) for ``* [name](url) - text`` lines:
     url between the first ``(`` and the first ``)``, name between the first

@@ -88,3 +88,45 @@ def type_counts(df: DataFrame, type_col: str, types=lx.LINT_TYPES) -> DataFrame:
 def merge_maps(primary: Column, secondary: Column) -> Column:
     """Merge two string maps; a key present in ``secondary`` wins."""
     return F.map_zip_with(primary, secondary, lambda k, v1, v2: F.coalesce(v2, v1))
+
+
+def _settings(config: Column) -> Column:
+    """Sections of a JSON object as a map of variants; anything else has none."""
+    v = F.try_parse_json(config)
+    return F.when(F.schema_of_variant(v).startswith("OBJECT"), v.cast("map<string, variant>")).otherwise(F.create_map().cast("map<string, variant>"))
+
+
+def _is_section(v: Column) -> Column:
+    return F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
+
+
+def _object(texts: Column) -> Column:
+    """JSON object of a map from key to JSON text."""
+    quoted = lambda k: F.regexp_extract(F.to_json(F.array(k)), r"(?s)^\[(.*)\]$", 1)
+    return F.concat(F.lit("{"), F.array_join(F.transform(F.map_entries(texts), lambda e: F.concat(quoted(e.key), F.lit(":"), e.value)), ","), F.lit("}"))
+
+
+def merge_configs(primary: Column, secondary: Column) -> Column:
+    """``secondary`` merged into ``primary``, both JSON texts, as JSON text with
+    keys in order.  Sections that are objects on both sides are merged key by
+    key, the secondary's values winning; below that, and where either side of
+    a section is not an object, the secondary's value replaces the other.  A
+    JSON null is a value; a text that is null, broken or no object is empty."""
+    def section(k: Column, p: Column, s: Column) -> Column:
+        both = F.map_zip_with(p.cast("map<string, variant>"), s.cast("map<string, variant>"), lambda n, a, b: F.coalesce(F.to_json(b), F.to_json(a)))
+        return F.when(s.isNull(), F.to_json(p)).when(_is_section(p) & _is_section(s), _object(both)).otherwise(F.to_json(s))
+
+    return F.to_json(F.parse_json(_object(F.map_zip_with(_settings(primary), _settings(secondary), section))))
+
+
+def setting_rows(config: Column) -> Column:
+    """Array of (section, name, value): the settings of a JSON object in the
+    order of their keys, values as JSON text.  A section that is no object has
+    a null name; an empty one a null name and value."""
+    def rows(section: Column, v: Column) -> Column:
+        row = lambda name, value: F.struct(section.alias("section"), name.alias("name"), value.alias("value"))
+        none = F.lit(None).cast("string")
+        inner = F.transform(F.map_entries(v.cast("map<string, variant>")), lambda e: row(e.key, F.to_json(e.value)))
+        return F.when(~_is_section(v), F.array(row(none, F.to_json(v)))).when(F.size(inner) == 0, F.array(row(none, none))).otherwise(inner)
+
+    return F.flatten(F.transform(F.map_entries(_settings(config)), lambda e: rows(e.key, e.value)))

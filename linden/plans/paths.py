@@ -70,6 +70,29 @@ def ignore_filter(spark, sf):
     return p.where(~paths.ignored(F.col("rel"), IGNORE_RULES))
 
 
+# rule files of nested folders: the inner one replaces the outer one
+NESTED_RULES = {"": ["*.html", "fr/"], "en": ["# nothing of the outer file holds here", "**/9*", "!/9*1"], "es": ["*", "!*[0-4]"]}
+
+
+def _rules_sql(rules: list[str], col: str) -> str:
+    expr = "false"
+    for rx, neg in [r for r in (paths.glob_to_regex(x) for x in rules) if r is not None]:
+        expr = f"CASE WHEN regexp_matches({col}, {q.lit(rx)}) THEN {str(not neg).lower()} ELSE {expr} END"
+    return expr
+
+
+@register("ignore_nested", f"""
+SELECT page_id, rel, d AS rule_dir, CASE d WHEN 'en' THEN {_rules_sql(NESTED_RULES['en'], 'substr(rel, 4)')}
+  WHEN 'es' THEN {_rules_sql(NESTED_RULES['es'], 'substr(rel, 4)')} ELSE {_rules_sql(NESTED_RULES[''], 'rel')} END AS ignored
+FROM (SELECT *, CASE WHEN starts_with(rel, 'en/') THEN 'en' WHEN starts_with(rel, 'es/') THEN 'es' ELSE '' END AS d
+      FROM (SELECT page_id, ltrim({_path_sql()}, '/') AS rel FROM pages))
+""")
+def ignore_nested(spark, sf):
+    files = spark.createDataFrame([(d, n, r) for d, rules in NESTED_RULES.items() for n, r in enumerate(rules)], "dir string, n int, rule string")
+    p = _pages(spark, sf).select("page_id", F.ltrim(paths.url_path(F.col("url")), F.lit("/")).alias("rel"))
+    return paths.nearest_ignored(p, files)
+
+
 @register("link_harvest", f"""
 SELECT page_id, count(*) AS n_links, count(*) FILTER (WHERE starts_with(href, '/')) AS n_internal,
        count(*) FILTER (WHERE NOT starts_with(href, '/')) AS n_external

@@ -28,6 +28,21 @@ BASE = [q.LINES, q.CODE_LINES, q.CODE_TOKENS, """pos AS (
 SQL = q.with_(*BASE)
 
 
+@register("dot_candidates", q.with_(q.LINES, q.CODE_LINES, q.CODE_TOKENS, """after_dot AS (
+  SELECT doc_id, line, pos, name, t FROM (
+    SELECT doc_id, line, pos, kind, t, lag(t) OVER w AS dot, lag(t, 2) OVER w AS name, lag(kind, 2) OVER w AS name_kind
+    FROM ctokens WINDOW w AS (PARTITION BY doc_id, line ORDER BY pos))
+  WHERE kind = 'NAME' AND dot = '.' AND name_kind = 'NAME'
+)""") + """
+SELECT a.doc_id, a.line, a.pos, a.name, a.t, b.t AS c, CAST(a.t = b.t AS INTEGER) AS y
+FROM after_dot a JOIN (SELECT DISTINCT doc_id, line, name, t FROM after_dot) b ON b.doc_id = a.doc_id AND b.name = a.name AND b.line < a.line
+WHERE EXISTS (SELECT 1 FROM after_dot e WHERE e.doc_id = a.doc_id AND e.name = a.name AND e.t = a.t AND e.line < a.line)
+GROUP BY a.doc_id, a.line, a.pos, a.name, a.t, b.t
+""")
+def dot_candidates(spark, sf):
+    return cd.dot_candidates(materialize(code_tokens(spark, sf), "code-tokens"))
+
+
 def _cands(spark, sf):
     return cd.candidates(code_tokens(spark, sf))
 

@@ -65,6 +65,36 @@ def merge_maps(spark, sf):
     return merged.select("user_id", F.explode("m").alias("key", "value"))
 
 
+@register("merge_configs", """
+WITH latest AS (
+  SELECT user_id, event_type, CAST(arg_max(event_id, (ts, event_id)) AS VARCHAR) AS e, arg_max(json_extract_string(props, '$.k'), (ts, event_id)) AS k
+  FROM events WHERE event_type IN ('view', 'click') GROUP BY user_id, event_type
+), merged AS (
+  SELECT user_id, json_merge_patch(
+    coalesce(max(CASE WHEN event_type = 'view' THEN '{"ui":{"k":' || k || ',"from":"view"},"n":' || k || ',"seen":{"view":' || e || '}}' END), '{}'),
+    coalesce(max(CASE WHEN event_type <> 'view' THEN CASE CAST(k AS INTEGER) % 3 WHEN 0 THEN '{"ui":{"k":' || k || ',"from":"click","extra":[' || k || ']},"n":{"deep":' || k || '}}'
+      WHEN 1 THEN '{"ui":' || k || ',"seen":{"click":' || e || '}}' ELSE '{"new":{},"seen":{"view":{"again":' || k || '}}}' END END), '{}')) AS m
+  FROM latest GROUP BY user_id
+), sections AS (SELECT user_id, s AS section, json_extract(m, '$.' || s) AS v FROM (SELECT user_id, m, unnest(json_keys(m)) AS s FROM merged))
+SELECT user_id, section, n AS name, CAST(json_extract(v, '$.' || n) AS VARCHAR) AS value
+FROM (SELECT *, unnest(json_keys(v)) AS n FROM sections WHERE json_type(v) = 'OBJECT')
+UNION ALL SELECT user_id, section, NULL, CASE WHEN json_type(v) <> 'OBJECT' THEN CAST(v AS VARCHAR) END FROM sections
+WHERE json_type(v) <> 'OBJECT' OR len(json_keys(v)) = 0
+""")
+def merge_configs(spark, sf):
+    e = _events(spark, sf).where(F.col("event_type").isin("view", "click"))
+    latest = rec.latest_per_key(e, ["user_id", "event_type"], "ts", "event_id", ["props", "event_id"])
+    latest = latest.withColumns({"k": F.get_json_object("props", "$.k"), "e": F.col("event_id").cast("string")})
+    text = lambda t: F.concat(*[F.col(x) if x in ("k", "e") else F.lit(x) for x in t.split("|")])
+    kind = F.col("k").cast("int") % 3
+    view = text('{"ui":{"k":|k|,"from":"view"},"n":|k|,"seen":{"view":|e|}}')
+    click = F.when(kind == 0, text('{"ui":{"k":|k|,"from":"click","extra":[|k|]},"n":{"deep":|k|}}')) \
+        .when(kind == 1, text('{"ui":|k|,"seen":{"click":|e|}}')).otherwise(text('{"new":{},"seen":{"view":{"again":|k|}}}'))
+    both = latest.groupBy("user_id").agg(F.max(F.when(F.col("event_type") == "view", view)).alias("a"), F.max(F.when(F.col("event_type") == "click", click)).alias("b"))
+    rows = both.select("user_id", F.explode(rec.setting_rows(rec.merge_configs(F.col("a"), F.col("b")))).alias("s"))
+    return rows.select("user_id", "s.section", "s.name", "s.value")
+
+
 @register("compact_states", f"""
 SELECT event_id, user_id, event_type, value FROM events WHERE event_type <> '{STATE_TYPE}'
 UNION ALL

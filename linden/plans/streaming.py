@@ -8,7 +8,7 @@ from linden.plans.common import doc_lines
 from linden.plans.records import STATE_TYPE
 from linden.plans.registry import register
 from linden.sources.tables import table
-from linden.streaming import changelog, compact, edits, splices
+from linden.streaming import changelog, compact, daily, edits, splices
 
 EDITS_SQL = [q.LINES, q.EDIT_LOG, """known AS (
   SELECT e.doc_id, e.line, e.text, e.ts, e.seq, l.text AS base FROM edit_log e
@@ -88,6 +88,32 @@ def splice_rejected(spark, sf):
     return splices.splices_of_events(spark, sf, doc_lines(spark, sf)).rejected()
 
 
+ARRIVALS_SQL = q.with_("""spans AS (SELECT min(epoch_us(ts)) AS a, max(epoch_us(ts)) AS b FROM events)""", """arrived AS (
+  SELECT event_id, user_id, ts, least(3, ((epoch_us(ts) - a) * 4) // (b - a + 1) + CASE WHEN event_id % 40 = 7 THEN 1 ELSE 0 END) AS batch
+  FROM events, spans
+)""", """marks AS (
+  SELECT t.batch, (SELECT max(epoch_ms(ts)) - 3600000 FROM arrived s WHERE s.batch < t.batch) AS mark FROM (SELECT unnest(range(0, 5)) AS batch) t
+)""", """sorted_out AS (
+  SELECT x.*, coalesce(epoch_ms(x.ts) < m.mark, false) AS late FROM arrived x JOIN marks m ON m.batch = x.batch
+)""")
+
+
+@register("closed_days", ARRIVALS_SQL + """
+SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS n, arg_max(event_id, (ts, event_id)) AS last_event FROM sorted_out WHERE NOT late
+GROUP BY user_id, CAST(ts AS DATE)
+HAVING epoch_ms(CAST(CAST(ts AS DATE) + INTERVAL 1 DAY AS TIMESTAMP)) <= (SELECT mark FROM marks WHERE batch = 4)
+""")
+def closed_days(spark, sf):
+    return daily.replay(spark, table(spark, sf, "events")).closed_days()
+
+
+@register("late_events", ARRIVALS_SQL + """
+SELECT user_id, event_id FROM sorted_out WHERE late
+""")
+def late_events(spark, sf):
+    return daily.replay(spark, table(spark, sf, "events")).late()
+
+
 @register("tree_state", """
 SELECT path FROM (
   SELECT 'u' || CAST(user_id AS VARCHAR) || '/' || json_extract_string(props, '$.k') AS path,
@@ -99,6 +125,49 @@ def tree_state(spark, sf):
     return changelog.tree_state(changelog.file_events(table(spark, sf, "events")))
 
 
+RENAMES_SQL = """log AS (
+  SELECT root, CASE WHEN moves THEN own ELSE entry END AS path, op, CASE WHEN moves THEN root || '/d' || CAST((k * 7 + 3) % 10 AS VARCHAR)
+         WHEN op = 'rename' THEN entry || 'x' END AS new_path, ts, seq
+  FROM (SELECT *, op = 'rename' AND k % 2 = 0 AS moves, root || '/d' || CAST(k // 10 AS VARCHAR) AS own,
+               root || '/d' || CAST(k // 10 AS VARCHAR) || '/f' || CAST(k AS VARCHAR) AS entry
+        FROM (SELECT 'u' || CAST(user_id AS VARCHAR) AS root, TRY_CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, ts, event_id AS seq,
+                     CASE event_type WHEN 'signup' THEN 'create' WHEN 'click' THEN 'create' WHEN 'error' THEN 'delete' WHEN 'purchase' THEN 'rename' END AS op
+              FROM events))
+  WHERE op IS NOT NULL AND k IS NOT NULL
+), folded AS (
+  SELECT root, list_reduce(es, lambda acc, e: CASE e.op
+      WHEN 'create' THEN {'paths': list_distinct(list_append(acc.paths, e.path))}
+      WHEN 'delete' THEN {'paths': list_filter(acc.paths, lambda p: p <> e.path AND NOT starts_with(p, e.path || '/'))}
+      ELSE {'paths': list_distinct(list_transform(acc.paths, lambda p:
+        CASE WHEN p = e.path OR starts_with(p, e.path || '/') THEN e.new_path || substr(p, length(e.path) + 1) ELSE p END))} END,
+    {'paths': []::VARCHAR[]}) AS r
+  FROM (SELECT root, list({'op': op, 'path': path, 'new_path': new_path} ORDER BY ts, seq) AS es FROM log GROUP BY root)
+)"""
+
+
+@register("tree_renames", q.with_(RENAMES_SQL) + """
+SELECT root, unnest(r.paths) AS path FROM folded
+""")
+def tree_renames(spark, sf):
+    return changelog.tree_state_with_renames(changelog.rename_events(table(spark, sf, "events")))
+
+
+@register("opened_paths", q.with_("""log AS (
+  SELECT 'u' || CAST(user_id AS VARCHAR) AS root, CASE event_type WHEN 'error' THEN [top] ELSE [top, 's' || CAST(k AS VARCHAR), CAST(k % 3 AS VARCHAR)] END AS parts,
+         event_type IN ('view', 'click') AS opens, ts, event_id AS seq
+  FROM (SELECT *, 'd' || CAST(k // 10 AS VARCHAR) AS top FROM (SELECT *, TRY_CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events))
+  WHERE event_type <> 'signup' AND k IS NOT NULL
+), opened AS (
+  SELECT root, ts, seq, parts[1:unnest(range(1, len(parts) + 1))] AS parts FROM log WHERE opens
+)""") + """
+SELECT o.root, array_to_string(o.parts, '/') AS path, count(*) AS opens FROM opened o
+WHERE NOT EXISTS (SELECT 1 FROM log c WHERE NOT c.opens AND c.root = o.root AND c.parts = o.parts[1:len(c.parts)] AND (c.ts, c.seq) > (o.ts, o.seq))
+GROUP BY o.root, o.parts
+""")
+def opened_paths(spark, sf):
+    return changelog.opened_paths(changelog.open_events(table(spark, sf, "events")))
+
+
 @register("stream_compact_states", f"""
 SELECT event_id, user_id, event_type, value FROM events WHERE event_type <> '{STATE_TYPE}'
 UNION ALL

@@ -17,8 +17,7 @@ a batch that runs again writes the same again, and readers see committed
 batches alone.  Edits of a line that does not exist stay in the log and are
 returned by ``rejected`` (their sender needs a full sync).
 
-Range edits that change the number of lines (splices) are order-dependent
-per document; ``apply_splice`` is the pure fold used for them.
+Range edits that change the number of lines are ``linden.streaming.splices``.
 """
 
 from __future__ import annotations
@@ -150,13 +149,3 @@ def final_lines(base: DataFrame, edits: DataFrame) -> DataFrame:
 def dirty_lines_batch(base: DataFrame, edits: DataFrame) -> DataFrame:
     """Batch twin of the dirty-edit log: (doc_id, line, seq)."""
     return dirty_edits(with_base(edits, base)).where("dirty").select(*LINE, "seq")
-
-
-def apply_splice(doc: list[str], from_line: int, to_line: int, new_lines: list[str]) -> list[str] | None:
-    """Replace ``doc[from_line:to_line]`` (``to_line`` exclusive) by
-    ``new_lines``; later lines shift when the lengths differ.  Returns None
-    when the range is outside the document (the caller asks for a full
-    sync)."""
-    if from_line < 0 or to_line < from_line or to_line > len(doc):
-        return None
-    return doc[:from_line] + list(new_lines) + doc[to_line:]

@@ -72,23 +72,6 @@ def test_late_edits_replays_and_batches_without_dirty_edits(spark, tmp_path):
     assert rows(a.read("dirty")) == [(1, 0, 6), (1, 0, 7)]
 
 
-def test_splice():
-    doc = ["a", "b", "c"]
-    assert edits.apply_splice(doc, 1, 2, ["x", "y"]) == ["a", "x", "y", "c"]
-    assert edits.apply_splice(doc, 0, 3, []) == []
-    assert edits.apply_splice(doc, 2, 5, ["z"]) is None
-
-
-def test_tree_fold_with_renames(spark):
-    ops = [("create", "p/a.py", None), ("create", "p/b/c.py", None), ("rename", "p/b", "p/d"),
-           ("create", "p/e.py", None), ("delete", "p/e.py", None), ("delete", "p/a.py", None)]
-    assert changelog.fold_tree(ops) == {"p/d/c.py"}
-    df = spark.createDataFrame([("p", path, op, i, i, new) for i, (op, path, new) in enumerate(ops)],
-                               "root string, path string, op string, ts long, seq long, new_path string")
-    got = {r.path for r in changelog.tree_state_with_renames(df).collect()}
-    assert got == {"p/d/c.py"}
-
-
 def test_stream_resumes_from_committed_state(spark):
     base = doc_lines(spark, SMALL)
     first = edits.run_edit_stream(spark, SMALL, base)
