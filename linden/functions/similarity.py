@@ -1,9 +1,9 @@
 """String similarity as JVM-side expressions, plus one Arrow-batched helper.
 
-``ratio`` and ``partial_ratio`` are dynamic programs written with nested
-``aggregate`` calls: interpreted, but in the JVM with no
-Python worker.  Callers must block pairs (equi-join on a cheap key) before
-scoring: these are per-pair costs of O(len(a) * len(b)).
+``ratio`` and ``partial_ratio`` rest on a bit-parallel longest common
+subsequence written with ``aggregate``: interpreted, but in the JVM with no
+Python worker, and one addition per character.  Callers must block pairs
+(equi-join on a cheap key) before scoring.
 """
 
 from __future__ import annotations
@@ -30,8 +30,26 @@ def chars(s: Column) -> Column:
     return F.split(s, "", -1)
 
 
-def lcs_length(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence (row-by-row DP)."""
+WORD_BITS = 62  # characters that fit a long with a bit to spare for the carry
+
+
+def _lcs_bits(a: Column, b: Column) -> Column:
+    """LCS length, ``a`` of 1 to ``WORD_BITS`` characters: a long holds a bit
+    per character of ``a``, and one addition takes a character of ``b``."""
+    one = F.lit(1).cast("long")
+    bit = lambda i: F.call_function("shiftleft", one, i)
+    ca, full = chars(a), bit(F.length(a)) - 1
+
+    def step(v: Column, c: Column) -> Column:
+        places = F.aggregate(F.transform(ca, lambda x, i: F.when(x == c, bit(i)).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda s, x: s + x)
+        # named once: what is written twice in a lambda is computed twice
+        return F.transform(F.array(v.bitwiseAND(places)), lambda u: (v + u).bitwiseOR(v - u).bitwiseAND(full))[0]
+
+    return F.length(a) - F.bit_count(F.aggregate(chars(b), full, step))
+
+
+def _lcs_table(a: Column, b: Column) -> Column:
+    """LCS length of strings of any length, a row of the table at a time."""
     cb = chars(b)
     n = F.size(cb)
     first_row = F.array_repeat(F.lit(0), n + 1)
@@ -46,8 +64,17 @@ def lcs_length(a: Column, b: Column) -> Column:
                     .otherwise(F.greatest(F.get(prev, j), F.get(cur, j - 1)))))),
         )
 
-    last = F.aggregate(chars(a), first_row, next_row)
-    return F.when((F.length(a) == 0) | (F.length(b) == 0), F.lit(0)).otherwise(F.get(last, n))
+    return F.get(F.aggregate(chars(a), first_row, next_row), n)
+
+
+def lcs_length(a: Column, b: Column) -> Column:
+    """Length of the longest common subsequence."""
+    return (
+        F.when((F.length(a) == 0) | (F.length(b) == 0), F.lit(0))
+        .when(F.length(a) <= WORD_BITS, _lcs_bits(a, b))
+        .when(F.length(b) <= WORD_BITS, _lcs_bits(b, a))
+        .otherwise(_lcs_table(a, b))
+    )
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -118,27 +145,26 @@ def _gains(target: str, typed: str) -> list[list[float]]:
 def abbreviation_score(target: str, typed: str) -> int:
     """Fuzzy score of ``typed`` as an abbreviation of ``target``.
 
-    Typed characters land on target positions from left to right.  ``at[k]``
-    is the best score with the last of them on position k: it comes from the
-    neighbouring position, or over a gap of any width for one skip, which a
-    running maximum provides.  Characters left when the target has ended cost
-    a fixed amount each; a gap before the target's end is a skip too."""
+    ``row[j]`` is the best score of the letters so far with ``j`` characters of
+    the target skipped; the next letter lands on the character behind both.
+    Skipping on from a smaller ``j`` costs one skip however far it goes, which
+    a running maximum provides.  A letter that lands beyond the target's end
+    costs a fixed amount, but without any skip it has no place.  In the end all
+    but one of the target's characters count as skipped.  Letters that match
+    without a skip are added up even behind one that has no place."""
     if typed == target:
         return ABBREV_EQUAL
     n = len(target)
     if n == 0:
         return ABBREV_MIN
-
-    def ended(at: list[float]) -> float:
-        return max(at[-1], max(at[:-1], default=NOWHERE) + ABBREV_SKIP)
-
-    at = [0.0, *[NOWHERE] * n]  # position 0 stands before the target
-    beyond = NOWHERE
-    for worth in _gains(target, typed[:ABBREV_MAX_INPUT]):
-        beyond = max(beyond, ended(at)) + ABBREV_UNMATCHED
-        far = [NOWHERE, *accumulate(at[:-2], max)]
-        at = [NOWHERE, *(max(near, gap + ABBREV_SKIP) + w for near, gap, w in zip(at, far, worth))]
-    return int(max(ended(at), beyond, ABBREV_MIN))
+    row = [0.0, *[float(ABBREV_SKIP)] * (n - 1)]
+    for i, worth in enumerate(_gains(target, typed[:ABBREV_MAX_INPUT])):
+        here = [*worth[i:], *[float(ABBREV_UNMATCHED)] * min(i, n)]
+        if i >= n:
+            here[0] = NOWHERE
+        landed = [max(row[0], ABBREV_MIN) + here[0], *(v + w for v, w in zip(row[1:], here[1:]))]
+        row = [max(v, skipped + ABBREV_SKIP) for v, skipped in zip(landed, [NOWHERE, *accumulate(landed, max)])]
+    return int(max(row[-1], ABBREV_MIN))
 
 
 @F.pandas_udf(T.IntegerType())

@@ -90,30 +90,30 @@ def fold_attributes(events, builtin=()):
       type, called like the name, has this attribute alone;
     * only the attribute is known: the name adopts its group.
     """
-    groups: dict[tuple[str, str], list[str]] = {}
-    edges: set[tuple[str, str]] = set()
+    groups: dict[tuple[str, str], dict[str, None]] = {}
+    attrs: dict[str, set[str]] = {}
 
     def attach(types, attr):
-        group = groups.setdefault(("attr", attr), [])
-        group.extend(t for t in types if t not in group)
-        edges.update((t, attr) for t in types)
+        groups.setdefault(("attr", attr), {}).update(dict.fromkeys(types))
+        for t in types:
+            attrs.setdefault(t, set()).add(attr)
 
     for t, attr in builtin:
         attach([t], attr)
     for name, attr in events:
-        own = groups.get(("name", name)) or []
+        own = groups.get(("name", name)) or {}
         able = [t for t in own if not t.startswith(BUILTIN)]
-        if any((t, attr) in edges for t in own):
+        if any(attr in attrs[t] for t in own):
             continue
         if able:
             attach(able, attr)
         elif not own and groups.get(("attr", attr)):
             groups["name", name] = groups["attr", attr]
         else:
-            edges = {e for e in edges if e[0] != name}
-            groups["name", name] = [name]
+            attrs[name] = set()
+            groups["name", name] = {name: None}
             attach([name], attr)
-    return groups, edges
+    return {k: list(types) for k, types in groups.items()}, {(t, attr) for t, own in attrs.items() for attr in own}
 
 
 def attributes_of(folded, name) -> set:

@@ -295,9 +295,11 @@ for _m in ("token_frequency", "bigram_frequency", "trigram_frequency"):
     REGISTRY.completion_feature(_m)(lambda m=_m: F.col(m))
 
 # Similarity features: exact re-expressions, checked by unit tests.
+# fixed values: lines above that count
+LINES_ABOVE = (2, 3, 4, 5, 6)
 SIMILARITY_FEATURES = (
     "first_token_ratio", "first_token_partial_ratio", "last_line_first_token_ratio",
-    "last_line_first_token_partial_ratio", "last_line_all_token_ratio",
+    "last_line_first_token_partial_ratio", "last_n_lines_first_token_partial_ratio", "all_token_ratio", "last_line_all_token_ratio",
     "signature_parameter_ratio", "signature_parameter_partial_ratio", "function_ratio", "function_partial_ratio",
 )
 
@@ -368,19 +370,25 @@ def completion_features(cands: DataFrame, lines: DataFrame, tokens: DataFrame, c
 
 def similarity_features(cands: DataFrame, tokens: DataFrame, ctx_rows: DataFrame | None = None,
                         params: DataFrame | None = None, defs: DataFrame | None = None) -> DataFrame:
-    """Ratio features against the first NAME/STRING token before the cursor
-    on the current line (-1 if none), the previous line's first NAME/STRING
-    token ('' if none; -1 for line 0) and the best ratio over the previous
-    line's NAME/STRING tokens (-1 if none)."""
+    """Ratio features of a candidate against:
+
+    * the line's first NAME/STRING token (-2 where the cursor is still in it);
+    * the previous line's first NAME/STRING token ('' if none; -1 for line 0);
+    * the first NAME tokens ('' if none) of the lines two to six above, the best
+      partial ratio (-1 if there is no such line);
+    * the NAME/STRING tokens of the line except the one at the cursor, and of
+      the previous line, the best ratio (-1 if none)."""
     ns = tokens.where(F.col("kind").isin(lx.KIND_NAME, lx.KIND_STRING))
-    firsts = ns.groupBy("doc_id", "line").agg(F.min_by("t", "pos").alias("first_t"),
-                                              F.collect_list("t").alias("all_t"))
-    prev = firsts.select("doc_id", (F.col("line") + 1).alias("line"),
-                         F.col("first_t").alias("prev_first"), F.col("all_t").alias("prev_all"))
-    cur_first = ns.alias("a").join(cands.select(*GROUP).distinct().alias("b"), ["doc_id", "line"]) \
-        .where(F.col("a.pos") < F.col("b.pos")).groupBy("doc_id", "line", F.col("b.pos").alias("pos")) \
-        .agg(F.min_by("t", F.col("a.pos")).alias("cur_first"))
-    d = cands.join(cur_first, GROUP, "left").join(prev, ["doc_id", "line"], "left")
+    firsts = ns.groupBy("doc_id", "line").agg(F.min_by(F.struct("t", "pos"), "pos").alias("first"), F.collect_list(F.struct("t", "pos")).alias("all_t"),
+                                              F.min_by(F.when(F.col("kind") == lx.KIND_NAME, F.lower("t")),
+                                                       F.when(F.col("kind") == lx.KIND_NAME, F.col("pos"))).alias("name"))
+    own = firsts.select("doc_id", "line", F.col("first").alias("line_first"), F.col("all_t").alias("line_all"))
+    prev = firsts.select("doc_id", (F.col("line") + 1).alias("line"), F.col("first.t").alias("prev_first"),
+                         F.transform("all_t", lambda x: x.t).alias("prev_all"))
+    above = firsts.where("name is not null").select("doc_id", F.explode(F.array(*[F.col("line") + k for k in LINES_ABOVE])).alias("line"), "name") \
+        .groupBy("doc_id", "line").agg(F.collect_set("name").alias("names_above"))
+    d = cands.join(own, ["doc_id", "line"]).join(prev, ["doc_id", "line"], "left").join(above, ["doc_id", "line"], "left")
+    d = d.withColumn("cur_first", F.when(F.col("line_first.pos") < F.col("pos"), F.col("line_first.t")))
     if ctx_rows is not None:
         d = d.join(ctx_rows.select(*GROUP, "call", active_argument(F.col("head")).alias("arg")), GROUP, "left")
     else:
@@ -401,12 +409,15 @@ def similarity_features(cands: DataFrame, tokens: DataFrame, ctx_rows: DataFrame
     no_prev = F.col("line") == 0
     return d.select(
         *GROUP, "c",
-        F.when(F.col("cur_first").isNull(), F.lit(-1)).otherwise(sim.ratio(F.col("cur_first"), c)).alias("first_token_ratio"),
-        F.when(F.col("cur_first").isNull(), F.lit(-1)).otherwise(
+        F.when(F.col("cur_first").isNull(), F.lit(lx.INSIDE_FIRST_TOKEN)).otherwise(sim.ratio(F.col("cur_first"), c)).alias("first_token_ratio"),
+        F.when(F.col("cur_first").isNull(), F.lit(lx.INSIDE_FIRST_TOKEN)).otherwise(
             sim.partial_ratio(F.lower("cur_first"), F.lower(c))).alias("first_token_partial_ratio"),
         F.when(no_prev, F.lit(-1)).otherwise(sim.ratio(pf, c)).alias("last_line_first_token_ratio"),
         F.when(no_prev, F.lit(-1)).otherwise(sim.partial_ratio(F.lower(pf), F.lower(c))).alias(
             "last_line_first_token_partial_ratio"),
+        F.when(F.col("line") < min(LINES_ABOVE), F.lit(-1)).otherwise(F.coalesce(F.array_max(F.transform(
+            "names_above", lambda t: sim.partial_ratio(t, F.lower(c)))), F.lit(0))).alias("last_n_lines_first_token_partial_ratio"),
+        F.coalesce(F.array_max(F.transform(F.filter("line_all", lambda x: x.pos != F.col("pos")), lambda x: sim.ratio(x.t, c))), F.lit(-1)).alias("all_token_ratio"),
         F.when(no_prev | F.col("prev_all").isNull(), F.lit(-1)).otherwise(
             F.array_max(F.transform("prev_all", lambda t: sim.ratio(t, c)))).alias("last_line_all_token_ratio"),
         *_signature_cols(c),

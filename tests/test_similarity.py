@@ -44,6 +44,22 @@ def test_abbreviation_order_relations():
     assert s("AaBbXx", "abc") > s("AaYyXx", "abc")
 
 
+def test_abbreviation_scores_as_numbers():
+    """Worked out by hand from the rule: 100 for the first letter in its case, 5
+    inside a word, 10 at a word's start, -1 a run of skips, -200 beyond the end."""
+    s = sim.abbreviation_score
+    assert s("import", "im") == 100 + 5 - 1
+    assert s("backs", "baks") == 100 + 5 - 1 + 5 + 5 - 1  # the last match ends the target: the skip counts all the same
+    assert s("ab", "abc") == 100 + 5 - 1 - 200
+    assert s("aXbX", "axx") == 100 + 10 - 1 + 10 - 1
+    assert s("_a_dog", "_adog") == 100 + 10 - 1 + 10 + 5 + 5 - 1
+    assert s("ABC", "abc") == 10 + 5 + 5 - 1
+    assert s("bca", "a") == -1 + 5
+    assert s("abc", "x") == s("", "x") == -9999
+    assert s("ab", "xb") == -9999 + 5 - 1
+    assert s("a", "") == 0 and s("abc", "") == -1 and s("", "") == 1000
+
+
 def test_abbreviation_udf_matches_python(spark):
     rows = [("AbcBbcCbc", "abc"), ("import", "im"), ("_a_dog", "_adog")]
     df = spark.createDataFrame(rows, "t string, s string")
