@@ -43,9 +43,10 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Documents that the classifier, fitted on the labelled ones among them,
     does not reject."""
     bounded_batches(spark)
-    rows = written(quality.vectors(framed(docs)), "pipeline-stats")
-    model = quality.fit(quality.examples_of(rows, table(spark, sf_dir, "labels")))
-    return unframed(quality.add_scores(rows, model).where(F.col("score") >= QUALITY_THRESHOLD), docs.columns)
+    # statistics are computed again for the scores: writing them beside the texts would take another copy of those
+    stats = written(quality.vectors(docs.select("doc_id", "text"), drop_text=True), "pipeline-stats")
+    model = quality.fit(quality.examples_of(stats, table(spark, sf_dir, "labels")))
+    return unframed(quality.classify(framed(docs), model, QUALITY_THRESHOLD).where("predicted = 1"), docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
