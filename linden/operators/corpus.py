@@ -71,3 +71,21 @@ def seeded_split(df: DataFrame, key: str, n_stat: int, n_train: int, n_valid: in
             key, F.when(F.col(key) == train_key, F.lit("training")).otherwise(F.lit("testing")).alias("split"))
         return stat.unionByName(pins)
     return r.select(key, split.alias("split"), "rank")
+
+
+def write_lists(splits: DataFrame, key: str, path: str) -> None:
+    """Write split lists (``key``, split), a folder to each split; only the
+    splits that ``splits`` holds are replaced."""
+    splits.select(key, "split").write.partitionBy("split").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
+
+
+def load_split(features: DataFrame, path: str, key: str, split: str) -> DataFrame:
+    """``features`` of the listed keys of a split, and ``missing``.  A key
+    without features is left out, except in the testing split, where it must
+    not go unnoticed: it comes with null features and ``missing`` set."""
+    listed = features.sparkSession.read.parquet(path).where(F.col("split") == split).select(F.col(key).alias("_listed")).distinct()
+    if split != "testing":
+        return features.join(listed, F.col(key) == F.col("_listed"), "left_semi").withColumn("missing", F.lit(False))
+    known = features.withColumn("missing", F.lit(False))
+    rest = [F.col(c) for c in features.columns if c != key]
+    return listed.join(known, F.col("_listed") == F.col(key), "left").select(F.col("_listed").alias(key), *rest, F.coalesce("missing", F.lit(True)).alias("missing"))

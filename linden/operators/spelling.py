@@ -105,10 +105,13 @@ def _ord(line: Column, pos: Column, sub: Column) -> Column:
     return F.struct(line.alias("l"), pos.alias("p"), sub.alias("s"))
 
 
-def spelling(tokens: DataFrame, dictionary: DataFrame, materialize: bool = True) -> DataFrame:
+def spelling(tokens: DataFrame, dictionary: DataFrame, materialize: bool = True, project: DataFrame | None = None) -> DataFrame:
     """(doc_id, line, pos, token, highlighted): identifiers (and string /
     comment words) with at least one unknown word, reported once.
 
+    ``project`` (doc_id, w, line): words that a document's project dictionary
+    was given at a line; each is accepted from that line on.
+
     The check events feed five branches (imports, names, string words, first
     positions, words); with ``materialize`` they are written once to the
     shared checkpoint folder instead of being recomputed per branch."""
@@ -139,6 +142,10 @@ def spelling(tokens: DataFrame, dictionary: DataFrame, materialize: bool = True)
     texts = texts.join(imported.withColumnRenamed("w", "s"), ["doc_id", "s"], "left") \
         .where(F.col("imp_o").isNull() | (F.col("imp_o") > _ord(F.col("line"), F.col("pos"), F.col("sub") + 1))) \
         .select("doc_id", "line", "pos", "s", (F.col("sub") + 1).alias("sub"), F.lit(True).alias("from_text"))
+    if project is not None:
+        accepted = project.groupBy("doc_id", "w").agg(F.min("line").alias("known_from"))
+        texts = texts.join(accepted.withColumnRenamed("w", "s"), ["doc_id", "s"], "left") \
+            .where(F.col("known_from").isNull() | (F.col("known_from") > F.col("line"))).drop("known_from")
     checks = names.unionByName(texts).where(F.length("s") > MIN_NAME_LEN_EXCLUSIVE)
     checks = checks.withColumn("o", _ord(F.col("line"), F.col("pos"), F.col("sub"))).withColumn("ws", decompose(F.col("s")))
 
@@ -162,6 +169,9 @@ def spelling(tokens: DataFrame, dictionary: DataFrame, materialize: bool = True)
         | F.coalesce(F.col("imp_o") < F.col("o"), F.lit(False))
         | F.coalesce(F.col("w_first") < F.col("o"), F.lit(False))
     )
+    if project is not None:
+        words = words.join(accepted, ["doc_id", "w"], "left")
+        ok = ok | F.coalesce(F.col("known_from") <= F.col("line"), F.lit(False))
     words = words.withColumn("ok", ok)
     per_token = words.groupBy("doc_id", "line", "pos", "sub", "s").agg(
         F.sort_array(F.collect_list(F.struct("wi", "w", "ok"))).alias("wl"))

@@ -168,12 +168,13 @@ def _inputs(spark, sf):
     return lines, views.tokens(lines)
 
 
-def completion_frame(spark, sf, inputs=None):
+def completion_frame(spark, sf, inputs=None, counted=lambda lines: lines):
+    """Completion features; ``counted`` picks the lines whose n-grams count."""
     lines, t = inputs or _inputs(spark, sf)
     cands = cd.candidates(t)
     ctx_rows = ft.positions_with_context(lines, cd.positions(t).select(*ft.GROUP, "t"))
     context = ngrams.token_context(lines)
-    stats = ngrams.pruned_statistics(lines, materialize=True)
+    stats = ngrams.pruned_statistics(counted(lines), materialize=True)
     return ft.completion_features(cands, lines, t, context, stats, ctx_rows)
 
 
@@ -194,12 +195,12 @@ def similarity_features(spark, sf):
     return similarity_frame(spark, sf)
 
 
-def feature_matrix_frame(spark, sf):
+def feature_matrix_frame(spark, sf, counted=lambda lines: lines):
     """Candidates with every completion feature and the context features of
     their position (joined on the group key: computed once per position)."""
     inputs = _inputs(spark, sf)
     lines, t = inputs
-    comp = completion_frame(spark, sf, inputs)
+    comp = completion_frame(spark, sf, inputs, counted)
     simf = similarity_frame(spark, sf, inputs)
     pos = cd.positions(t).select(*ft.GROUP, "t")
     ctx = ft.context_features(ft.positions_with_context(lines, pos))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from linden.operators import learning as lr
@@ -17,7 +19,8 @@ META = {"doc_id", "line", "pos", "c", "y", "t", "split"}
 
 
 def _matrix(spark, sf):
-    m = lr.split_by_doc(fplans.feature_matrix_frame(spark, sf))
+    # corpus statistics come from the training documents alone
+    m = lr.split_by_doc(fplans.feature_matrix_frame(spark, sf, lambda lines: lr.split_by_doc(lines).where("split = 'train'").drop("split")))
     return materialize(m, "feature-matrix")
 
 
@@ -91,7 +94,7 @@ def feature_store(spark, sf):
     comp = fplans.completion_frame(spark, sf)
     keyed = comp.withColumn("doc_key", F.sha2(F.col("doc_id").cast("string"), 256))
     keyed = lr.split_by_doc(keyed)
-    path = scratch_path(spark, "feature-store")
+    path = scratch_path(spark, f"feature-store-{uuid.uuid4().hex[:12]}")
     keyed.write.mode("overwrite").partitionBy("split").parquet(path)
     return spark.read.parquet(path)
 
@@ -99,7 +102,7 @@ def feature_store(spark, sf):
 @register("stats_roundtrip", splans.PRUNE_SQL)
 def stats_roundtrip(spark, sf):
     p = ngrams.pruned_statistics(doc_lines(spark, sf), materialize=True)
-    base = scratch_path(spark, "statistics")
+    base = scratch_path(spark, f"statistics-{uuid.uuid4().hex[:12]}")
     for name, df in p.items():
         df.write.mode("overwrite").parquet(f"{base}/{name}")
     e = F.lit("")

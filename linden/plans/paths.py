@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from linden.operators import corpus, paths
 from linden.operators import search as srch
 from linden.plans import sql as q
 from linden.plans.registry import register
+from linden.session import scratch_path
 from linden.sources.tables import table
 
 # --- fixed values: query parameters -------------------------------------------------
@@ -163,3 +166,26 @@ SELECT doc_id, CASE WHEN rank < {SPLIT_SIZES[0]} THEN 'statistic' WHEN rank < {S
 def seeded_split(spark, sf):
     d = table(spark, sf, "documents").select("doc_id")
     return corpus.seeded_split(d, "doc_id", *SPLIT_SIZES, seed=SPLIT_SEED)
+
+
+@register("split_features", f"""
+WITH lists AS (
+  SELECT doc_id, CASE WHEN rank < {SPLIT_SIZES[0]} THEN 'statistic' WHEN rank < {SPLIT_SIZES[0] + SPLIT_SIZES[1]} THEN 'training' ELSE 'testing' END AS split
+  FROM (SELECT doc_id, row_number() OVER (ORDER BY md5('{SPLIT_SEED}:' || CAST(doc_id AS VARCHAR)), doc_id) - 1 AS rank FROM documents)
+  WHERE rank < {sum(SPLIT_SIZES)}
+), feats AS (
+  SELECT doc_id, CAST(len(string_split(text, chr(10))) AS INTEGER) AS n_lines FROM documents
+  WHERE n_chars > {corpus.MIN_SIZE_EXCLUSIVE} AND n_chars < {corpus.MAX_SIZE_EXCLUSIVE}
+)
+SELECT l.split, l.doc_id, f.n_lines, f.doc_id IS NULL AS missing FROM lists l LEFT JOIN feats f ON f.doc_id = l.doc_id
+WHERE l.split = 'testing' OR f.doc_id IS NOT NULL
+""")
+def split_features(spark, sf):
+    """Features of the corpus scan, loaded by the written lists of the splits."""
+    docs = table(spark, sf, "documents")
+    path = scratch_path(spark, f"split-lists-{uuid.uuid4().hex[:12]}")
+    corpus.write_lists(corpus.seeded_split(docs.select("doc_id"), "doc_id", *SPLIT_SIZES, seed=SPLIT_SEED), "doc_id", path)
+    sized = docs.where((F.col("n_chars") > corpus.MIN_SIZE_EXCLUSIVE) & (F.col("n_chars") < corpus.MAX_SIZE_EXCLUSIVE))
+    feats = sized.select("doc_id", F.size(F.split("text", "\n", -1)).alias("n_lines"))
+    parts = [corpus.load_split(feats, path, "doc_id", s).select(F.lit(s).alias("split"), "doc_id", "n_lines", "missing") for s in ("statistic", "training", "testing")]
+    return parts[0].union(parts[1]).union(parts[2])

@@ -43,6 +43,17 @@ def kv_latest(spark, sf):
     return rec.latest_per_key(e, ["user_id"], "ts", "event_id", ["event_type", "value", "props", "event_id"])
 
 
+@register("kv_default", """
+SELECT c.c_custkey AS user_id, coalesce(l.props, '{}') AS props FROM customer c
+LEFT JOIN (SELECT user_id, arg_max(props, (ts, event_id)) AS props FROM events GROUP BY user_id) l ON l.user_id = c.c_custkey
+""")
+def kv_default(spark, sf):
+    """Every customer's latest settings, empty ones for who has none."""
+    latest = rec.latest_per_key(_events(spark, sf), ["user_id"], "ts", "event_id", ["props"])
+    keys = table(spark, sf, "customer").select(F.col("c_custkey").alias("user_id"))
+    return rec.with_default(keys, latest, ["user_id"], {"props": "{}"})
+
+
 @register("edit_latest", q.with_(q.EDIT_LOG) + """
 SELECT doc_id, line, arg_max(text, (ts, seq)) AS text FROM edit_log GROUP BY doc_id, line
 """)

@@ -8,7 +8,7 @@ from linden.functions import lexicon as lx
 from linden.operators import dictionary as dct
 from linden.operators import spelling as sp
 from linden.plans import sql as q
-from linden.plans.common import code_tokens, doc_tokens
+from linden.plans.common import code_tokens, doc_lines, doc_tokens
 from linden.plans.registry import register
 from linden.sources.tables import table
 
@@ -163,6 +163,31 @@ def spelling(spark, sf):
     return sp.spelling(code_tokens(spark, sf), _dict(spark, sf))
 
 
+# the last word of each line goes to its document's project dictionary behind that line
+PROJECT = """project AS (
+  SELECT doc_id, ws[-1] AS w, min(line) * 2 + 1 AS line FROM code_words WHERE len(ws) > 0 GROUP BY doc_id, ws[-1]
+)"""
+SPELL_PROJECT = SPELL.replace("""
+  WHERE length(t.s) >= 4""", """
+  LEFT JOIN project pr ON pr.doc_id = t.doc_id AND pr.w = t.s
+  WHERE (pr.line IS NULL OR pr.line > t.line) AND length(t.s) >= 4""").replace("OR coalesce(it.first_o < w.o, false)", """
+     OR coalesce(it.first_o < w.o, false) OR coalesce(pr.line <= w.line, false)""").replace("""
+  LEFT JOIN items it""", """
+  LEFT JOIN project pr ON pr.doc_id = w.doc_id AND pr.w = w.w
+  LEFT JOIN items it""")
+
+
+@register("spelling_project", q.with_(q.LINES, q.CODE_LINES, q.CODE_TOKENS, FLAGS, EVENTS, q.DICT, PROJECT, SPELL_PROJECT) + f"""
+SELECT doc_id, line, pos, sub, s AS token, {HIGHLIGHT} AS highlighted
+FROM per_token WHERE list_bool_or(list_transform(wl, lambda x: NOT x.ok))
+""")
+def spelling_project(spark, sf):
+    words = F.regexp_extract_all(F.lower("text"), F.lit(lx.WORD_PATTERN), 0)
+    added = doc_lines(spark, sf).select("doc_id", (F.col("line") * 2 + 1).alias("line"), words.alias("ws")).where(F.size("ws") > 0) \
+        .select("doc_id", F.element_at("ws", -1).alias("w"), "line")
+    return sp.spelling(code_tokens(spark, sf), _dict(spark, sf), project=added)
+
+
 @register("first_unknown", q.with_(q.LINES, q.TOKENS, q.DICT) + """
 SELECT doc_id, w, line, pos FROM (
   SELECT doc_id, lower(t) AS w, line, pos, row_number() OVER (PARTITION BY doc_id, lower(t) ORDER BY line, pos) AS r

@@ -51,9 +51,12 @@ NGRAMS = """ngr AS (
   FROM stat WINDOW w AS (PARTITION BY doc_id ORDER BY line, pos)
 )"""
 
-CODE_LINES = f"""code_lines AS (
-  SELECT doc_id, line,
-    CASE line % 8
+CODE_LINES = f"""code_words AS (
+  SELECT doc_id, line, line % 8 AS m, regexp_extract_all(lower(text), {WORD_RE}) AS ws FROM lines
+),
+code_lines AS (
+  SELECT doc_id, line * 2 AS line,
+    CASE m
       WHEN 0 THEN concat('class ', upper(substr(w1, 1, 1)), substr(w1, 2), ':')
       WHEN 1 THEN concat('    def ', w1, '(self, ', w2, '=1):')
       WHEN 2 THEN concat('        ', w1, '_', w2, ' = ', w3, '.', w4, '(', w2, ')')
@@ -64,10 +67,15 @@ CODE_LINES = f"""code_lines AS (
       ELSE concat('    ', w1, '1 = ', w2, '[0].', w3)
     END AS text
   FROM (
-    SELECT doc_id, line,
-      coalesce(ws[1], 'x') AS w1, coalesce(ws[2], 'x') AS w2,
-      coalesce(ws[3], 'x') AS w3, coalesce(ws[4], 'x') AS w4
-    FROM (SELECT doc_id, line, regexp_extract_all(lower(text), {WORD_RE}) AS ws FROM lines)
+    SELECT doc_id, line, m, coalesce(ws[1], 'x') AS w1, coalesce(ws[2], 'x') AS w2,
+      coalesce(ws[3], 'x') AS w3, coalesce(ws[4], 'x') AS w4 FROM code_words
+  )
+  UNION ALL
+  SELECT doc_id, line * 2 + 1,
+    CASE WHEN len(ws) > n THEN repeat(' ', pad) || '# ' || array_to_string(ws[n + 1:], ' ') ELSE '' END
+  FROM (
+    SELECT doc_id, line, ws, CASE m WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 4 WHEN 4 THEN 0 WHEN 6 THEN 2 ELSE 3 END AS n,
+      CASE m WHEN 1 THEN 4 WHEN 2 THEN 8 WHEN 3 THEN 8 WHEN 4 THEN 8 WHEN 7 THEN 4 ELSE 0 END AS pad FROM code_words
   )
 )"""
 

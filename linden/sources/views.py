@@ -2,7 +2,7 @@
 
 ``lines``       (doc_id, line, text)            one row per line, 0-based
 ``tokens``      (doc_id, line, pos, kind, t)    one row per token of a line
-``code_lines``  (doc_id, line, text)            deterministic code-shaped lines
+``code_lines``  (doc_id, line, text)            code-shaped lines, two to a line
 ``edit_log``    (doc_id, line, text, ts, seq)   edits replayed from ``events``
 ``manifest_old`` / ``manifest_new`` (path, hash)
 
@@ -58,9 +58,16 @@ def _word(ws: Column, i: int) -> Column:
     return F.coalesce(F.get(ws, i), F.lit("x"))
 
 
+# --- fixed values: words that the code line of ``line % 8`` uses, its indentation ------
+CODE_WORDS = (1, 2, 4, 3, 0, 3, 2, 3)
+CODE_INDENT = (0, 4, 8, 8, 8, 0, 0, 4)
+
+
 def code_lines(lines_df: DataFrame) -> DataFrame:
-    """Replace each line by a code-shaped line chosen by ``line % 8``,
-    built from the first four lower-cased words of the original line."""
+    """Two code-shaped lines for each line, with all its lower-cased words:
+    at ``2 * line`` a code line chosen by ``line % 8`` from the first words
+    (up to four), at ``2 * line + 1`` the other words as a comment, or an empty
+    line if there are none."""
     ws = F.regexp_extract_all(F.lower(F.col("text")), F.lit(lx.WORD_PATTERN), 0)
     df = lines_df.select("doc_id", "line", ws.alias("_ws"))
     w1, w2, w3, w4 = (_word(F.col("_ws"), i) for i in range(4))
@@ -75,7 +82,12 @@ def code_lines(lines_df: DataFrame) -> DataFrame:
         .when(m == 6, F.concat(F.lit("for "), w1, F.lit(" in "), w2, F.lit("s:")))
         .otherwise(F.concat(F.lit("    "), w1, F.lit("1 = "), w2, F.lit("[0]."), w3))
     )
-    return df.select("doc_id", "line", text.alias("text"))
+    of = lambda values: F.element_at(F.array(*map(F.lit, values)), m + 1)
+    used = of(CODE_WORDS)
+    rest = F.slice("_ws", used + 1, F.greatest(F.size("_ws") - used, F.lit(0)))
+    comment = F.when(F.size("_ws") > used, F.concat(F.repeat(F.lit(" "), of(CODE_INDENT)), F.lit("# "), F.array_join(rest, " "))).otherwise("")
+    both = F.array(F.struct((F.col("line") * 2).alias("line"), text.alias("text")), F.struct((F.col("line") * 2 + 1).alias("line"), comment.alias("text")))
+    return df.select("doc_id", F.explode(both).alias("_l")).select("doc_id", "_l.line", "_l.text")
 
 
 def edit_log(events: DataFrame) -> DataFrame:

@@ -71,3 +71,31 @@ def test_feature_selection_goes_on_until_nothing_changes(spark):
 
     train, valid = table_of(lambda g, f: g % 6 == f), table_of(lambda g, f: False)
     assert len(lr.select_features(train, valid, names, num_trees=10)) == 1
+
+
+def test_split_lists_are_disjoint_used_and_replaced_one_by_one(spark, tmp_path):
+    from linden.operators import corpus
+    path = f"{tmp_path}/lists"
+    docs = spark.range(40).withColumnRenamed("id", "doc_id")
+    corpus.write_lists(corpus.seeded_split(docs, "doc_id", 10, 10, 10), "doc_id", path)
+    feats = docs.where("doc_id % 3 > 0").selectExpr("doc_id", "doc_id * 2 AS x")
+    listed = {s: {r.doc_id for r in spark.read.parquet(path).where(F.col("split") == s).collect()} for s in ("statistic", "training", "testing")}
+    assert [len(v) for v in listed.values()] == [10, 10, 10] and len(set().union(*listed.values())) == 30
+    got = {s: {r.doc_id: (r.x, r.missing) for r in corpus.load_split(feats, path, "doc_id", s).collect()} for s in listed}
+    for s in ("statistic", "training"):
+        assert got[s] == {d: (2 * d, False) for d in listed[s] if d % 3}
+    assert got["testing"] == {d: (2 * d, False) if d % 3 else (None, True) for d in listed["testing"]}
+    corpus.write_lists(spark.createDataFrame([(39, "testing")], "doc_id long, split string"), "doc_id", path)
+    again = {(r.split, r.doc_id) for r in spark.read.parquet(path).collect()}
+    assert again == {(s, d) for s in ("statistic", "training") for d in listed[s]} | {("testing", 39)}
+
+
+def test_held_out_documents_do_not_count(spark):
+    from linden.operators import learning as lr
+    from linden.operators import ngrams
+    docs = lr.split_by_doc(spark.range(60).withColumnRenamed("id", "doc_id")).collect()
+    assert {r.split for r in docs} == {"train", "test"}
+    lines = spark.createDataFrame([(r.doc_id, k, f"common {r.split}word common") for r in docs for k in range(30)], "doc_id long, line int, text string")
+    counted = ngrams.pruned_statistics(lr.split_by_doc(lines).where("split = 'train'").drop("split"))
+    tokens = {r.t0 for r in counted["token"].collect()}
+    assert "trainword" in tokens and "testword" not in tokens

@@ -51,3 +51,20 @@ def test_segmentation_matches_brute_force(spark):
     got = {r.part: r.words for r in rt.segment_parts(p, v).collect()}
     assert got == {x: _viterbi(x, vocab, total) for x in parts}
     assert got["adog"] == ["a", "dog"]
+
+
+def test_project_dictionary_counts_from_its_line(spark):
+    from linden.operators import spelling as sp
+    from linden.sources import views
+    text = ["# flurble glonk", "flurble_glonk = 1", "# wibbly", "zorbo_thing = 2", "# zorbo again"]
+    tokens = views.tokens(spark.createDataFrame([(d, i, t) for d in (1, 2) for i, t in enumerate(text)], "doc_id long, line int, text string"))
+    words = spark.createDataFrame([("again",), ("thing",)], "w string")
+    added = spark.createDataFrame([(1, "flurble", 0), (1, "glonk", 1), (1, "wibbly", 3), (1, "zorbo", 3)], "doc_id long, w string, line int")
+
+    def found(project):
+        return {(r.doc_id, r.line, r.token) for r in sp.spelling(tokens, words, project=project).collect()}
+
+    none = found(None)
+    assert {(1, 0, "flurble"), (1, 0, "glonk"), (1, 2, "wibbly"), (1, 3, "zorbo_thing")} <= none
+    # flurble is known from its line on, glonk a line too late, wibbly too, zorbo in time
+    assert found(added) == {x for x in none if x[0] == 2} | {(1, 0, "glonk"), (1, 2, "wibbly")}
