@@ -18,8 +18,10 @@ all members of a bucket:
    two members share no shingle beside the core, they share no more than the
    smaller of what each has of it.  So the pairs left to compare are those for
    which that number is enough, and those that meet in a shingle outside the
-   core.  No other pair can be a link, so none is missed; most of a family's
-   pairs are never made.
+   core.  A member must share at least what the core leaves open, so with the
+   rarest shingles first all but its last ones are enough to meet a partner.
+   No other pair can be a link, so none is missed; most of a family's pairs
+   are never made.
 
 Before full sets travel, sizes and a sketch of four bits per minhash rule out
 pairs that merely share a passage (see ``most_differing``).  Links are decided
@@ -39,7 +41,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linden.llm.common import written
@@ -260,7 +262,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, side: in
     shingle = written(elements(family.select("centre", "node"), sets), "family-shingles")
     sizes = family.groupBy("centre").agg(F.count("*").alias("members"))
     counts = shingle.groupBy("centre", "shingle").agg(F.count("*").alias("having")).where("having > 1").join(sizes, "centre") \
-        .select("centre", "shingle", (F.col("having") * 2 > F.col("members")).alias("core"))
+        .select("centre", "shingle", "having", (F.col("having") * 2 > F.col("members")).alias("core"))
     shingle = written(shingle.join(counts, ["centre", "shingle"]), "shared-shingles")
     shared = shingle.where("core").groupBy("centre", "node").agg(F.count("*").alias("shared"))
     family = written(family.join(shared, ["centre", "node"], "left").fillna(0, ["shared"]), "families")
@@ -270,10 +272,17 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, side: in
     bound = F.least("x_shared", "y_shared")
     fit = x.join(y, "centre").where("x_node > y_node and x_root <> y_root").where(
         bound * 100 >= (F.col("x.n_shingles") + F.col("y.n_shingles") - bound) * percent)
-    rare = shingle.where("not core").select("centre", "shingle", "node")
-    mixed = rare.join(family.select("centre", "node", "root"), ["centre", "node"]).groupBy("centre", "shingle") \
+    # of the shingles beside the core a partner must share what the core leaves open; with the rarest ones first,
+    # two such sets meet within all but that many (less one) of their shingles
+    most_open = F.floor((F.col("own.n_shingles") * percent + 99) / 100) - F.col("shared")
+    rare = shingle.where("not core").join(family.select("centre", "node", "root", F.greatest(most_open, F.lit(1)).alias("needed")), ["centre", "node"])
+    own = Window.partitionBy("centre", "node")
+    rare = rare.withColumns({"nth": F.row_number().over(own.orderBy("having", "shingle")), "of": F.count("*").over(own)}) \
+        .where("nth <= of - needed + 1").select("centre", "shingle", "node", "root")
+    rare = written(rare, "rare-shingles")
+    mixed = rare.groupBy("centre", "shingle") \
         .agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("centre", "shingle")
-    rare = written(rare.join(mixed, ["centre", "shingle"]), "mixed-shingles")
+    rare = written(rare.drop("root").join(mixed, ["centre", "shingle"]), "mixed-shingles")
     meet = rare.withColumnRenamed("node", "x_node").join(x, ["centre", "x_node"]).join(
         rare.withColumnRenamed("node", "y_node").join(y, ["centre", "y_node"]), ["centre", "shingle"]).where("x_node > y_node and x_root <> y_root")
     found = pairs(fit, "x", "y").union(pairs(meet, "x", "y")).distinct()
