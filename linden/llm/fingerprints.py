@@ -105,6 +105,26 @@ BLOCK = 32
 WIDE = 1024
 
 
+def followers(blocks: DataFrame) -> DataFrame:
+    """(from_block, to_block): of each number in ``blocks`` (distinct longs) the
+    next lower one, of the lowest the highest.  Numbers look within ``WIDE``
+    neighbours; the lowest of such a group takes the highest of the next group,
+    which is the same question for the groups' own numbers.  One task orders no
+    more than ``WIDE`` rows, however the numbers are spread."""
+    groups = blocks.withColumn("wide", F.floor(F.col("block") / WIDE))
+    tops = written(groups.groupBy("wide").agg(F.max("block").alias("top")), "block-groups")
+    if tops.count() <= WIDE:
+        order = Window.orderBy(F.desc("wide"))
+        every = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        upper = tops.select(F.col("wide").alias("from_block"), F.coalesce(F.lead("wide").over(order), F.first("wide").over(every)).alias("to_block"))
+    else:
+        upper = followers(tops.select(F.col("wide").alias("block")))
+    upper = upper.join(tops, F.col("to_block") == F.col("wide")).select(F.col("from_block").alias("own_wide"), F.col("top").alias("next_top"))
+    inner = Window.partitionBy("wide").orderBy(F.desc("block"))
+    return groups.withColumn("after", F.lead("block").over(inner)).join(upper, F.col("wide") == F.col("own_wide")) \
+        .select(F.col("block").alias("from_block"), F.coalesce("after", "next_top").alias("to_block"))
+
+
 def with_next(docs: DataFrame) -> DataFrame:
     """(doc_id, n_chars, text, text_hash, next_id, next_hash, next_text): each
     document with the one that follows in descending doc_id order (then by
@@ -112,7 +132,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     tells rows that repeat a doc_id apart, next_hash is the following row's;
     next_text holds no more than the edit takes.  Windows span blocks of
     neighbouring ids; only the last document of a block looks further, through
-    windows over block ends, so no task orders the table."""
+    the blocks' numbers (``followers``), so no task orders the table."""
     rows = docs.select(F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
     block = F.coalesce(F.floor(F.col("doc_id") / BLOCK), F.lit(-(1 << 62)))  # null ids: the last block
     rows = rows.withColumn("block", block)
@@ -120,17 +140,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     half = F.floor(F.length("text") / 2).cast("int")
     heads = rows.withColumn("leads", F.row_number().over(own)).where("leads = 1") \
         .select(F.col("block").alias("head_block"), F.col("doc_id").alias("head_id"), F.col("text").alias("head_text"), F.col("text_hash").alias("head_hash"))
-    # block -> the block after it, by blocks of blocks, then over the few ends of those
-    ids = docs.select(block.alias("block")).distinct().withColumn("wide", F.floor(F.col("block") / WIDE))
-    inner = Window.partitionBy("wide").orderBy(F.desc("block"))
-    ids = ids.withColumns({"after": F.lead("block").over(inner), "found": F.lead(F.lit(True)).over(inner)})
-    tops = ids.groupBy("wide").agg(F.max("block").alias("top"))
-    outer = Window.orderBy(F.desc("wide"))
-    every = outer.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    tops = tops.select(F.col("wide").alias("own_wide"),
-                       F.when(F.lead(F.lit(True)).over(outer), F.lead("top").over(outer)).otherwise(F.first("top").over(every)).alias("next_top"))
-    ids = ids.join(tops, F.col("wide") == F.col("own_wide")) \
-        .select(F.col("block").alias("from_block"), F.when(F.col("found"), F.col("after")).otherwise(F.col("next_top")).alias("to_block"))
+    ids = followers(docs.select(block.alias("block")).distinct())
     heads = heads.join(ids, F.col("to_block") == F.col("head_block")).select("from_block", "head_id", "head_text", "head_hash")
     rows = rows.withColumns({"n_chars": F.length("text").cast("long"), "own_next": F.lead("doc_id").over(own), "follows": F.lead(F.lit(True)).over(own),
                              "own_text": F.lead("text").over(own), "own_hash": F.lead("text_hash").over(own)})

@@ -116,6 +116,15 @@ def test_next_document_across_blocks_gaps_and_wide_blocks(spark):
     assert next_ids(spark, rows) == sorted(want, key=str)
 
 
+def test_followers_of_sparse_numbers(spark, monkeypatch):
+    monkeypatch.setattr(fp, "WIDE", 8)
+    rng = random.Random(9)
+    ids = sorted({rng.randrange(-(1 << 40), 1 << 40) for _ in range(300)} | set(range(20)) | {-(1 << 62)}, reverse=True)
+    df = spark.createDataFrame([(i,) for i in ids], "block long")
+    got = {r.from_block: r.to_block for r in fp.followers(df).collect()}
+    assert got == dict(zip(ids, ids[1:] + ids[:1], strict=True))
+
+
 def test_nulls_repeats_one_row_and_empty(spark):
     assert next_ids(spark, [(5, "abcd")]) == [(5, "abcd", 5, "ab")]
     got = next_ids(spark, [(None, "xyzw"), (1, None), (2, "bb"), (2, "aa")])
