@@ -103,12 +103,49 @@ def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=80)
 
 
+ORACLE["op7_near_duplicates"] = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE [w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] FOR i IN range(1, len(w) - 2)] END) AS s FROM words
+), sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+both_have AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id
+), links AS MATERIALIZED (
+  SELECT a, b FROM both_have p JOIN sizes x ON x.doc_id = p.a JOIN sizes y ON y.doc_id = p.b WHERE 100 * p.n >= 80 * (x.n + y.n - p.n)
+), reach(a, b) AS (
+  SELECT doc_id, doc_id FROM words UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b
+), roots AS (SELECT a, min(b) AS root FROM reach GROUP BY a)
+SELECT w.doc_id, coalesce(sizes.n, 0) AS n_shingles, roots.root AS component_id, w.doc_id = roots.root AS kept
+FROM words w JOIN roots ON roots.a = w.doc_id LEFT JOIN sizes ON sizes.doc_id = w.doc_id
+"""
+
+
 @query
 def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and groups of the vectors of a label at a cosine of 0.93."""
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"), 0.93)
 
 
+ORACLE["op8_embedding_dedup"] = r"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, [CAST(x AS DOUBLE) FOR x IN embedding] AS e FROM embeddings
+), good AS (
+  SELECT vec_id, label, e, sqrt(list_dot_product(e, e)) AS norm FROM v
+  WHERE e IS NOT NULL AND label IS NOT NULL AND len([x FOR x IN e IF x IS NULL OR NOT isfinite(x)]) = 0 AND list_dot_product(e, e) > 0
+), pairs AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.93
+), reach(a, b) AS (
+  SELECT vec_id, vec_id FROM v UNION SELECT r.a, p.b FROM reach r JOIN pairs p ON p.a = r.b
+), roots AS (SELECT a, min(b) AS root FROM reach GROUP BY a),
+links AS (SELECT a, count(*) AS n FROM pairs GROUP BY a)
+SELECT v.vec_id, coalesce(links.n, 0) AS n_links, roots.root AS component_id, v.vec_id = roots.root AS kept
+FROM v JOIN roots ON roots.a = v.vec_id LEFT JOIN links ON links.a = v.vec_id
+"""
+
+
 @query
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into windows of 4096 ids, a row for each piece."""
