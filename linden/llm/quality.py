@@ -206,7 +206,7 @@ def classify(docs: DataFrame, model: Discriminant, threshold: float = 0.3) -> Da
     one pass through Python."""
     import pyarrow as pa
 
-    docs = docs.select(*[c for c in docs.columns if c not in ("score", "predicted")])
+    docs = docs.select(*[c for c in docs.columns if c not in ("stats", "score", "predicted")])
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
