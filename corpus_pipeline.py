@@ -15,6 +15,8 @@ that n_chars follows the text where passages are cut.
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +29,15 @@ PASSAGE_BYTES = 240  # about fifty short words
 CLASS_WORDS, CLASS_PERCENT = 5, 80
 
 
+def begin(spark: SparkSession) -> None:
+    """At the start of a stage: bounded Arrow batches, and a collection of
+    garbage on the driver, upon which Spark removes the shuffle files of plans
+    that nothing refers to any more, those of earlier stages among them."""
+    bounded_batches(spark)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def framed(docs: DataFrame) -> DataFrame:
     """(doc_id, text, rest): other columns in one, so that none can clash."""
     rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
@@ -42,7 +53,7 @@ def unframed(rows: DataFrame, columns: list[str], **new: Column) -> DataFrame:
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on the labelled ones among them,
     does not reject."""
-    bounded_batches(spark)
+    begin(spark)
     # statistics are computed again for the scores: writing them beside the texts would take another copy of those
     stats = written(quality.vectors(docs.select("doc_id", "text"), drop_text=True), "pipeline-stats")
     model = quality.fit(quality.examples_of(stats, table(spark, sf_dir, "labels")))
@@ -52,7 +63,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that is alike in five-word shingles; of rows
     with equal doc_id and text one stays."""
-    bounded_batches(spark)
+    begin(spark)
     groups = minhash.near_duplicates(docs.select("doc_id", "text"), CLASS_WORDS, CLASS_PERCENT)
     kept = groups.where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
     rows = framed(docs).join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")))
@@ -62,7 +73,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages that occur elsewhere too.  A passage may
     begin or end inside a character; its rest goes with it."""
-    bounded_batches(spark)
+    begin(spark)
     rows = repeats.remove_repeats(framed(docs), PASSAGE_BYTES, as_text=True)
     text = F.when(F.size("spans") == 0, F.col("text")).otherwise(F.col("kept"))
     return unframed(rows, docs.columns, text=text, n_chars=F.length(text).cast("long"))
@@ -70,7 +81,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of at most 4096 ids, in doc_id order."""
-    bounded_batches(spark)
+    begin(spark)
     return packing.pack(docs.select("doc_id", "text"), tokenizer_path("word_bpe_49k.json"))
 
 
