@@ -4,12 +4,16 @@ The statistics stream is the document's tokens of kind STRING/OP/NAME and at
 most 30 characters; skipped tokens do not advance the window, and there is no
 marker at line breaks.  ``''`` stands for "before the first token".
 
-Plan shape: tokens stay in per-line arrays (no token-level shuffle); the two
+The operators take lines (doc_id, line, text) or whole documents (doc_id,
+text).  Plan shape over documents: the stream is an array of the document and
+its n-grams are shifted slices of it, so nothing is shuffled before the counts;
+documents with a repeated id or a very long text go line by line.  Over lines,
+tokens stay in per-line arrays (no token-level shuffle); the two
 tokens carried into a line from earlier lines come from a two-row window
 inside blocks of lines plus a per-block summary, so no task holds a whole
-document.  Trigram counts
-are the only big aggregation (partial aggregation happens before the shuffle);
-bigram and unigram counts roll up from the trigram table, because every token
+document.  The counts of one kind are one aggregation (partial aggregation
+happens before the shuffle); where all three are wanted, bigram and unigram
+counts roll up from the written trigram table, because every token
 occurrence yields exactly one trigram, one bigram and one unigram.
 """
 
@@ -20,7 +24,7 @@ from pyspark.sql import functions as F
 
 from linden.functions import lexicon as lx
 from linden.operators.sequence import shift_lines
-from linden.sources.views import line_tokens
+from linden.sources.views import line_tokens, lines, whole_documents
 
 
 def _keep_for_stats(t: Column) -> Column:
@@ -70,11 +74,30 @@ def with_carry(arrays: DataFrame, block: int = 2048) -> DataFrame:
     return d.select("doc_id", "line", "ft", F.get(before, n - 1).alias("c1"), F.get(before, n - 2).alias("c2"))
 
 
+def _of_documents(documents: DataFrame, whole, by_line) -> DataFrame:
+    """``whole`` of the documents that fit an array and ``by_line`` of the lines of the others."""
+    arrays, rest = whole_documents(documents)
+    return whole(arrays) if rest is None else whole(arrays).unionByName(by_line(lines(rest)))
+
+
+def _document_ngrams(documents: DataFrame) -> DataFrame:
+    toks = F.flatten(F.transform(F.split("text", "\n", -1), lambda s, i: F.filter(
+        F.transform(line_tokens(s), lambda x, k: F.struct(i.alias("line"), k.alias("pos"), x.alias("t"))),
+        lambda x: _keep_for_stats(x["t"]))))
+    d = documents.select("doc_id", toks.alias("ft")).select("doc_id", "ft", F.transform("ft", lambda x: x["t"]).alias("t0"))
+    n, start = F.size("t0"), F.array(F.lit(""), F.lit(""))
+    d = d.select("doc_id", "ft", F.slice(F.concat(start, "t0"), 1, n).alias("t2"), F.slice(F.concat(start, "t0"), 2, n).alias("t1"))
+    return d.select("doc_id", F.explode(F.arrays_zip("ft", "t2", "t1")).alias("g")).select(
+        "doc_id", "g.ft.line", "g.ft.pos", "g.t2", "g.t1", F.col("g.ft.t").alias("t0"))
+
+
 def ngram_rows(lines_df: DataFrame, block: int = 2048) -> DataFrame:
     """(doc_id, line, pos, t2, t1, t0): one row per statistic token.
 
     The context arrays are shifted slices zipped together, so the work per
     line is linear in its token count."""
+    if "line" not in lines_df.columns:
+        return _of_documents(lines_df, _document_ngrams, lambda rest: ngram_rows(rest, block))
     d = with_carry(stat_token_arrays(lines_df), block)
     d = d.select(
         "doc_id", "line",
@@ -102,13 +125,16 @@ def trigram_counts(lines_df: DataFrame) -> DataFrame:
 
 
 def bigram_counts(lines_df: DataFrame, trigrams: DataFrame | None = None) -> DataFrame:
-    tri = trigrams if trigrams is not None else trigram_counts(lines_df)
-    return tri.groupBy("t1", "t0").agg(F.sum("n").alias("n"))
+    if trigrams is None:
+        return ngram_rows(lines_df).groupBy("t1", "t0").agg(F.count(F.lit(1)).alias("n"))
+    return trigrams.groupBy("t1", "t0").agg(F.sum("n").alias("n"))
 
 
 def token_counts(lines_df: DataFrame, trigrams: DataFrame | None = None) -> DataFrame:
-    tri = trigrams if trigrams is not None else trigram_counts(lines_df)
-    return tri.groupBy("t0").agg(F.sum("n").alias("n"))
+    if trigrams is None:  # a token's count needs no context: narrow up to the one aggregation
+        t = F.explode(F.filter(line_tokens(F.col("text")), _keep_for_stats))
+        return lines_df.select(F.explode(F.split("text", "\n", -1)).alias("text")).select(t.alias("t0")).groupBy("t0").agg(F.count(F.lit(1)).alias("n"))
+    return trigrams.groupBy("t0").agg(F.sum("n").alias("n"))
 
 
 def unigram_counts(tokens: DataFrame) -> DataFrame:
@@ -155,9 +181,33 @@ def token_context(lines_df: DataFrame) -> DataFrame:
     """(doc_id, line, pos, t0, t1, t2, t3) for every token, where the stream
     seen by a line is [second-last and last token of the previous line, '',
     tokens of the line].  "Previous line" is exactly ``line - 1`` (an empty
-    previous line contributes ''), so it is an equi-join, not a scan."""
+    previous line contributes ''), so it is an equi-join, not a scan; within a
+    whole document it is the array's element before, without a join."""
+    if "line" not in lines_df.columns:
+        return _of_documents(lines_df, lambda docs: _context_rows(_line_arrays(docs).select(
+            "doc_id", F.posexplode("_lines").alias("line", "_l")).select("doc_id", "line", "_l.t0", "_l.prev_t0")), token_context)
     d = lines_df.select("doc_id", "line", line_tokens(F.col("text")).alias("t0"))
-    d = shift_lines(d, ["t0"])
+    return _context_rows(shift_lines(d, ["t0"]))
+
+
+def _line_arrays(documents: DataFrame) -> DataFrame:
+    """(doc_id, _lines): the tokens of each line of a document and of the line before."""
+    d = documents.select("doc_id", F.transform(F.split("text", "\n", -1), line_tokens).alias("t0"))
+    before = F.slice(F.concat(F.array(F.array().cast("array<string>")), "t0"), 1, F.size("t0"))
+    return d.select("doc_id", "t0", before.alias("prev_t0")).select("doc_id", F.arrays_zip("t0", "prev_t0").alias("_lines"))
+
+
+def context_arrays(documents: DataFrame) -> DataFrame:
+    """(doc_id, ctx ARRAY<STRUCT<line, pos, t0, t1, t2, t3>>): ``token_context`` of whole documents."""
+    last = lambda prev, k: F.coalesce(F.get(prev, F.size(prev) - k), F.lit(""))
+    d = _line_arrays(documents).select("doc_id", F.transform("_lines", lambda x: F.struct(x["t0"].alias("t0"), F.concat(
+        F.array(last(x["prev_t0"], 2), last(x["prev_t0"], 1), F.lit("")), x["t0"]).alias("c"))).alias("_c"))
+    return d.select("doc_id", F.flatten(F.transform("_c", lambda x, i: F.transform(x["t0"], lambda t, k: F.struct(
+        i.alias("line"), k.alias("pos"), t.alias("t0"), F.get(x["c"], k + 2).alias("t1"), F.get(x["c"], k + 1).alias("t2"),
+        F.get(x["c"], k).alias("t3"))))).alias("ctx"))
+
+
+def _context_rows(d: DataFrame) -> DataFrame:
     prev = F.coalesce(F.col("prev_t0"), F.array().cast("array<string>"))
     pn = F.size(prev)
     head = F.array(

@@ -10,7 +10,7 @@ from linden.operators import learning as lr
 from linden.operators import ngrams
 from linden.plans import features as fplans
 from linden.plans import stats as splans
-from linden.plans.common import doc_lines
+from linden.plans.common import documents
 from linden.plans.registry import register
 from linden.session import materialize, scratch_path
 from linden.sources.tables import table
@@ -101,7 +101,7 @@ def feature_store(spark, sf):
 
 @register("stats_roundtrip", splans.PRUNE_SQL)
 def stats_roundtrip(spark, sf):
-    p = ngrams.pruned_statistics(doc_lines(spark, sf), materialize=True)
+    p = ngrams.pruned_statistics(documents(spark, sf), materialize=True)
     base = scratch_path(spark, f"statistics-{uuid.uuid4().hex[:12]}")
     for name, df in p.items():
         df.write.mode("overwrite").parquet(f"{base}/{name}")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from linden.functions import lexicon as lx
 from linden.operators import ngrams
 from linden.plans import sql as q
-from linden.plans.common import doc_lines, doc_tokens
+from linden.plans.common import doc_lines, doc_tokens, documents
 from linden.plans.registry import register
 from linden.sources.tables import table
 
@@ -41,28 +41,28 @@ def tokenize(spark, sf):
 SELECT doc_id, line, pos, t2, t1, t0 FROM ngr
 """)
 def token_filter(spark, sf):
-    return ngrams.ngram_rows(doc_lines(spark, sf))
+    return ngrams.ngram_rows(documents(spark, sf))
 
 
 @register("token_counts", q.with_(q.LINES, q.TOKENS, q.STAT, q.NGRAMS) + """
 SELECT t0, count(*) AS n FROM ngr GROUP BY t0
 """)
 def token_counts(spark, sf):
-    return ngrams.token_counts(doc_lines(spark, sf))
+    return ngrams.token_counts(documents(spark, sf))
 
 
 @register("bigram_counts", q.with_(q.LINES, q.TOKENS, q.STAT, q.NGRAMS) + """
 SELECT t1, t0, count(*) AS n FROM ngr GROUP BY t1, t0
 """)
 def bigram_counts(spark, sf):
-    return ngrams.bigram_counts(doc_lines(spark, sf))
+    return ngrams.bigram_counts(documents(spark, sf))
 
 
 @register("trigram_counts", q.with_(q.LINES, q.TOKENS, q.STAT, q.NGRAMS) + """
 SELECT t2, t1, t0, count(*) AS n FROM ngr GROUP BY t2, t1, t0
 """)
 def trigram_counts(spark, sf):
-    return ngrams.trigram_counts(doc_lines(spark, sf))
+    return ngrams.trigram_counts(documents(spark, sf))
 
 
 _PRUNE_SQL = q.with_(q.LINES, q.TOKENS, q.STAT, q.NGRAMS, """tri AS (
@@ -82,7 +82,7 @@ SELECT 'token' AS gram, '' AS t2, '' AS t1, t0, n FROM uni WHERE n > (SELECT max
 
 @register("prune_counts", PRUNE_SQL)
 def prune_counts(spark, sf):
-    p = ngrams.pruned_statistics(doc_lines(spark, sf), materialize=True)
+    p = ngrams.pruned_statistics(documents(spark, sf), materialize=True)
     e = F.lit("")
     return (
         p["trigram"].select(F.lit("trigram").alias("gram"), "t2", "t1", "t0", "n")
@@ -95,4 +95,4 @@ def prune_counts(spark, sf):
 SELECT doc_id, line, pos, t0, t1, t2, t3 FROM tctx
 """)
 def token_context(spark, sf):
-    return ngrams.token_context(doc_lines(spark, sf))
+    return ngrams.token_context(documents(spark, sf))
