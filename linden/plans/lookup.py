@@ -5,7 +5,7 @@ from __future__ import annotations
 from linden.operators import dictionary as dct
 from linden.operators import lookup, ngrams
 from linden.plans import sql as q
-from linden.plans.common import doc_lines, doc_tokens
+from linden.plans.common import doc_tokens, documents
 from linden.plans.registry import register
 from linden.sources.tables import table
 
@@ -114,7 +114,7 @@ SELECT doc_id, line, pos,
 FROM tctx
 """)
 def nearest_ngram(spark, sf):
-    return lookup.nearest_ngram(ngrams.token_context(doc_lines(spark, sf)))
+    return lookup.nearest_ngram(documents(spark, sf))
 
 
 @register("ngram_lookup", q.with_(q.LINES, q.TOKENS, q.STAT, q.NGRAMS, q.PRUNED, q.TOKEN_CONTEXT) + """
@@ -128,5 +128,5 @@ LEFT JOIN pbi b ON b.t1 = c.t1 AND b.t0 = c.t0
 LEFT JOIN ptri r ON r.t2 = c.t2 AND r.t1 = c.t1 AND r.t0 = c.t0
 """)
 def ngram_lookup(spark, sf):
-    lines = doc_lines(spark, sf)
-    return lookup.ngram_lookup(ngrams.token_context(lines), ngrams.pruned_statistics(lines, materialize=True))
+    docs = documents(spark, sf)
+    return lookup.ngram_lookup(ngrams.token_context(docs), ngrams.pruned_statistics(docs, materialize=True))
