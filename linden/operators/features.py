@@ -20,6 +20,8 @@ from linden.functions import similarity as sim
 from linden.operators import code
 from linden.operators.sequence import carry_last, shift_lines
 from linden.operators.search import find_matches
+from linden.session import materialize
+from linden.sources.views import token_kind
 
 GROUP = ["doc_id", "line", "pos"]
 
@@ -214,21 +216,33 @@ def name_classes(lines: DataFrame, tokens: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------------------------------
 # look-backs for candidates
 
-def previous_lines(lines: DataFrame, k: int = lx.MAX_SCAN_LINES - 1, block: int = 1024) -> DataFrame:
-    """(doc_id, line, prev ARRAY<STRING>): texts of lines line-1 .. line-k
-    (nearest first, line 0 excluded).  Lines are windowed inside blocks of
-    ``block`` lines; the last k lines of each block are copied into the next
-    block as a halo, so every window is bounded and exact."""
-    blk = F.floor(F.col("line") / block)
-    own = lines.select("doc_id", "line", "text", blk.alias("_b"), F.lit(False).alias("_halo"))
-    halo = lines.where(F.col("line") % block >= block - k).select(
-        "doc_id", "line", "text", (blk + 1).alias("_b"), F.lit(True).alias("_halo"))
-    u = own.unionByName(halo)
-    w = Window.partitionBy("doc_id", "_b").orderBy("line").rowsBetween(-k, -1)
-    prev = F.collect_list(F.when(F.col("line") >= 1, F.col("text"))).over(w)
-    d = u.withColumn("_prev", prev).where(~F.col("_halo"))
-    # collect_list keeps order oldest -> newest; skip null (line 0) entries.
-    return d.select("doc_id", "line", F.reverse("_prev").alias("prev"))
+def line_blocks(lines: DataFrame, k: int = lx.MAX_SCAN_LINES - 1, block: int = 64) -> DataFrame:
+    """(doc_id, _b, lines ARRAY<STRUCT<line, text>>): the lines of each block of
+    ``block`` lines in order, led by the last k lines of the block before, so
+    every line has the k lines above it in its own block's array.  Each text is
+    moved 1 + k / block times, whatever asks for it."""
+    near = F.array(F.col("line"), F.col("line") + k)
+    b = F.explode(F.array_distinct(F.transform(near, lambda x: F.floor(x / block)))).alias("_b")
+    return lines.select("doc_id", b, F.struct("line", "text").alias("_l")).groupBy("doc_id", "_b").agg(
+        F.sort_array(F.collect_list("_l")).alias("lines"))
+
+
+def nth_lines(rows: DataFrame, blocks: DataFrame, outs: dict[str, Callable[[Column], Column]], c: str, block: int = 64) -> DataFrame:
+    """``rows`` (doc_id, line, head, ``c``, ...) with a column for each of
+    ``outs`` (name -> fold of the compared texts): 0 if ``head`` contains ``c``,
+    else how many lines above the nearest of the lines line-1 .. line-19 that
+    contains it is (line 0 excluded), 99999 if none does.  A row meets its
+    block of lines, not a copy of the lines above it."""
+    d = rows.withColumn("_b", F.floor(F.col("line") / block)).join(blocks, ["doc_id", "_b"], "left")
+    # Where a line comes more than once, each copy is a line above the next.
+    at = F.filter(F.transform("lines", lambda x, i: F.when(x["line"] == F.col("line"), i)), lambda i: i.isNotNull())
+    d = d.withColumn("_at", F.explode_outer(at))
+    k = lx.MAX_SCAN_LINES - 1
+    first = F.greatest(F.col("_at") - k, F.lit(0))
+    prev = F.transform(F.reverse(F.filter(F.slice("lines", first + 1, F.col("_at") - first), lambda x: x["line"] >= 1)), lambda x: x["text"])
+    keep = [x for x in rows.columns if x not in outs]
+    d = d.select(*keep, F.coalesce(prev, F.array().cast("array<string>")).alias("_prev"))
+    return d.select(*keep, *[_nth_line(F.col("head"), F.col("_prev"), F.col("line"), F.col(c), fold).alias(name) for name, fold in outs.items()])
 
 
 def _nth_line(head: Column, prev: Column, line: Column, c: Column, fold) -> Column:
@@ -283,12 +297,9 @@ REGISTRY.completion_feature("is_keyword")(
     lambda: F.array_contains(F.array(*[F.lit(k) for k in lx.PY_KEYWORDS]), F.col("c")).cast("int"))
 REGISTRY.completion_feature("in_builtin_module")(
     lambda: F.array_contains(F.array(*[F.lit(k) for k in lx.PY_BUILTINS]), F.col("c")).cast("int"))
-REGISTRY.completion_feature("contains_in_nth_line")(
-    lambda: _nth_line(F.col("head"), F.coalesce(F.col("prev"), F.array().cast("array<string>")), F.col("line"),
-                      F.col("c"), lambda x: x))
-REGISTRY.completion_feature("contains_in_nth_line_lower")(
-    lambda: _nth_line(F.col("head"), F.coalesce(F.col("prev"), F.array().cast("array<string>")), F.col("line"),
-                      F.col("c"), F.lower))
+NTH_LINE = {"contains_in_nth_line": lambda x: x, "contains_in_nth_line_lower": F.lower}
+for _m in NTH_LINE:
+    REGISTRY.completion_feature(_m)(lambda m=_m: F.col(m))
 for _m in ("t1_match", "t2_match", "t3_match", "trigram_match"):
     REGISTRY.completion_feature(_m)(lambda m=_m: F.col(m))
 for _m in ("token_frequency", "bigram_frequency", "trigram_frequency"):
@@ -333,11 +344,15 @@ def completion_features(cands: DataFrame, lines: DataFrame, tokens: DataFrame, c
     ``ctx_rows`` = positions_with_context rows (head etc.)."""
     pos_ctx = context.select(*GROUP, "t1", "t2", "t3")
     q = cands.join(pos_ctx, GROUP).join(ctx_rows.select(*GROUP, "head"), GROUP)
-    q = q.join(previous_lines(lines), ["doc_id", "line"], "left")
-    q = q.join(name_classes(lines, tokens), ["doc_id", "c"], "left")
-
-    # Postings of (t1,t0), (t2,t0), (t3,t0), (t2,t1,t0) from every token.
-    post = context.select("doc_id", "line", "t0", "t1", "t2", "t3")
+    q = nth_lines(q, line_blocks(lines), NTH_LINE, "c")
+    q = q.drop("head").join(name_classes(lines, tokens), ["doc_id", "c"], "left")
+    # The four look-backs and the result read the candidates: written once.
+    q = materialize(q, "candidate-context")
+
+    # Postings of (t1,t0), (t2,t0), (t3,t0), (t2,t1,t0) from every token that
+    # can be a candidate; a candidate is a name.
+    post = context.select("doc_id", "line", "t0", "t1", "t2", "t3").where(token_kind(F.col("t0")) == lx.KIND_NAME)
+    post = materialize(post.distinct(), "candidate-postings")
     m1 = nearest_before(q.select(*GROUP, "c", F.col("t1").alias("k1"), F.col("c").alias("k0")),
                         post.select("doc_id", F.col("t1").alias("k1"), F.col("t0").alias("k0"), "line"),
                         ["doc_id", "k1", "k0"], "t1_match")

@@ -134,7 +134,5 @@ def contains_nth_line(spark, sf):
     lines = code_lines(spark, sf)
     t = code_tokens(spark, sf)
     rows = ft.positions_with_context(lines, cd.positions(t).select(*ft.GROUP, "t"))
-    rows = rows.join(ft.previous_lines(lines), ["doc_id", "line"], "left")
-    val = ft._nth_line(F.col("head"), F.coalesce(F.col("prev"), F.array().cast("array<string>")), F.col("line"),
-                       F.col("t"), lambda x: x)
-    return rows.select(*ft.GROUP, val.alias("contains_in_nth_line"))
+    rows = ft.nth_lines(rows.select(*ft.GROUP, "t", "head"), ft.line_blocks(lines), {"contains_in_nth_line": lambda x: x}, "t")
+    return rows.select(*ft.GROUP, "contains_in_nth_line")
