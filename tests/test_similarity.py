@@ -73,3 +73,30 @@ def test_abbreviation_query_scores_every_prefix(spark):
     assert len(got) == len(want) and {(r.target, r.typed) for r in got} == want
     assert max(len(r.typed) for r in got) > 3
     assert all(r.score == sim.abbreviation_score(r.target, r.typed) for r in got[:2000])
+
+
+def test_scores_equal_plain_loops(spark):
+    import random
+
+    def lcs(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            prev = row
+            row = [0]
+            for j, y in enumerate(b):
+                row.append(prev[j] + 1 if x == y else max(prev[j + 1], row[j]))
+        return row[-1]
+
+    def ratio(a, b):
+        return round(200 * lcs(a, b) / (len(a) + len(b))) if a and b else 0
+
+    def partial(a, b):
+        a, b = (a, b) if len(a) <= len(b) else (b, a)
+        return max(ratio(a, b[i:i + len(a)]) for i in range(len(b) - len(a) + 1)) if a else 0
+
+    rng = random.Random(7)
+    word = lambda n: "".join(rng.choice("abcé_😀") for _ in range(n))
+    pairs = [(word(rng.randint(0, 9)), word(rng.randint(0, 12))) for _ in range(150)] + [(word(64), word(66)), (word(62), word(70)), (word(3), word(80))]
+    df = spark.createDataFrame(pairs, "a string, b string")
+    got = df.select("a", "b", sim.ratio(F.col("a"), F.col("b")).alias("r"), sim.partial_ratio(F.col("a"), F.col("b")).alias("p")).collect()
+    assert [(r.r, r.p) for r in got] == [(ratio(r.a, r.b), partial(r.a, r.b)) for r in got]
