@@ -10,10 +10,16 @@ JVM-side expression per line.
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterable, Iterator
+from itertools import groupby
+from typing import TYPE_CHECKING
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+if TYPE_CHECKING:
+    import pyarrow as pa
+
 # --- fixed values: attribute pattern -----------------------------------------------
 # groups: 1 name, 2 [..] suffix, 3 (..) suffix, 4 attribute, 5 "()" or "(" after it
 ATTR_PATTERN = r"([\p{L}\p{N}_]+)(?:(\[.+\])|(\(.+\)))?\.(?=([\p{L}\p{N}_]+)(\(\)|\()?)"
@@ -124,23 +130,48 @@ def attributes_of(folded, name) -> set:
 
 
 LEARNED_SCHEMA = "doc_id long, name string, attr string"
+LEARNED_ROWS = 1 << 14  # rows of an output batch, at least
 
 
-def _learn_group(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values(["line", "k"], kind="stable")
-    groups, edges = fold_attributes(zip(pdf["name"], pdf["attr"]))
+def learned(pairs: Iterable[tuple[str, str]]) -> list[tuple[str, str]]:
+    """(name, attr) pairs after folding one document's pairs in order."""
+    groups, edges = fold_attributes(pairs)
     by_type: dict[str, set] = {}
     for t, attr in edges:
         by_type.setdefault(t, set()).add(attr)
-    rows = [(n, attr) for (kind, n), types in groups.items() if kind == "name"
+    return [(n, attr) for (kind, n), types in groups.items() if kind == "name"
             for attr in sorted(set().union(*(by_type.get(t, ()) for t in types)))]
-    doc = int(pdf["doc_id"].iloc[0])
-    return pd.DataFrame({"doc_id": [doc] * len(rows), "name": [r[0] for r in rows], "attr": [r[1] for r in rows]})
+
+
+def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """(doc_id, name, attr) of batches whose rows are sorted by document."""
+    for batch in batches:
+        yield from zip(*(batch.column(c).to_pylist() for c in ("doc_id", "name", "attr")), strict=True)
+
+
+def _learn_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    import pyarrow as pa
+
+    def out(rows: list) -> pa.RecordBatch:
+        kinds = [pa.int64(), pa.string(), pa.string()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "name", "attr"])
+
+    rows: list[tuple] = []
+    for doc, own in groupby(_documents(batches), key=lambda r: r[0]):
+        rows += [(doc, *pair) for pair in learned((name, attr) for _, name, attr in own)]
+        if len(rows) >= LEARNED_ROWS:
+            yield out(rows)
+            rows = []
+    if rows:
+        yield out(rows)
 
 
 def learn_attributes(pairs: DataFrame) -> DataFrame:
     """(doc_id, name, attr) after folding every pair of a document in
-    (line, k) order.  Only the narrow pair rows reach Python, one document
-    per group."""
-    return pairs.select("doc_id", "line", "k", "name", "attr").groupBy("doc_id").applyInPandas(
-        _learn_group, LEARNED_SCHEMA)
+    (line, k) order.  Only the narrow pair rows reach Python, sorted by
+    document, so that a batch holds many documents; a document's fold goes on
+    from one batch to the next and holds its names and attributes, not its
+    rows."""
+    ordered = pairs.select("doc_id", "line", "k", "name", "attr").repartition("doc_id") \
+        .sortWithinPartitions("doc_id", "line", "k", "name", "attr")
+    return ordered.select("doc_id", "name", "attr").mapInArrow(_learn_sorted, LEARNED_SCHEMA)
