@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from linden.functions.similarity import bound
+
 # --- fixed values: file types --------------------------------------------------------
 # Extensions (and special names) with a known file type; anything else falls
 # back to the "rc" / "ignore" suffix rules, then to "default".
@@ -186,17 +188,13 @@ def anchor_links(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(ANCHOR_PATTERN), 1)).alias("i", "href"))
 
 
-def _literal_starts(low: Column, k: Column) -> Column:
-    """0-based starts of the non-overlapping occurrences of ``k`` in ``low``,
-    scanning left to right (each search resumes after the previous hit)."""
+def _literal_cover(low: Column, k: Column) -> Column:
+    """ARRAY<STRING>, a "1" for each character of ``low`` within one of the
+    non-overlapping occurrences of ``k`` (each search resumes after the
+    previous hit) and a "0" for each of the others."""
     pieces = F.split(low, F.concat(F.lit(r"\Q"), k, F.lit(r"\E")), -1)
-    n = F.size(pieces) - 1
-    return F.when(n <= 0, F.array().cast("array<int>")).otherwise(
-        F.transform(
-            F.sequence(F.lit(0), n - 1),
-            lambda j: F.aggregate(F.slice(pieces, 1, j + 1), F.lit(0), lambda a, p: a + F.length(p)) + j * F.length(k),
-        )
-    )
+    marks = F.call_function("array_join", F.transform(pieces, lambda p: F.repeat(F.lit("0"), F.length(p))), F.repeat(F.lit("1"), F.length(k)))
+    return F.split(marks, "", -1)
 
 
 def cover_mask(target: Column, keywords: Column) -> Column:
@@ -204,14 +202,11 @@ def cover_mask(target: Column, keywords: Column) -> Column:
     (case-insensitive; empty keywords ignored)."""
     low = F.lower(target)
     kws = F.filter(F.transform(keywords, lambda k: F.lower(k)), lambda k: F.length(k) > 0)
-    spans = F.transform(kws, lambda k: F.struct(k.alias("k"), _literal_starts(low, k).alias("s")))
     n = F.length(target)
-    return F.when(n == 0, F.array().cast("array<boolean>")).otherwise(
-        F.transform(
-            F.sequence(F.lit(0), n - 1),
-            lambda i: F.exists(spans, lambda sp: F.exists(sp["s"], lambda s: (s <= i) & (i < s + F.length(sp["k"])))),
-        )
-    )
+    # The marks of all keywords are found once, not again for each character.
+    return F.when(n == 0, F.array().cast("array<boolean>")).otherwise(bound(
+        F.transform(kws, lambda k: _literal_cover(low, k)),
+        lambda marks: F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.exists(marks, lambda m: F.coalesce(F.get(m, i) == "1", F.lit(False))))))
 
 
 def cover_display(target: Column, mask: Column) -> Column:

@@ -11,7 +11,7 @@ from linden.operators import search as srch
 from linden.plans import sql as q
 from linden.plans.registry import register
 from linden.session import scratch_path
-from linden.sources.tables import table
+from linden.sources.tables import spread, table
 
 # --- fixed values: query parameters -------------------------------------------------
 IGNORE_RULES = ["# generated pages", "*.html", "/es/", "!/es/5*", "**/9*", "fr/*[0-4]"]
@@ -135,7 +135,7 @@ SELECT p_partkey, p_name, {_DISPLAY} AS display,
 FROM (SELECT p_partkey, p_name, {_MASK} AS m FROM part)
 """)
 def keyword_cover(spark, sf):
-    p = table(spark, sf, "part").select("p_partkey", "p_name")
+    p = spread(table(spark, sf, "part").select("p_partkey", "p_name"), "p_partkey")
     return paths.keyword_cover(p, "p_name", COVER_KEYWORDS)
 
 

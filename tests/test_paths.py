@@ -51,3 +51,24 @@ def test_ignore_rules_last_match_wins(spark, path, expected):
     rules = ["*.html", "/es/", "!/es/5*", "**/9*", "fr/*[0-4]"]
     got = spark.createDataFrame([(path,)], "p string").select(paths.ignored(F.col("p"), rules)).first()[0]
     assert got is expected
+
+
+def test_marks_are_found_once_for_a_text(spark):
+    """Not again for each of its characters: long texts take time in proportion."""
+    import time
+
+    text = "Red İ bo [x] ring rebo " * 150
+    low = text.lower()
+    want = [False] * len(text)
+    for k in ("red", "bo", "ing", "[x]"):
+        at = low.find(k)
+        while at >= 0:
+            want[at:at + len(k)] = [True] * len(k)
+            at = low.find(k, at + len(k))
+    df = spark.createDataFrame([(text,)] * 8, "t string")
+    begin = time.time()
+    got = paths.keyword_cover(df, "t", ["RED", "bo", "", "ing", "[x]"]).collect()
+    assert time.time() - begin < 20
+    covered = sum(want[:len(text)])
+    assert [r.score for r in got] == [covered] * 8
+    assert got[0].display.replace("<em>", "").replace("</em>", "") == text
