@@ -28,6 +28,29 @@ def postings(tokens: DataFrame) -> DataFrame:
     return tokens.groupBy("doc_id", "t", "line").agg(F.count(F.lit(1)).alias("n"))
 
 
+def line_postings(lines: DataFrame) -> DataFrame:
+    """``postings`` of lines (doc_id, line, text) of which each is a row of its
+    own: runs of the line's sorted tokens, without a shuffle."""
+    d = lines.select("doc_id", "line", F.sort_array(views.line_tokens(F.col("text"))).alias("ts"))
+    starts = F.transform("ts", lambda t, i: F.when((i == 0) | (t != F.get(F.col("ts"), i - 1)), i))
+    d = d.select("doc_id", "line", "ts", F.filter(starts, lambda i: i.isNotNull()).alias("at"))
+    runs = F.transform("at", lambda a, i: F.struct(
+        F.get(F.col("ts"), a).alias("t"), (F.coalesce(F.get(F.col("at"), i + 1), F.size("ts")) - a).cast("long").alias("n")))
+    return d.select("doc_id", "line", F.explode(runs).alias("r")).select("doc_id", "r.t", "line", "r.n")
+
+
+def document_postings(documents: DataFrame, without: DataFrame | None = None) -> DataFrame:
+    """``postings`` of whole documents (doc_id, text), except of the lines
+    ``without`` (doc_id, line).  Only documents with a repeated id or a very
+    long text shuffle their tokens."""
+    def of(docs: DataFrame) -> DataFrame:
+        return views.lines(docs) if without is None else views.lines(docs).join(without, ["doc_id", "line"], "left_anti")
+
+    whole, rest = views.whole_documents(documents)
+    found = line_postings(of(whole))
+    return found if rest is None else found.unionByName(postings(views.tokens(of(rest))))
+
+
 def prefix_index(tokens: DataFrame) -> DataFrame:
     """Postings restricted to NAME tokens longer than 3 characters."""
     return tokens.where((F.col("kind") == lx.KIND_NAME) & (F.length("t") >= PREFIX_INDEX_MIN_LEN))

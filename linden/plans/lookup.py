@@ -74,7 +74,7 @@ def plural_pairs(spark, sf):
 SELECT doc_id, t, line, count(*) AS n FROM tokens GROUP BY doc_id, t, line
 """)
 def postings(spark, sf):
-    return lookup.postings(doc_tokens(spark, sf))
+    return lookup.document_postings(documents(spark, sf))
 
 
 @register("token_min_max", q.with_(q.LINES, q.TOKENS) + """

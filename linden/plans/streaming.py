@@ -4,9 +4,10 @@ batch SQL twin over the same edit log)."""
 from __future__ import annotations
 
 from linden.plans import sql as q
-from linden.plans.common import doc_lines
+from linden.plans.common import doc_lines, documents
 from linden.plans.records import STATE_TYPE
 from linden.plans.registry import register
+from linden.sources import views
 from linden.sources.tables import table
 from linden.streaming import changelog, compact, daily, edits, splices
 
@@ -45,7 +46,8 @@ def stream_edit_latest(spark, sf):
 SELECT doc_id, t, line, count(*) AS n FROM ftokens GROUP BY doc_id, t, line
 """)
 def postings_after_edits(spark, sf):
-    return _run(spark, sf).read("postings")
+    docs = documents(spark, sf)
+    return edits.run_edit_stream(spark, sf, views.lines(docs), documents=docs).read("postings")
 
 
 @register("rejected_edits", q.with_(q.LINES, q.EDIT_LOG) + """

@@ -74,8 +74,9 @@ class EditApplier:
         "commits": "done boolean",
     }
 
-    def __init__(self, spark: SparkSession, base_lines: DataFrame, root: str):
-        self.spark, self.base, self.root = spark, base_lines, root
+    def __init__(self, spark: SparkSession, base_lines: DataFrame, root: str, documents: DataFrame | None = None):
+        """``documents`` (doc_id, text): those that ``base_lines`` are the lines of, if they are known."""
+        self.spark, self.base, self.root, self.documents = spark, base_lines, root, documents
         for kind, schema in self.KINDS.items():  # so that every table can be read from the start
             spark.createDataFrame([], schema).write.mode("ignore").parquet(self._path(kind, -1))
 
@@ -99,7 +100,11 @@ class EditApplier:
         of the edited documents."""
         rows = self._table(kind).join(self._newest(), [*LINE, "batch"]).drop("batch")
         if kind == "postings":
-            same = lookup.postings(views.tokens(self.base)).join(self._newest(), LINE, "left_anti")
+            newest = self._newest().select(*LINE)
+            if self.documents is None:
+                same = lookup.postings(views.tokens(self.base.join(newest, LINE, "left_anti")))
+            else:
+                same = lookup.document_postings(self.documents, newest)
             rows = rows.unionByName(same.select(rows.columns))
         return rows
 
@@ -123,12 +128,12 @@ class EditApplier:
 
 
 def run_edit_stream(spark: SparkSession, sf_dir: str, base_lines: DataFrame, name: str = "edits",
-                    root: str | None = None) -> EditApplier:
+                    root: str | None = None, documents: DataFrame | None = None) -> EditApplier:
     """Apply the whole available edit log (``availableNow``) and return the
     applier.  Passing the ``root`` of an earlier run resumes it (stream
     checkpoint and tables live there)."""
     root = root or scratch_path(spark, f"stream-{name}-{uuid.uuid4().hex[:12]}")
-    applier = EditApplier(spark, base_lines, root)
+    applier = EditApplier(spark, base_lines, root, documents)
     q = (
         edit_stream(spark, sf_dir).writeStream.foreachBatch(applier)
         .option("checkpointLocation", f"{root}/_checkpoint")
