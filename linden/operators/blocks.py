@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from linden.functions import lexicon as lx
 from linden.operators import code
 from linden.operators.sequence import carry_last
+from linden.sources import views
 
 # --- fixed values ----------------------------------------------------------------------
 OPENING = "([{"
@@ -78,9 +79,35 @@ def dedent_blocks(lines: DataFrame) -> DataFrame:
     stop = (~code.is_blank(F.col("text"))) & (ind < F.col("amount"))
     d = carry_last(d, F.when(stop, F.col("line")), "_stop", key=["doc_id", "item_line"], inclusive=True)
     d = d.where(F.col("_stop").isNull())
-    text = F.when(code.is_blank(F.col("text")) | (F.col("amount") == 0), F.col("text")).otherwise(
+    return d.select("doc_id", "item_line", "line", _dedented().alias("text"))
+
+
+def dedent_arrays(docs: DataFrame) -> DataFrame:
+    """``dedent_blocks`` of documents (doc_id, codes): an item's body is the
+    slice of its document's lines up to the next item, nothing is shuffled."""
+    items = F.transform("codes", lambda x, i: F.when(x.rlike(code.OUTLINE_PATTERN), i))
+    d = docs.select("doc_id", "codes", F.filter(items, lambda i: i.isNotNull()).alias("items"))
+    bodies = F.transform("items", lambda a, j: F.struct(
+        a.alias("item_line"), F.slice("codes", a + 2, F.coalesce(F.get(F.col("items"), j + 1), F.size("codes")) - a - 1).alias("body")))
+    d = d.select("doc_id", F.explode(bodies).alias("b")).select("doc_id", "b.*")
+    d = d.withColumn("amount", F.coalesce(code.indent_of(F.get("body", 0)), F.lit(0)))
+    stops = F.transform("body", lambda x: ~code.is_blank(x) & (code.indent_of(x) < F.col("amount")))
+    d = d.withColumn("_stop", F.array_position(stops, True).cast("int"))
+    kept = F.when(F.col("_stop") == 0, F.col("body")).otherwise(F.slice("body", 1, F.greatest(F.col("_stop") - 1, F.lit(0))))
+    d = d.select("doc_id", "item_line", "amount", F.posexplode(kept).alias("_i", "text"))
+    return d.select("doc_id", "item_line", (F.col("item_line") + 1 + F.col("_i")).alias("line"), _dedented().alias("text"))
+
+
+def _dedented() -> Column:
+    return F.when(code.is_blank(F.col("text")) | (F.col("amount") == 0), F.col("text")).otherwise(
         F.substring("text", F.col("amount") + 1, 1 << 30))
-    return d.select("doc_id", "item_line", "line", text.alias("text"))
+
+
+def dedent_code(documents: DataFrame) -> DataFrame:
+    """``dedent_blocks`` of the code lines of documents (doc_id, text)."""
+    whole, rest = views.whole_documents(documents)
+    found = dedent_arrays(views.code_line_arrays(whole))
+    return found if rest is None else found.unionByName(dedent_blocks(views.code_lines(views.lines(rest))))
 
 
 def sections(pages: DataFrame) -> DataFrame:

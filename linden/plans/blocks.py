@@ -12,7 +12,7 @@ from linden.plans import code as code_plans
 from linden.plans import features as fplans
 from linden.plans import ranking
 from linden.plans import sql as q
-from linden.plans.common import code_lines, code_tokens
+from linden.plans.common import code_lines, code_tokens, documents
 from linden.plans.registry import register
 from linden.sources.tables import table
 
@@ -64,7 +64,7 @@ SELECT doc_id, item_line, line, CASE WHEN trim(text, {WS}) = '' OR amount = 0 TH
 FROM d3 WHERE stop IS NULL
 """)
 def dedent(spark, sf):
-    return bl.dedent_blocks(code_lines(spark, sf))
+    return bl.dedent_code(documents(spark, sf))
 
 
 @register("section_shred", f"""
