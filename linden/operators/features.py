@@ -20,7 +20,7 @@ from linden.functions import similarity as sim
 from linden.operators import code
 from linden.operators.sequence import carry_last, shift_lines
 from linden.operators.search import find_matches
-from linden.session import materialize
+from linden.session import materialize, release_shuffles
 from linden.sources.views import token_kind
 
 GROUP = ["doc_id", "line", "pos"]
@@ -338,7 +338,25 @@ def active_argument(head: Column) -> Column:
 
 def completion_features(cands: DataFrame, lines: DataFrame, tokens: DataFrame, context: DataFrame,
                         stats: dict[str, DataFrame], ctx_rows: DataFrame) -> DataFrame:
-    """One row per candidate with every registered completion feature.
+    """One row per candidate with every registered completion feature."""
+    rows = candidate_rows(cands, lines, tokens, context, stats, ctx_rows)
+    return rows.select(*GROUP, "c", "y", *[fn().alias(name) for name, fn in REGISTRY.completion.items()])
+
+
+def feature_matrix(rows: DataFrame, similarity: DataFrame, ctx_rows: DataFrame) -> DataFrame:
+    """Candidates with the completion, similarity and context features.  What
+    the features are computed from (``candidate_rows``, ``similarity_features``
+    and the context of a position) is joined, and the features, many times as
+    wide, are computed behind the joins: no shuffle carries them."""
+    ctx = ctx_rows.select(*GROUP, "blank_line_before", "indent", "indent_delta", "head", "call", F.substring("prev_text", -1, 1).alias("prev_text"))
+    d = rows.join(similarity, [*GROUP, "c"]).join(ctx, GROUP)
+    completion, context = ([fn().alias(name) for name, fn in fns.items()] for fns in (REGISTRY.completion, REGISTRY.context))
+    return d.select(*GROUP, "c", "y", *completion, *SIMILARITY_FEATURES, *context)
+
+
+def candidate_rows(cands: DataFrame, lines: DataFrame, tokens: DataFrame, context: DataFrame,
+                   stats: dict[str, DataFrame], ctx_rows: DataFrame) -> DataFrame:
+    """One row per candidate with what its completion features are computed from.
 
     ``context`` = token_context rows (doc_id, line, pos, t0, t1, t2, t3);
     ``ctx_rows`` = positions_with_context rows (head etc.)."""
@@ -348,6 +366,7 @@ def completion_features(cands: DataFrame, lines: DataFrame, tokens: DataFrame, c
     q = q.drop("head").join(name_classes(lines, tokens), ["doc_id", "c"], "left")
     # The four look-backs and the result read the candidates: written once.
     q = materialize(q, "candidate-context")
+    release_shuffles(cands.sparkSession)
 
     # Postings of (t1,t0), (t2,t0), (t3,t0), (t2,t1,t0) from every token that
     # can be a candidate; a candidate is a name.
@@ -375,12 +394,10 @@ def completion_features(cands: DataFrame, lines: DataFrame, tokens: DataFrame, c
     bi = stats["bigram"].select("t1", F.col("t0").alias("c"), F.col("n").alias("_bf"))
     tri = stats["trigram"].select("t2", "t1", F.col("t0").alias("c"), F.col("n").alias("_tf"))
     q = q.join(uni, "c", "left").join(bi, ["t1", "c"], "left").join(tri, ["t2", "t1", "c"], "left")
-    q = q.withColumn("token_frequency", F.coalesce("_uf", F.lit(0))) \
+    return q.withColumn("token_frequency", F.coalesce("_uf", F.lit(0))) \
         .withColumn("bigram_frequency", F.when(F.col("t1") != "", F.coalesce("_bf", F.lit(0))).otherwise(F.lit(0))) \
         .withColumn("trigram_frequency", F.when((F.col("t1") != "") & (F.col("t2") != ""),
                                                 F.coalesce("_tf", F.lit(0))).otherwise(F.lit(0)))
-    cols = [fn().alias(name) for name, fn in REGISTRY.completion.items()]
-    return q.select(*GROUP, "c", "y", *cols)
 
 
 def similarity_features(cands: DataFrame, tokens: DataFrame, ctx_rows: DataFrame | None = None,

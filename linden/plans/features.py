@@ -168,14 +168,15 @@ def _inputs(spark, sf):
     return lines, views.tokens(lines)
 
 
-def completion_frame(spark, sf, inputs=None, counted=lambda lines: lines):
-    """Completion features; ``counted`` picks the lines whose n-grams count."""
+def completion_frame(spark, sf, inputs=None, counted=lambda lines: lines, of=ft.completion_features):
+    """Completion features; ``counted`` picks the lines whose n-grams count,
+    ``of`` = ``ft.candidate_rows`` gives what they are computed from."""
     lines, t = inputs or _inputs(spark, sf)
     cands = cd.candidates(t)
     ctx_rows = ft.positions_with_context(lines, cd.positions(t).select(*ft.GROUP, "t"))
     context = ngrams.token_context(lines)
     stats = ngrams.pruned_statistics(counted(lines), materialize=True)
-    return ft.completion_features(cands, lines, t, context, stats, ctx_rows)
+    return of(cands, lines, t, context, stats, ctx_rows)
 
 
 @register("completion_features", COMPLETION_SQL)
@@ -196,15 +197,14 @@ def similarity_features(spark, sf):
 
 
 def feature_matrix_frame(spark, sf, counted=lambda lines: lines):
-    """Candidates with every completion feature and the context features of
-    their position (joined on the group key: computed once per position)."""
+    """Candidates with every completion and similarity feature and the context
+    features of their position."""
     inputs = _inputs(spark, sf)
     lines, t = inputs
-    comp = completion_frame(spark, sf, inputs, counted)
+    rows = completion_frame(spark, sf, inputs, counted, ft.candidate_rows)
     simf = similarity_frame(spark, sf, inputs)
     pos = cd.positions(t).select(*ft.GROUP, "t")
-    ctx = ft.context_features(ft.positions_with_context(lines, pos))
-    return comp.join(simf, [*ft.GROUP, "c"]).join(ctx, ft.GROUP)
+    return ft.feature_matrix(rows, simf, ft.positions_with_context(lines, pos))
 
 
 @register("feature_matrix")
