@@ -1,10 +1,12 @@
 """Daily totals of an event stream under a watermark, with a table of late rows.
 
-Rows may arrive up to ``DELAY`` after later ones.  A user's open days are kept
-in the state of a ``transformWithState`` operator, one small row per day; an
-event-time timer at the day's end (plus the delay, by way of the watermark)
-puts the day out and drops it from the state, so the state holds the days that
-can still change and nothing else.  A row older than the watermark belongs to
+Rows may arrive up to ``DELAY`` after later ones.  The open days of the users
+of one of ``GROUPS`` groups (by hash) are kept in the state of a
+``transformWithState`` operator, a few numbers per user and day; an event-time
+timer at the day's end (plus the delay, by way of the watermark) puts the day
+of all these users out and drops it from the state, so the state holds the days
+that can still change and nothing else.  A call to Python, its state and its
+timers serve a group, so their number doesn't grow with the users.  A row older than the watermark belongs to
 no open day; it is neither dropped nor mixed into a day that is already out,
 but returned in the ``late`` rows, as it came.
 
@@ -31,25 +33,30 @@ from linden.streaming.splices import rocksdb_state
 
 DELAY = "1 hour"
 DAY_MS = 86_400_000
-DAYS = "days array<long>, counts array<long>, last_at array<long>, last_id array<long>"
+GROUPS = 1024
+DAYS = "days array<long>, users array<long>, counts array<long>, last_at array<long>, last_id array<long>"
 OUTPUT = "kind string, user_id long, day long, n long, event_id long, at long"
 
 
 class DailyTotals(StatefulProcessor):
-    """Input: user_id, event_id, at (microseconds)."""
+    """Input: group (the key), user_id, event_id, at (microseconds)."""
 
     def init(self, handle) -> None:
         self.handle = handle
         self.open = handle.getValueState("open", DAYS)
 
-    def days(self) -> dict[int, tuple[int, int, int]]:
-        if not self.open.exists():
-            return {}
-        return {d: rest for d, *rest in zip(*self.open.get(), strict=True)}
+    def days(self) -> dict[int, dict[int | None, tuple[int, int, int]]]:
+        """(rows, last time, last event) by day and user."""
+        days: dict = {}
+        if self.open.exists():
+            for day, user, *rest in zip(*self.open.get(), strict=True):
+                days.setdefault(day, {})[user] = tuple(rest)
+        return days
 
     def keep(self, days: dict) -> None:
         if days:
-            self.open.update((list(days), *([v[k] for v in days.values()] for k in range(3))))
+            rows = [(day, user, *rest) for day, users in days.items() for user, rest in users.items()]
+            self.open.update(tuple(map(list, zip(*rows, strict=True))))
         else:
             self.open.clear()
 
@@ -57,24 +64,25 @@ class DailyTotals(StatefulProcessor):
         mark, days = timerValues.getCurrentWatermarkInMs(), self.days()
         for r in rows:
             if r.at is None or r.at // 1000 < mark:
-                yield Row(kind="late", user_id=key[0], day=None, n=None, event_id=r.event_id, at=r.at)
+                yield Row(kind="late", user_id=r.user_id, day=None, n=None, event_id=r.event_id, at=r.at)
                 continue
             day = r.at // 1000 // DAY_MS
             if day not in days:
-                days[day] = (0, r.at, r.event_id)
+                days[day] = {}
                 self.handle.registerTimer((day + 1) * DAY_MS)
-            n, at, last = days[day]
+            n, at, last = days[day].get(r.user_id) or (0, r.at, r.event_id)
             at, last = max((at, last), (r.at, r.event_id))
-            days[day] = (n + 1, at, last)
+            days[day][r.user_id] = (n + 1, at, last)
         self.keep(days)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         days = self.days()
         day = expiredTimerInfo.getExpiryTimeInMs() // DAY_MS - 1
         if day in days:
-            n, at, last = days.pop(day)
+            users = days.pop(day)
             self.keep(days)
-            yield Row(kind="day", user_id=key[0], day=day, n=n, event_id=last, at=at)
+            for user, (n, at, last) in users.items():
+                yield Row(kind="day", user_id=user, day=day, n=n, event_id=last, at=at)
 
     def close(self) -> None:
         pass
@@ -106,9 +114,10 @@ class DailyRun:
     def advance(self) -> None:
         """Take in what has arrived since the last call, then let timers fire."""
         events = self.spark.readStream.schema(EDIT_SCHEMA).parquet(f"{self.root}/in").withColumn("time", F.col("ts").cast("timestamp"))
-        rows = events.withWatermark("time", DELAY).select("user_id", "event_id", F.unix_micros("time").alias("at"))
+        rows = events.withWatermark("time", DELAY).select(
+            F.pmod(F.xxhash64("user_id"), F.lit(GROUPS)).alias("group"), "user_id", "event_id", F.unix_micros("time").alias("at"))
         with rocksdb_state(self.spark):
-            query = rows.groupBy("user_id").transformWithState(DailyTotals(), OUTPUT, "append", "EventTime") \
+            query = rows.groupBy("group").transformWithState(DailyTotals(), OUTPUT, "append", "EventTime") \
                 .writeStream.foreachBatch(self).outputMode("append").option("checkpointLocation", f"{self.root}/_checkpoint") \
                 .trigger(availableNow=True).start()
             query.awaitTermination()

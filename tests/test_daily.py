@@ -53,3 +53,17 @@ def test_batch_that_is_written_again_and_empty_stream(spark):
     assert results(run) == want
     none = daily.replay(spark, spark.createDataFrame([], EDIT_SCHEMA), 1)
     assert results(none) == ([], [])
+
+
+def test_state_does_not_grow_with_the_users(spark):
+    """Users share state and timers; users without events of their own, null among them, keep days of their own."""
+    rows = [(i, EPOCH + timedelta(days=i % 3, seconds=i), None if i % 401 == 0 else i % 4000, "view", 1.0, "{}") for i in range(8000)]
+    events = spark.createDataFrame(rows, EDIT_SCHEMA)
+    timed = daily.arrivals(events, 2).select("batch", "user_id", "event_id", "ts").collect()
+    run = daily.replay(spark, events, 2)
+    user = lambda u: -1 if u is None else u
+    want = expected([(r.batch, user(r.user_id), r.event_id, r.ts) for r in timed], 2)
+    got = sorted((user(u), *rest) for u, *rest in run.closed_days().collect()), sorted((user(u), e) for u, e in run.late().collect())
+    assert got == want and any(u == -1 for u, *_ in want[0])
+    # a value and a timer a day for each group of users
+    assert max(run.state_rows) <= 8 * daily.GROUPS
