@@ -6,6 +6,7 @@ import random
 import pytest
 from linden.llm import repeats
 from linden.llm.queries import QUERIES
+from pyspark.sql import functions as F
 from tests.conftest import SMALL
 
 
@@ -97,3 +98,25 @@ def test_segments_of_a_long_text(spark, monkeypatch):
     cut = repeats.samples(data, 100, 20)
     of = lambda s: {start: int(at) for at, lo, hi in zip(*s[1:], strict=True) for start in range(lo, hi + 1)}
     assert of(plain) == of(cut) and len(of(plain)) == len(data) - 99
+
+
+def test_rows_of_a_frequent_name_are_not_gathered(spark):
+    rows = spark.range(0, 20_000, 1, 8).select(F.when(F.col("id") < 12_000, -1).otherwise(F.col("id")).alias("name"), "id")
+    names = spark.range(-1, 16_000).where("id < 0 or id >= 14_000").select(F.col("id").alias("name"), F.when(F.col("id") < 0, 12_000).otherwise(1).cast("long").alias("n"))
+    found = repeats._named(rows, names, "name")
+    assert sorted(r.id for r in found.collect()) == [*range(12_000), *range(14_000, 16_000)]
+    tasks = found.where("name = -1").groupBy(F.spark_partition_id()).count().collect()
+    assert len(tasks) > 1 and max(t["count"] for t in tasks) <= 2_500
+
+
+def test_passages_planted_across_documents_and_nothing_else(spark):
+    rng = random.Random(11)
+    words = lambda n: " ".join("".join(rng.choices("abcdefghijklmnop", k=rng.randrange(4, 10))) for _ in range(n))
+    rows = [(i, words(120), "") for i in range(30)]
+    passages = [words(80) for _ in range(5)]
+    planted = [(i, f"{words(60)} {passages[i % 5]} {words(60)}", "") for i in range(30, 50)]
+    assert all(len(p) >= 400 for p in passages)
+    got = repeats.remove_repeats(spark.createDataFrame(rows + planted, "doc_id long, text string, spans string")).collect()
+    for r in got:
+        assert (len(r.spans) > 0) == (r.doc_id >= 30) and len(r.kept) <= r.n_bytes - (400 if r.spans else 0)
+    check(spark, rows + planted, 400)
