@@ -343,13 +343,17 @@ def completion_features(cands: DataFrame, lines: DataFrame, tokens: DataFrame, c
     return rows.select(*GROUP, "c", "y", *[fn().alias(name) for name, fn in REGISTRY.completion.items()])
 
 
+def context_inputs(ctx_rows: DataFrame) -> DataFrame:
+    """What the context features of a position are computed from."""
+    return ctx_rows.select(*GROUP, "blank_line_before", "indent", "indent_delta", "head", "call", F.substring("prev_text", -1, 1).alias("prev_text"))
+
+
 def feature_matrix(rows: DataFrame, similarity: DataFrame, ctx_rows: DataFrame) -> DataFrame:
     """Candidates with the completion, similarity and context features.  What
     the features are computed from (``candidate_rows``, ``similarity_features``
     and the context of a position) is joined, and the features, many times as
     wide, are computed behind the joins: no shuffle carries them."""
-    ctx = ctx_rows.select(*GROUP, "blank_line_before", "indent", "indent_delta", "head", "call", F.substring("prev_text", -1, 1).alias("prev_text"))
-    d = rows.join(similarity, [*GROUP, "c"]).join(ctx, GROUP)
+    d = rows.join(similarity, [*GROUP, "c"]).join(context_inputs(ctx_rows), GROUP)
     completion, context = ([fn().alias(name) for name, fn in fns.items()] for fns in (REGISTRY.completion, REGISTRY.context))
     return d.select(*GROUP, "c", "y", *completion, *SIMILARITY_FEATURES, *context)
 
@@ -372,18 +376,22 @@ def candidate_rows(cands: DataFrame, lines: DataFrame, tokens: DataFrame, contex
     # can be a candidate; a candidate is a name.
     post = context.select("doc_id", "line", "t0", "t1", "t2", "t3").where(token_kind(F.col("t0")) == lx.KIND_NAME)
     post = materialize(post.distinct(), "candidate-postings")
-    m1 = nearest_before(q.select(*GROUP, "c", F.col("t1").alias("k1"), F.col("c").alias("k0")),
-                        post.select("doc_id", F.col("t1").alias("k1"), F.col("t0").alias("k0"), "line"),
-                        ["doc_id", "k1", "k0"], "t1_match")
-    m2 = nearest_before(q.select(*GROUP, "c", F.col("t2").alias("k1"), F.col("c").alias("k0")),
-                        post.select("doc_id", F.col("t2").alias("k1"), F.col("t0").alias("k0"), "line"),
-                        ["doc_id", "k1", "k0"], "t2_match")
-    m3 = nearest_before(q.select(*GROUP, "c", F.col("t3").alias("k1"), F.col("c").alias("k0")),
-                        post.select("doc_id", F.col("t3").alias("k1"), F.col("t0").alias("k0"), "line"),
-                        ["doc_id", "k1", "k0"], "t3_match")
-    m4 = nearest_before(q.select(*GROUP, "c", F.col("t2").alias("k2"), F.col("t1").alias("k1"), F.col("c").alias("k0")),
-                        post.select("doc_id", F.col("t2").alias("k2"), F.col("t1").alias("k1"), F.col("t0").alias("k0"), "line"),
-                        ["doc_id", "k2", "k1", "k0"], "trigram_match")
+
+    def distances(*of) -> DataFrame:  # one look-back's shuffle files are gone before the next one begins
+        return materialize(nearest_before(*of), "candidate-distances")
+
+    m1 = distances(q.select(*GROUP, "c", F.col("t1").alias("k1"), F.col("c").alias("k0")),
+                   post.select("doc_id", F.col("t1").alias("k1"), F.col("t0").alias("k0"), "line"),
+                   ["doc_id", "k1", "k0"], "t1_match")
+    m2 = distances(q.select(*GROUP, "c", F.col("t2").alias("k1"), F.col("c").alias("k0")),
+                   post.select("doc_id", F.col("t2").alias("k1"), F.col("t0").alias("k0"), "line"),
+                   ["doc_id", "k1", "k0"], "t2_match")
+    m3 = distances(q.select(*GROUP, "c", F.col("t3").alias("k1"), F.col("c").alias("k0")),
+                   post.select("doc_id", F.col("t3").alias("k1"), F.col("t0").alias("k0"), "line"),
+                   ["doc_id", "k1", "k0"], "t3_match")
+    m4 = distances(q.select(*GROUP, "c", F.col("t2").alias("k2"), F.col("t1").alias("k1"), F.col("c").alias("k0")),
+                   post.select("doc_id", F.col("t2").alias("k2"), F.col("t1").alias("k1"), F.col("t0").alias("k0"), "line"),
+                   ["doc_id", "k2", "k1", "k0"], "trigram_match")
     keys = [*GROUP, "c"]
     q = q.join(m1, keys).join(m2, keys).join(m3, keys).join(m4, keys)
     q = q.withColumn("t2_match", F.when(F.col("t2") == "", F.lit(lx.NOT_FOUND)).otherwise(F.col("t2_match"))) \

@@ -201,10 +201,12 @@ def feature_matrix_frame(spark, sf, counted=lambda lines: lines):
     features of their position."""
     inputs = _inputs(spark, sf)
     lines, t = inputs
-    rows = completion_frame(spark, sf, inputs, counted, ft.candidate_rows)
-    simf = similarity_frame(spark, sf, inputs)
+    # each part is written, so that its shuffle files are gone before the next one begins
+    rows = materialize(completion_frame(spark, sf, inputs, counted, ft.candidate_rows), "candidate-rows")
+    simf = materialize(similarity_frame(spark, sf, inputs), "similarity")
     pos = cd.positions(t).select(*ft.GROUP, "t")
-    return ft.feature_matrix(rows, simf, ft.positions_with_context(lines, pos))
+    context = ft.context_inputs(ft.positions_with_context(lines, pos))
+    return ft.feature_matrix(rows, simf, materialize(context, "position-context"))
 
 
 @register("feature_matrix")
