@@ -102,10 +102,10 @@ def test_segments_of_a_long_text(spark, monkeypatch):
 
 def test_rows_of_a_frequent_name_are_not_gathered(spark):
     rows = spark.range(0, 20_000, 1, 8).select(F.when(F.col("id") < 12_000, -1).otherwise(F.col("id")).alias("name"), "id")
-    names = spark.range(-1, 16_000).where("id < 0 or id >= 14_000").select(F.col("id").alias("name"), F.when(F.col("id") < 0, 12_000).otherwise(1).cast("long").alias("n"))
+    names = spark.range(-1, 16_000).where("id < 0 or id >= 14000").select(F.col("id").alias("name"), F.when(F.col("id") < 0, 12_000).otherwise(1).cast("long").alias("n"))
     found = repeats._named(rows, names, "name")
     assert sorted(r.id for r in found.collect()) == [*range(12_000), *range(14_000, 16_000)]
-    tasks = found.where("name = -1").groupBy(F.spark_partition_id()).count().collect()
+    tasks = found.where(F.col("name") == -1).groupBy(F.spark_partition_id()).count().collect()
     assert len(tasks) > 1 and max(t["count"] for t in tasks) <= 2_500
 
 
