@@ -120,3 +120,23 @@ def test_passages_planted_across_documents_and_nothing_else(spark):
     for r in got:
         assert (len(r.spans) > 0) == (r.doc_id >= 30) and len(r.kept) <= r.n_bytes - (400 if r.spans else 0)
     check(spark, rows + planted, 400)
+
+
+def test_one_python_worker_a_task(spark):
+    """No stage evaluates Python twice: each evaluation holds a worker of its own beside each core's."""
+    docs = spark.createDataFrame([(k, "abc" * 300 + str(k)) for k in range(8)], "doc_id long, text string")
+    plan = repeats.remove_repeats(docs, 400)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "ArrowEvalPython" not in plan
+
+
+def test_among_finds_every_key(spark):
+    rng = random.Random(5)
+    keys = [rng.randrange(-2**63, 2**63) for _ in range(3000)] + [0, -1, 63, 64, 2**63 - 1, -2**63]
+    other = [rng.randrange(-2**63, 2**63) for _ in range(3000)]
+    rows = spark.createDataFrame([(k, k in set(keys)) for k in keys + other], "key long, known boolean")
+    found = repeats._among(rows, F.col("key"), rows.where("known").select("key")).groupBy("known").agg(
+        F.count("*").alias("n"), F.count_if("maybe").alias("maybe"), F.count_if(F.col("maybe").isNull()).alias("null")).collect()
+    found = {r.known: r for r in found}
+    assert (found[True].n, found[True].maybe, found[True].null) == (len(keys), len(keys), 0)
+    assert found[False].maybe < 30 and found[False].null == 0
+    assert repeats._among(rows, F.col("key"), rows.where("known and not known").select("key")).where("maybe").count() == 0
