@@ -69,7 +69,7 @@ class WordIds:
     """Encoder that remembers words; beyond ``memory`` entries it forgets the
     longer ones, which seldom come again."""
 
-    def __init__(self, path: str, memory: int = 800_000):
+    def __init__(self, path: str, memory: int = 200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 

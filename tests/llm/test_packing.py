@@ -111,3 +111,18 @@ def test_every_letter_before_a_stop_or_comma():
         upto = np.cumsum(counts)
         for i, w in enumerate(want):
             assert ids[upto[i] - counts[i]:upto[i]].tolist() == w, part[i]
+
+
+def test_encoder_remembers_a_bounded_number_of_words():
+    """Every worker of an executor holds one; forgetting words changes no id."""
+    from linden.llm.common import tokenizer_path
+    from linden.llm.wordids import WordIds
+
+    path = tokenizer_path("word_bpe_49k.json")
+    own = WordIds(path)
+    assert own.memory <= 200_000
+    small, texts = WordIds(path, memory=50), [f"word{k} longerword{k * 7919} some, of it." for k in range(300)]
+    for at in range(0, 300, 20):
+        a, b = own.encode(texts[at:at + 20]), small.encode(texts[at:at + 20])
+        assert all((x == y).all() for x, y in zip(a, b, strict=True))
+        assert len(small.code) <= 50 + 20 * 5 * 2
