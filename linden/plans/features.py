@@ -12,7 +12,7 @@ from linden.plans import sql as q
 from linden.plans.common import code_lines
 from linden.plans.registry import register
 from linden.plans.search import _MATCH_SQL
-from linden.session import materialize
+from linden.session import materialize, step_tables
 from linden.sources import views
 
 WS = "' ' || chr(9)"
@@ -199,14 +199,17 @@ def similarity_features(spark, sf):
 def feature_matrix_frame(spark, sf, counted=lambda lines: lines):
     """Candidates with every completion and similarity feature and the context
     features of their position."""
-    inputs = _inputs(spark, sf)
-    lines, t = inputs
-    # each part is written, so that its shuffle files are gone before the next one begins
-    rows = materialize(completion_frame(spark, sf, inputs, counted, ft.candidate_rows), "candidate-rows")
-    simf = materialize(similarity_frame(spark, sf, inputs), "similarity")
-    pos = cd.positions(t).select(*ft.GROUP, "t")
-    context = ft.context_inputs(ft.positions_with_context(lines, pos))
-    return ft.feature_matrix(rows, simf, materialize(context, "position-context"))
+    with step_tables(spark, "feature-parts"):
+        inputs = _inputs(spark, sf)
+        lines, t = inputs
+        # each part is written, so that its shuffle files and its own tables are gone before the next one begins
+        with step_tables(spark, "completion"):
+            rows = materialize(completion_frame(spark, sf, inputs, counted, ft.candidate_rows), "candidate-rows", keep=2)
+        simf = materialize(similarity_frame(spark, sf, inputs), "similarity", keep=1)
+        pos = cd.positions(t).select(*ft.GROUP, "t")
+        context = ft.context_inputs(ft.positions_with_context(lines, pos))
+        context = materialize(context, "position-context", keep=1)
+    return ft.feature_matrix(rows, simf, context)
 
 
 @register("feature_matrix")

@@ -12,7 +12,7 @@ from linden.plans import features as fplans
 from linden.plans import stats as splans
 from linden.plans.common import documents
 from linden.plans.registry import register
-from linden.session import materialize, release_shuffles, scratch_path
+from linden.session import materialize, release_shuffles, scratch_path, step_tables
 from linden.sources.tables import table
 
 META = {"doc_id", "line", "pos", "c", "y", "t", "split"}
@@ -20,8 +20,9 @@ META = {"doc_id", "line", "pos", "c", "y", "t", "split"}
 
 def _matrix(spark, sf):
     # corpus statistics come from the training documents alone
-    m = lr.split_by_doc(fplans.feature_matrix_frame(spark, sf, lambda lines: lr.split_by_doc(lines).where("split = 'train'").drop("split")))
-    m = materialize(m, "feature-matrix")
+    with step_tables(spark, "ranker"):  # training reads the matrix alone
+        m = lr.split_by_doc(fplans.feature_matrix_frame(spark, sf, lambda lines: lr.split_by_doc(lines).where("split = 'train'").drop("split")))
+        m = materialize(m, "feature-matrix", keep=1)
     release_shuffles(spark)
     return m
 

@@ -3,6 +3,7 @@
 import os
 
 from linden.llm import common, repeats
+from linden.plans import features, learning
 from linden.session import materialize
 from pyspark.sql import functions as F
 
@@ -31,3 +32,19 @@ def test_intermediate_tables_of_repeats_are_removed(spark, monkeypatch):
     docs = spark.createDataFrame([(1, "abc" * 200), (2, "x" + "abc" * 200)], "doc_id long, text string")
     assert repeats.repeated_spans(docs, 100).count() == 2
     assert len(paths) == 1 and not os.path.exists(paths[0].removeprefix("file:"))
+
+
+def test_training_keeps_the_matrix_alone(spark, tmp_path):
+    """The tables that the feature matrix is made from are gone when training begins."""
+    text = "\n".join(f"def load(self, path{k}):\n    loaded = path{k}.load(line{k})" for k in range(4))
+    spark.createDataFrame([(k, text) for k in range(6)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    base = spark.conf.get("spark.checkpoint.dir").removeprefix("file:")
+    before = set(os.listdir(base))
+    m = learning._matrix(spark, str(tmp_path))
+    found = m.count()
+    left = set(os.listdir(base)) - before
+    assert found > 0 and len(left) == 1 and left.pop().startswith("feature-matrix-")
+    frame = features.feature_matrix_frame(spark, str(tmp_path))
+    left = {x.rsplit("-", 1)[0] for x in set(os.listdir(base)) - before}
+    assert frame.count() == found
+    assert left == {"feature-matrix", "candidate-rows", "similarity", "position-context"}
