@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linden.functions import lexicon as lx
+from linden.functions.similarity import bound
 from linden.operators import code
 from linden.operators.sequence import carry_last
 from linden.sources import views
@@ -16,6 +17,7 @@ from linden.sources import views
 OPENING = "([{"
 CLOSING = ")]}"
 SKIPPED_FIRST_PARAM = "self"
+DEF_LINE = r"^\s*(async\s+)?def\s"
 PARAM_NAME_HEAD = r"^[^\s,=:]*"  # a name ends before whitespace , = :
 HEADING_SPLIT = r"<h[1-6][^>]*>"
 HEADING_TEXT = r"^(.*?)</h[1-6]>"
@@ -54,13 +56,22 @@ def signature_params(lines: DataFrame) -> DataFrame:
     """(doc_id, line, i, param) for ``def`` lines: top-level items of the
     first bracket pair; a leading ``self,`` is skipped; the name ends before
     whitespace / ``,`` / ``=`` / ``:`` and ``*`` is removed."""
-    d = lines.where(F.col("text").rlike(r"^\s*(async\s+)?def\s")).select("doc_id", "line", _param_parts(F.col("text")).alias("raw"))
-    skip_self = (F.get("raw", 0) == SKIPPED_FIRST_PARAM) & (F.size("raw") > 1)
-    d = d.withColumn("raw", F.when(skip_self, F.slice("raw", 2, 1 << 20)).otherwise(F.col("raw")))
-    d = d.select("doc_id", "line", F.posexplode(F.transform("raw", lambda p: F.trim(p))).alias("i", "p"))
-    head = F.regexp_extract("p", PARAM_NAME_HEAD, 0)
-    name = F.when(head == "", F.col("p")).otherwise(head)
-    return d.where(F.col("p") != "").select("doc_id", "line", "i", F.regexp_replace(name, r"\*", "").alias("param"))
+    d = lines.where(F.col("text").rlike(DEF_LINE)).select("doc_id", "line", F.explode(parameters(F.col("text"))).alias("p"))
+    return d.select("doc_id", "line", "p.i", "p.param")
+
+
+def parameters(text: Column) -> Column:
+    """ARRAY<STRUCT<i, param>>: the parameters of a ``def`` line."""
+    def of(raw):
+        skip_self = (F.get(raw, 0) == SKIPPED_FIRST_PARAM) & (F.size(raw) > 1)
+        parts = F.transform(F.when(skip_self, F.slice(raw, 2, 1 << 20)).otherwise(raw), lambda p, i: F.struct(i.alias("i"), F.trim(p).alias("p")))
+        return F.transform(F.filter(parts, lambda x: x["p"] != ""), lambda x: F.struct(x["i"].alias("i"), name(x["p"]).alias("param")))
+
+    def name(p):
+        head = F.regexp_extract(p, PARAM_NAME_HEAD, 0)
+        return F.regexp_replace(F.when(head == "", p).otherwise(head), r"\*", "")
+
+    return bound(_param_parts(text), of)
 
 
 def dedent_blocks(lines: DataFrame) -> DataFrame:

@@ -18,6 +18,7 @@ from linden.functions import lexicon as lx
 from linden.functions import text as tx
 from linden.functions import similarity as sim
 from linden.operators import code
+from linden.operators.lookup import BROADCAST_ROWS
 from linden.operators.sequence import carry_last, shift_lines
 from linden.operators.search import find_matches
 from linden.session import materialize, release_shuffles
@@ -180,24 +181,38 @@ def name_classes(lines: DataFrame, tokens: DataFrame) -> DataFrame:
     mods = code.imports(lines).select("doc_id", F.element_at(F.split("module", r"\."), -1).alias("c"),
                                       F.lit(3).alias("rank"))
     params = lines.where(F.col("text").rlike(r"^\s*(async\s+)?def\s")).select(
-        "doc_id", F.explode(F.regexp_extract_all(
-            F.regexp_extract("text", r"\((.*)\)", 1), F.lit(PARAM_NAME), 1)).alias("c"),
-        F.lit(4).alias("rank"))
+        "doc_id", F.explode(parameter_names(F.col("text"))).alias("c"), F.lit(4).alias("rank"))
     assigns = lines.where(F.col("text").rlike(LITERAL_ASSIGN)).select(
         "doc_id", F.regexp_extract("text", LITERAL_ASSIGN, 1).alias("c"), F.lit(5).alias("rank"))
     ranks = defs.unionByName(mods).unionByName(params).unionByName(assigns).groupBy("doc_id", "c").agg(
         F.min("rank").alias("rank"))
     names = tokens.where(F.col("kind") == lx.KIND_NAME).select("doc_id", F.col("t").alias("c")).distinct()
     d = names.join(ranks, ["doc_id", "c"], "left")
+    lits = lines.where(F.col("text").rlike(LITERAL_ASSIGN)).select(
+        "doc_id", F.regexp_extract("text", LITERAL_ASSIGN, 1).alias("c"), "line", literal_type(F.col("text")).alias("dtype"))
+    last_lit = lits.groupBy("doc_id", "c").agg(F.max_by("dtype", "line").alias("dtype"))
+    return d.join(last_lit, ["doc_id", "c"], "left").select("doc_id", "c", candidate_type(F.col("c"), F.col("rank")).alias("ctype"), "dtype")
+
+
+def parameter_names(text: Column) -> Column:
+    """Names in the brackets of a ``def`` line."""
+    return F.regexp_extract_all(F.regexp_extract(text, r"\((.*)\)", 1), F.lit(PARAM_NAME), 1)
+
+
+def candidate_type(c: Column, rank: Column) -> Column:
     kw = F.array(*[F.lit(k) for k in lx.PY_KEYWORDS])
-    ctype = (
-        F.when(F.array_contains(kw, F.col("c")), F.lit("keyword"))
-        .when(F.col("rank") == 1, F.lit("class")).when(F.col("rank") == 2, F.lit("function"))
-        .when(F.col("rank") == 3, F.lit("module")).when(F.col("rank") == 4, F.lit("param"))
-        .when(F.col("rank") == 5, F.lit("statement")).otherwise(F.lit("instance"))
+    return (
+        F.when(F.array_contains(kw, c), F.lit("keyword"))
+        .when(rank == 1, F.lit("class")).when(rank == 2, F.lit("function"))
+        .when(rank == 3, F.lit("module")).when(rank == 4, F.lit("param"))
+        .when(rank == 5, F.lit("statement")).otherwise(F.lit("instance"))
     )
-    lit = F.trim(F.regexp_extract("text", LITERAL_ASSIGN, 2))
-    dtype = (
+
+
+def literal_type(text: Column) -> Column:
+    """Type of the literal that an assignment line assigns."""
+    lit = F.trim(F.regexp_extract(text, LITERAL_ASSIGN, 2))
+    return (
         F.when(lit.rlike(r"^[bB]['\"]"), F.lit("bytes"))
         .when(lit.rlike(r"^['\"]"), F.lit("str"))
         .when(lit.rlike(r"^(True|False)$"), F.lit("bool"))
@@ -207,10 +222,6 @@ def name_classes(lines: DataFrame, tokens: DataFrame) -> DataFrame:
         .when(lit.startswith("{"), F.lit("dict"))
         .when(lit.startswith("("), F.lit("tuple"))
     )
-    lits = lines.where(F.col("text").rlike(LITERAL_ASSIGN)).select(
-        "doc_id", F.regexp_extract("text", LITERAL_ASSIGN, 1).alias("c"), "line", dtype.alias("dtype"))
-    last_lit = lits.groupBy("doc_id", "c").agg(F.max_by("dtype", "line").alias("dtype"))
-    return d.join(last_lit, ["doc_id", "c"], "left").select("doc_id", "c", ctype.alias("ctype"), "dtype")
 
 
 # ---------------------------------------------------------------------------------------
@@ -308,6 +319,7 @@ for _m in ("token_frequency", "bigram_frequency", "trigram_frequency"):
 # Similarity features: exact re-expressions, checked by unit tests.
 # fixed values: lines above that count
 LINES_ABOVE = (2, 3, 4, 5, 6)
+SIMILARITY_INPUTS = ("line_first", "line_all", "prev_first", "prev_all", "names_above", "arg", "plist")
 SIMILARITY_FEATURES = (
     "first_token_ratio", "first_token_partial_ratio", "last_line_first_token_ratio",
     "last_line_first_token_partial_ratio", "last_n_lines_first_token_partial_ratio", "all_token_ratio", "last_line_all_token_ratio",
@@ -336,10 +348,8 @@ def active_argument(head: Column) -> Column:
     return F.get(st["commas"], F.size(st["commas"]) - 1)
 
 
-def completion_features(cands: DataFrame, lines: DataFrame, tokens: DataFrame, context: DataFrame,
-                        stats: dict[str, DataFrame], ctx_rows: DataFrame) -> DataFrame:
+def completion_features(rows: DataFrame) -> DataFrame:
     """One row per candidate with every registered completion feature."""
-    rows = candidate_rows(cands, lines, tokens, context, stats, ctx_rows)
     return rows.select(*GROUP, "c", "y", *[fn().alias(name) for name, fn in REGISTRY.completion.items()])
 
 
@@ -348,19 +358,19 @@ def context_inputs(ctx_rows: DataFrame) -> DataFrame:
     return ctx_rows.select(*GROUP, "blank_line_before", "indent", "indent_delta", "head", "call", F.substring("prev_text", -1, 1).alias("prev_text"))
 
 
-def feature_matrix(rows: DataFrame, similarity: DataFrame, ctx_rows: DataFrame) -> DataFrame:
-    """Candidates with the completion, similarity and context features.  What
-    the features are computed from (``candidate_rows``, ``similarity_features``
-    and the context of a position) is joined, and the features, many times as
-    wide, are computed behind the joins: no shuffle carries them."""
-    d = rows.join(similarity, [*GROUP, "c"]).join(context_inputs(ctx_rows), GROUP)
+def feature_matrix(rows: DataFrame) -> DataFrame:
+    """Candidates with the completion, similarity and context features.  The
+    rows hold what the features are computed from (``candidate_rows``, the
+    similarity features or their inputs, and the context of a position); the
+    features, many times as wide, are computed behind the joins."""
     completion, context = ([fn().alias(name) for name, fn in fns.items()] for fns in (REGISTRY.completion, REGISTRY.context))
-    return d.select(*GROUP, "c", "y", *completion, *SIMILARITY_FEATURES, *context)
+    return rows.select(*GROUP, "c", "y", *completion, *SIMILARITY_FEATURES, *context)
 
 
 def candidate_rows(cands: DataFrame, lines: DataFrame, tokens: DataFrame, context: DataFrame,
-                   stats: dict[str, DataFrame], ctx_rows: DataFrame) -> DataFrame:
-    """One row per candidate with what its completion features are computed from.
+                   ctx_rows: DataFrame) -> DataFrame:
+    """One row per candidate with what its completion features are computed
+    from, except the frequencies.
 
     ``context`` = token_context rows (doc_id, line, pos, t0, t1, t2, t3);
     ``ctx_rows`` = positions_with_context rows (head etc.)."""
@@ -394,10 +404,16 @@ def candidate_rows(cands: DataFrame, lines: DataFrame, tokens: DataFrame, contex
                    ["doc_id", "k2", "k1", "k0"], "trigram_match")
     keys = [*GROUP, "c"]
     q = q.join(m1, keys).join(m2, keys).join(m3, keys).join(m4, keys)
-    q = q.withColumn("t2_match", F.when(F.col("t2") == "", F.lit(lx.NOT_FOUND)).otherwise(F.col("t2_match"))) \
+    return q.withColumn("t2_match", F.when(F.col("t2") == "", F.lit(lx.NOT_FOUND)).otherwise(F.col("t2_match"))) \
         .withColumn("t3_match", F.when(F.col("t3") == "", F.lit(lx.NOT_FOUND)).otherwise(F.col("t3_match"))) \
         .withColumn("trigram_match", F.when(F.col("t2") == "", F.lit(lx.NOT_FOUND)).otherwise(F.col("trigram_match")))
 
+
+def with_frequencies(q: DataFrame, stats: dict[str, DataFrame]) -> DataFrame:
+    """Adds the frequencies of a candidate in its context from pruned statistics,
+    which go to the rows up to ``BROADCAST_ROWS`` rows and are joined by key beyond."""
+    stats = {k: materialize(s, f"pruned-{k}") for k, s in stats.items()}
+    stats = {k: F.broadcast(s) if s.count() <= BROADCAST_ROWS else s for k, s in stats.items()}
     uni = stats["token"].select(F.col("t0").alias("c"), F.col("n").alias("_uf"))
     bi = stats["bigram"].select("t1", F.col("t0").alias("c"), F.col("n").alias("_bf"))
     tri = stats["trigram"].select("t2", "t1", F.col("t0").alias("c"), F.col("n").alias("_tf"))
@@ -428,7 +444,6 @@ def similarity_features(cands: DataFrame, tokens: DataFrame, ctx_rows: DataFrame
     above = firsts.where("name is not null").select("doc_id", F.explode(F.array(*[F.col("line") + k for k in LINES_ABOVE])).alias("line"), "name") \
         .groupBy("doc_id", "line").agg(F.collect_set("name").alias("names_above"))
     d = cands.join(own, ["doc_id", "line"]).join(prev, ["doc_id", "line"], "left").join(above, ["doc_id", "line"], "left")
-    d = d.withColumn("cur_first", F.when(F.col("line_first.pos") < F.col("pos"), F.col("line_first.t")))
     if ctx_rows is not None:
         d = d.join(ctx_rows.select(*GROUP, "call", active_argument(F.col("head")).alias("arg")), GROUP, "left")
     else:
@@ -444,14 +459,25 @@ def similarity_features(cands: DataFrame, tokens: DataFrame, ctx_rows: DataFrame
             "array<struct<i:int,param:string>>")).alias("plist")), ["doc_id", "call"], "left")
     else:
         d = d.withColumn("plist", F.lit(None).cast("array<struct<i:int,param:string>>"))
+    return d.select(*GROUP, "c", *similarity_columns())
+
+
+def with_similarity(rows: DataFrame) -> DataFrame:
+    """Candidates with their similarity features instead of the inputs of these."""
+    kept = [x for x in rows.columns if x not in SIMILARITY_INPUTS]
+    return rows.select(*kept, *similarity_columns())
+
+
+def similarity_columns() -> list[Column]:
+    """The similarity features of a candidate ``c`` from the tokens around its position."""
+    cur_first = F.when(F.col("line_first.pos") < F.col("pos"), F.col("line_first.t"))
     c = F.col("c")
     pf = F.coalesce(F.col("prev_first"), F.lit(""))
     no_prev = F.col("line") == 0
-    return d.select(
-        *GROUP, "c",
-        F.when(F.col("cur_first").isNull(), F.lit(lx.INSIDE_FIRST_TOKEN)).otherwise(sim.ratio(F.col("cur_first"), c)).alias("first_token_ratio"),
-        F.when(F.col("cur_first").isNull(), F.lit(lx.INSIDE_FIRST_TOKEN)).otherwise(
-            sim.partial_ratio(F.lower("cur_first"), F.lower(c))).alias("first_token_partial_ratio"),
+    return [
+        F.when(cur_first.isNull(), F.lit(lx.INSIDE_FIRST_TOKEN)).otherwise(sim.ratio(cur_first, c)).alias("first_token_ratio"),
+        F.when(cur_first.isNull(), F.lit(lx.INSIDE_FIRST_TOKEN)).otherwise(
+            sim.partial_ratio(F.lower(cur_first), F.lower(c))).alias("first_token_partial_ratio"),
         F.when(no_prev, F.lit(-1)).otherwise(sim.ratio(pf, c)).alias("last_line_first_token_ratio"),
         F.when(no_prev, F.lit(-1)).otherwise(sim.partial_ratio(F.lower(pf), F.lower(c))).alias(
             "last_line_first_token_partial_ratio"),
@@ -461,7 +487,7 @@ def similarity_features(cands: DataFrame, tokens: DataFrame, ctx_rows: DataFrame
         F.when(no_prev | F.col("prev_all").isNull(), F.lit(-1)).otherwise(
             F.array_max(F.transform("prev_all", lambda t: sim.ratio(t, c)))).alias("last_line_all_token_ratio"),
         *_signature_cols(c),
-    )
+    ]
 
 
 def _signature_cols(c: Column) -> list[Column]:

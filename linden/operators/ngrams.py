@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linden.functions import lexicon as lx
+from linden.functions.similarity import bound
 from linden.operators.sequence import shift_lines
 from linden.sources.views import line_tokens, lines, whole_documents
 
@@ -199,12 +200,18 @@ def _line_arrays(documents: DataFrame) -> DataFrame:
 
 def context_arrays(documents: DataFrame) -> DataFrame:
     """(doc_id, ctx ARRAY<STRUCT<line, pos, t0, t1, t2, t3>>): ``token_context`` of whole documents."""
+    return documents.select("doc_id", F.transform(F.split("text", "\n", -1), line_tokens).alias("t0")).select("doc_id", contexts(F.col("t0")).alias("ctx"))
+
+
+def contexts(toks: Column) -> Column:
+    """ARRAY<STRUCT<line, pos, t0, t1, t2, t3>> of the tokens ARRAY<ARRAY<STRING>> of a document's lines."""
     last = lambda prev, k: F.coalesce(F.get(prev, F.size(prev) - k), F.lit(""))
-    d = _line_arrays(documents).select("doc_id", F.transform("_lines", lambda x: F.struct(x["t0"].alias("t0"), F.concat(
-        F.array(last(x["prev_t0"], 2), last(x["prev_t0"], 1), F.lit("")), x["t0"]).alias("c"))).alias("_c"))
-    return d.select("doc_id", F.flatten(F.transform("_c", lambda x, i: F.transform(x["t0"], lambda t, k: F.struct(
+    none = F.array().cast("array<string>")
+    stream = lambda lines: F.transform(lines, lambda ts, i: bound(F.coalesce(F.get(lines, i - 1), none), lambda prev: F.struct(
+        ts.alias("t0"), F.concat(F.array(last(prev, 2), last(prev, 1), F.lit("")), ts).alias("c"))))
+    return F.flatten(F.transform(bound(toks, stream), lambda x, i: F.transform(x["t0"], lambda t, k: F.struct(
         i.alias("line"), k.alias("pos"), t.alias("t0"), F.get(x["c"], k + 2).alias("t1"), F.get(x["c"], k + 1).alias("t2"),
-        F.get(x["c"], k).alias("t3"))))).alias("ctx"))
+        F.get(x["c"], k).alias("t3")))))
 
 
 def _context_rows(d: DataFrame) -> DataFrame:

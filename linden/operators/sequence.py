@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from linden.functions.similarity import bound
+
 DEFAULT_BLOCK = 2048
 
 
@@ -89,6 +91,14 @@ def shift_lines(df: DataFrame, cols: list[str], by: int = 1, *, key: str = "doc_
     return df.join(src, [key, order], "left")
 
 
+def last_before(marks: Column, n: Column) -> Column:
+    """Array of ``n`` elements: at each index the last of the ascending indices
+    ``marks`` before it, -1 where there is none."""
+    return bound(F.struct(marks.alias("m"), n.alias("n")), lambda x: F.concat(
+        F.array_repeat(F.lit(-1), F.coalesce(F.get(x["m"], 0) + 1, x["n"])),
+        F.flatten(F.transform(x["m"], lambda a, k: F.array_repeat(a, F.coalesce(F.get(x["m"], k + 1), x["n"] - 1) - a)))))
+
+
 def line_pos_order(line: str = "line", pos: str = "pos") -> Column:
     """One integral order key for (line, pos) pairs."""
     return F.col(line).cast("long") * F.lit(1 << 31) + F.col(pos).cast("long")

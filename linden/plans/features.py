@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from linden.functions import lexicon as lx
+from linden.operators import blocks, code, ngrams
 from linden.operators import candidates as cd
 from linden.operators import features as ft
-from linden.operators import ngrams
+from linden.operators import matrix as mx
 from linden.plans import code as code_plans
 from linden.plans import ranking
 from linden.plans import sql as q
-from linden.plans.common import code_lines
+from linden.plans.common import code_lines, documents
 from linden.plans.registry import register
 from linden.plans.search import _MATCH_SQL
 from linden.session import materialize, step_tables
@@ -168,48 +169,54 @@ def _inputs(spark, sf):
     return lines, views.tokens(lines)
 
 
-def completion_frame(spark, sf, inputs=None, counted=lambda lines: lines, of=ft.completion_features):
-    """Completion features; ``counted`` picks the lines whose n-grams count,
-    ``of`` = ``ft.candidate_rows`` gives what they are computed from."""
-    lines, t = inputs or _inputs(spark, sf)
-    cands = cd.candidates(t)
-    ctx_rows = ft.positions_with_context(lines, cd.positions(t).select(*ft.GROUP, "t"))
-    context = ngrams.token_context(lines)
-    stats = ngrams.pruned_statistics(counted(lines), materialize=True)
-    return of(cands, lines, t, context, stats, ctx_rows)
+def candidate_frame(spark, sf, counted=lambda docs: docs, matrix=False):
+    """Candidates with what their completion features are computed from and,
+    with ``matrix``, the inputs of the context features and the similarity
+    features; ``counted`` picks the documents whose n-grams count.
+
+    Whole documents give their candidates without a shuffle; those that come
+    twice, have no id or are very long go line by line."""
+    docs = documents(spark, sf)
+    whole, rest = views.whole_documents(docs, most_lines=mx.MOST_LINES)
+    rows = mx.candidates(mx.positions(views.code_line_arrays(whole)), matrix)
+    if matrix:
+        rows = ft.with_similarity(rows)
+    if rest is not None:
+        rows = rows.unionByName(candidates_by_line(views.code_lines(views.lines(rest)), matrix).select(rows.columns))
+    return ft.with_frequencies(rows, ngrams.pruned_statistics(views.code_documents(counted(docs)), materialize=True))
+
+
+def candidates_by_line(lines, matrix=False):
+    """The candidates of lines (doc_id, line, text), by joins."""
+    with step_tables(lines.sparkSession, "by-line"):  # the tables of the joins are gone when their result is written
+        lines = materialize(lines, "code-lines")
+        t = views.tokens(lines)
+        cands = cd.candidates(t)
+        ctx_rows = materialize(ft.positions_with_context(lines, cd.positions(t).select(*ft.GROUP, "t")), "position-context")
+        rows = ft.candidate_rows(cands, lines, t, ngrams.token_context(lines), ctx_rows)
+        if matrix:
+            rows = materialize(rows, "candidate-rows")
+            simf = ft.similarity_features(cands, t, ctx_rows, blocks.signature_params(lines), code.outline(lines))
+            rows = rows.join(materialize(simf, "similarity"), [*ft.GROUP, "c"]).join(ft.context_inputs(ctx_rows), ft.GROUP)
+        return materialize(rows, "candidates", keep=1)
 
 
 @register("completion_features", COMPLETION_SQL)
 def completion_features(spark, sf):
-    return completion_frame(spark, sf)
-
-
-def similarity_frame(spark, sf, inputs=None):
-    from linden.operators import blocks, code
-    lines, t = inputs or _inputs(spark, sf)
-    ctx_rows = ft.positions_with_context(lines, cd.positions(t).select(*ft.GROUP, "t"))
-    return ft.similarity_features(cd.candidates(t), t, ctx_rows, blocks.signature_params(lines), code.outline(lines))
+    return ft.completion_features(candidate_frame(spark, sf))
 
 
 @register("similarity_features")
 def similarity_features(spark, sf):
-    return similarity_frame(spark, sf)
+    lines, t = _inputs(spark, sf)
+    ctx_rows = ft.positions_with_context(lines, cd.positions(t).select(*ft.GROUP, "t"))
+    return ft.similarity_features(cd.candidates(t), t, ctx_rows, blocks.signature_params(lines), code.outline(lines))
 
 
-def feature_matrix_frame(spark, sf, counted=lambda lines: lines):
+def feature_matrix_frame(spark, sf, counted=lambda docs: docs):
     """Candidates with every completion and similarity feature and the context
     features of their position."""
-    with step_tables(spark, "feature-parts"):
-        inputs = _inputs(spark, sf)
-        lines, t = inputs
-        # each part is written, so that its shuffle files and its own tables are gone before the next one begins
-        with step_tables(spark, "completion"):
-            rows = materialize(completion_frame(spark, sf, inputs, counted, ft.candidate_rows), "candidate-rows", keep=2)
-        simf = materialize(similarity_frame(spark, sf, inputs), "similarity", keep=1)
-        pos = cd.positions(t).select(*ft.GROUP, "t")
-        context = ft.context_inputs(ft.positions_with_context(lines, pos))
-        context = materialize(context, "position-context", keep=1)
-    return ft.feature_matrix(rows, simf, context)
+    return ft.feature_matrix(candidate_frame(spark, sf, counted, matrix=True))
 
 
 @register("feature_matrix")

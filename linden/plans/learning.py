@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from linden.operators import features as ft
 from linden.operators import learning as lr
 from linden.operators import ngrams
 from linden.plans import features as fplans
@@ -21,7 +22,7 @@ META = {"doc_id", "line", "pos", "c", "y", "t", "split"}
 def _matrix(spark, sf):
     # corpus statistics come from the training documents alone
     with step_tables(spark, "ranker"):  # training reads the matrix alone
-        m = lr.split_by_doc(fplans.feature_matrix_frame(spark, sf, lambda lines: lr.split_by_doc(lines).where("split = 'train'").drop("split")))
+        m = lr.split_by_doc(fplans.feature_matrix_frame(spark, sf, lambda docs: lr.split_by_doc(docs).where("split = 'train'").drop("split")))
         m = materialize(m, "feature-matrix", keep=1)
     release_shuffles(spark)
     return m
@@ -94,7 +95,7 @@ def quality_model(spark, sf):
 def feature_store(spark, sf):
     """Completion features written once per split, keyed by a content hash
     of the document, and read back (train split only needs present keys)."""
-    comp = fplans.completion_frame(spark, sf)
+    comp = ft.completion_features(fplans.candidate_frame(spark, sf))
     keyed = comp.withColumn("doc_key", F.sha2(F.col("doc_id").cast("string"), 256))
     keyed = lr.split_by_doc(keyed)
     path = scratch_path(spark, f"feature-store-{uuid.uuid4().hex[:12]}")
