@@ -8,8 +8,9 @@ from linden.functions import lexicon as lx
 from linden.operators import dictionary as dct
 from linden.operators import spelling as sp
 from linden.plans import sql as q
-from linden.plans.common import code_tokens, doc_lines, doc_tokens
+from linden.plans.common import code_tokens, doc_lines, doc_tokens, documents
 from linden.plans.registry import register
+from linden.sources import views
 from linden.sources.tables import table
 
 
@@ -142,6 +143,10 @@ def scope_flags(spark, sf):
     return sp.scope_flags(code_tokens(spark, sf))
 
 
+def _tokens(docs):
+    return views.tokens(views.code_lines(views.lines(docs)))
+
+
 @register("imported_names", q.with_(q.LINES, q.CODE_LINES, q.CODE_TOKENS, FLAGS, EVENTS, q.DICT, SPELL) + """
 SELECT doc_id, w, imp_o.l AS line, imp_o.p AS pos FROM imported
 """)
@@ -160,7 +165,9 @@ SELECT doc_id, line, pos, sub, s AS token, {HIGHLIGHT} AS highlighted
 FROM per_token WHERE list_bool_or(list_transform(wl, lambda x: NOT x.ok))
 """)
 def spelling(spark, sf):
-    return sp.spelling(code_tokens(spark, sf), _dict(spark, sf))
+    whole, rest = views.whole_documents(documents(spark, sf))
+    found = sp.document_spelling(views.code_line_arrays(whole), _dict(spark, sf))
+    return found if rest is None else found.unionByName(sp.spelling(_tokens(rest), _dict(spark, sf)))
 
 
 # the last word of each line goes to its document's project dictionary behind that line
