@@ -8,7 +8,7 @@ from linden.functions import lexicon as lx
 from linden.operators import dictionary as dct
 from linden.operators import spelling as sp
 from linden.plans import sql as q
-from linden.plans.common import code_tokens, doc_lines, doc_tokens, documents
+from linden.plans.common import code_tokens, doc_tokens, documents
 from linden.plans.registry import register
 from linden.sources import views
 from linden.sources.tables import table
@@ -189,10 +189,19 @@ SELECT doc_id, line, pos, sub, s AS token, {HIGHLIGHT} AS highlighted
 FROM per_token WHERE list_bool_or(list_transform(wl, lambda x: NOT x.ok))
 """)
 def spelling_project(spark, sf):
-    words = F.regexp_extract_all(F.lower("text"), F.lit(lx.WORD_PATTERN), 0)
-    added = doc_lines(spark, sf).select("doc_id", (F.col("line") * 2 + 1).alias("line"), words.alias("ws")).where(F.size("ws") > 0) \
+    whole, rest = views.whole_documents(documents(spark, sf))
+    last_words = F.transform(F.split("text", "\n", -1), lambda s, i: F.struct(F.get(F.reverse(_words(s)), 0).alias("w"), (i * 2 + 1).alias("line")))
+    whole = whole.select("doc_id", "text", F.filter(last_words, lambda x: x["w"].isNotNull()).alias("project"))
+    found = sp.document_spelling(views.code_line_arrays(whole, "project"), _dict(spark, sf))
+    if rest is None:
+        return found
+    added = views.lines(rest).select("doc_id", (F.col("line") * 2 + 1).alias("line"), _words(F.col("text")).alias("ws")).where(F.size("ws") > 0) \
         .select("doc_id", F.element_at("ws", -1).alias("w"), "line")
-    return sp.spelling(code_tokens(spark, sf), _dict(spark, sf), project=added)
+    return found.unionByName(sp.spelling(_tokens(rest), _dict(spark, sf), project=added))
+
+
+def _words(text):
+    return F.regexp_extract_all(F.lower(text), F.lit(lx.WORD_PATTERN), 0)
 
 
 @register("first_unknown", q.with_(q.LINES, q.TOKENS, q.DICT) + """
