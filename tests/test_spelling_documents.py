@@ -5,6 +5,8 @@ import random
 
 from pyspark.sql import functions as F
 
+from linden.operators import retrieve as rt
+from linden.operators import candidates as cd
 from linden.operators import spelling as sp
 from linden.sources import views
 
@@ -36,6 +38,14 @@ def _shuffles(df):
     return df._jdf.queryExecution().executedPlan().toString().count("Exchange")
 
 
+def test_scope_flags_of_documents(spark):
+    docs = _docs(spark)
+    got = sp.document_scope_flags(docs.select("doc_id", "codes"))
+    want = sp.scope_flags(views.tokens(_lines(docs)))
+    assert got.columns == want.columns and _rows(got) == _rows(want) and got.where("def_ and for_").count() > 0
+    assert _shuffles(got) == 0
+
+
 def test_spelling_of_documents(spark):
     docs, words = _docs(spark), spark.createDataFrame([(w,) for w in WORDS], "w string")
     tokens = views.tokens(_lines(docs))
@@ -55,3 +65,12 @@ def test_import_of_a_dictionary_word_does_not_make_its_parts_known(spark):
     part = spark.createDataFrame([(1, ["import quuxBarr", "# quux"]), (2, ["import fooBarr", "# barr"]), (3, ["import fooBar", "# barr"])], "doc_id long, codes array<string>")
     known = spark.createDataFrame([("foobarr",)], "w string")
     assert {(r.doc_id, r.token) for r in sp.document_spelling(part, known).collect()} == {(2, "barr"), (3, "barr")}
+
+
+def test_full_statements_of_documents(spark):
+    docs = _docs(spark, 3).select("doc_id", "codes").union(spark.createDataFrame([(30, [f"{'for ' * (i % 3 > 1)}alpha{i % 50} = beta({i}, [x) # c" for i in range(130)])], "doc_id long, codes array<string>"))
+    lines = _lines(docs)
+    got = rt.document_full_statement(docs)
+    want = rt.full_statement(cd.positions(views.tokens(lines)).select("doc_id", "line", "pos", "t"), lines)
+    assert got.columns == want.columns and _rows(got) == _rows(want) and got.count() > 100
+    assert _shuffles(got) == 0
