@@ -140,7 +140,9 @@ def string_words(spark, sf):
 SELECT doc_id, line, pos, kind, t, t1, kind1, for_, def_, import_ FROM fl
 """)
 def scope_flags(spark, sf):
-    return sp.scope_flags(code_tokens(spark, sf))
+    whole, rest = views.whole_documents(documents(spark, sf))
+    found = sp.document_scope_flags(views.code_line_arrays(whole))
+    return found if rest is None else found.unionByName(sp.scope_flags(_tokens(rest)))
 
 
 def _tokens(docs):
