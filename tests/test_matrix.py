@@ -58,3 +58,11 @@ def test_last_before(spark):
     df = spark.createDataFrame([([], 3), ([0], 3), ([2], 3), ([0, 1, 2], 3), ([1, 4], 7), ([], 0)], "m array<int>, n int")
     got = [r[0] for r in df.select(last_before(F.col("m"), F.col("n"))).collect()]
     assert got == [[max((x for x in m if x < i), default=-1) for i in range(n)] for m, n in df.collect()]
+
+
+def test_completion_features_shuffle_only_the_counts(spark, monkeypatch):
+    """The n-gram counts are written before; the candidates that join them are not shuffled."""
+    docs = spark.createDataFrame([(d, "\n".join(f"alpha beta{i % 3} gamma delta eps" for i in range(20))) for d in range(3)], "doc_id long, text string")
+    monkeypatch.setattr(plans, "documents", lambda *_: docs)
+    plan = plans.completion_features(spark, None)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan and "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
