@@ -434,6 +434,12 @@ def similarity_features(cands: DataFrame, tokens: DataFrame, ctx_rows: DataFrame
       partial ratio (-1 if there is no such line);
     * the NAME/STRING tokens of the line except the one at the cursor, and of
       the previous line, the best ratio (-1 if none)."""
+    return similarity_inputs(cands, tokens, ctx_rows, params, defs).select(*GROUP, "c", *similarity_columns())
+
+
+def similarity_inputs(cands: DataFrame, tokens: DataFrame, ctx_rows: DataFrame | None = None,
+                      params: DataFrame | None = None, defs: DataFrame | None = None) -> DataFrame:
+    """Candidates with the tokens around their position (``SIMILARITY_INPUTS`` and ``call``)."""
     ns = tokens.where(F.col("kind").isin(lx.KIND_NAME, lx.KIND_STRING))
     firsts = ns.groupBy("doc_id", "line").agg(F.min_by(F.struct("t", "pos"), "pos").alias("first"), F.collect_list(F.struct("t", "pos")).alias("all_t"),
                                               F.min_by(F.when(F.col("kind") == lx.KIND_NAME, F.lower("t")),
@@ -459,7 +465,7 @@ def similarity_features(cands: DataFrame, tokens: DataFrame, ctx_rows: DataFrame
             "array<struct<i:int,param:string>>")).alias("plist")), ["doc_id", "call"], "left")
     else:
         d = d.withColumn("plist", F.lit(None).cast("array<struct<i:int,param:string>>"))
-    return d.select(*GROUP, "c", *similarity_columns())
+    return d
 
 
 def with_similarity(rows: DataFrame) -> DataFrame:

@@ -173,6 +173,23 @@ def candidates(positions: DataFrame, matrix: bool = False) -> DataFrame:
     """A row for each candidate of each position: what ``features.candidate_rows``
     gives and, with ``matrix``, what the context and similarity features are
     computed from."""
+    return offered_rows(positions, _offered(), matrix)
+
+
+def position_context(positions: DataFrame) -> DataFrame:
+    """Positions with their candidates (``offered``) instead of the document's
+    names and the lines above: what a matrix needs of them, narrow enough to write."""
+    return positions.select(*POSITION_COLUMNS, *CONTEXT_INPUTS, *ft.SIMILARITY_INPUTS, _offered().alias("offered"))
+
+
+def offered_rows(positions: DataFrame, offered: Column, matrix: bool = False) -> DataFrame:
+    more = (*CONTEXT_INPUTS, *ft.SIMILARITY_INPUTS) if matrix else ()
+    d = positions.select(*POSITION_COLUMNS, *more, F.explode(offered).alias("n")).select(*POSITION_COLUMNS, *more, "n.*")
+    return d.withColumn("y", (F.col("c") == F.col("t")).cast("int")).withColumn("ctype", ft.candidate_type(F.col("c"), F.col("rank"))).drop("rank")
+
+
+def _offered() -> Column:
+    """The candidates of a position."""
     line = F.col("line")
 
     def nth(texts: str, c: Column, head: Column) -> Column:
@@ -189,7 +206,4 @@ def candidates(positions: DataFrame, matrix: bool = False) -> DataFrame:
             far(F.col("t2") != "", "t2", "t1").alias("trigram_match"))
 
     earlier = lambda n: F.filter(n["at"], lambda o: o["line"] < line)
-    offered = F.transform(F.filter("names", lambda n: F.get(n["at"], 0)["line"] < line), lambda n: bound(earlier(n), lambda before: of_name(n, before)))
-    more = (*CONTEXT_INPUTS, *ft.SIMILARITY_INPUTS) if matrix else ()
-    d = positions.select(*POSITION_COLUMNS, *more, F.explode(offered).alias("n")).select(*POSITION_COLUMNS, *more, "n.*")
-    return d.withColumn("y", (F.col("c") == F.col("t")).cast("int")).withColumn("ctype", ft.candidate_type(F.col("c"), F.col("rank"))).drop("rank")
+    return F.transform(F.filter("names", lambda n: F.get(n["at"], 0)["line"] < line), lambda n: bound(earlier(n), lambda before: of_name(n, before)))

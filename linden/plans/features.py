@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from linden.functions import lexicon as lx
 from linden.operators import blocks, code, ngrams
 from linden.operators import candidates as cd
@@ -171,16 +173,19 @@ def _inputs(spark, sf):
 
 def candidate_frame(spark, sf, counted=lambda docs: docs, matrix=False):
     """Candidates with what their completion features are computed from and,
-    with ``matrix``, the inputs of the context features and the similarity
+    with ``matrix`` (inside a step), the inputs of the context and similarity
     features; ``counted`` picks the documents whose n-grams count.
 
     Whole documents give their candidates without a shuffle; those that come
     twice, have no id or are very long go line by line."""
     docs = documents(spark, sf)
     whole, rest = views.whole_documents(docs, most_lines=mx.MOST_LINES)
-    rows = mx.candidates(mx.positions(views.code_line_arrays(whole)), matrix)
+    positions = mx.positions(views.code_line_arrays(whole))
     if matrix:
-        rows = ft.with_similarity(rows)
+        positions = materialize(mx.position_context(positions), "position-context", keep=1)
+        rows = mx.offered_rows(positions, F.col("offered"), matrix)
+    else:
+        rows = mx.candidates(positions)
     if rest is not None:
         rows = rows.unionByName(candidates_by_line(views.code_lines(views.lines(rest)), matrix).select(rows.columns))
     return ft.with_frequencies(rows, ngrams.pruned_statistics(views.code_documents(counted(docs)), materialize=True))
@@ -192,12 +197,13 @@ def candidates_by_line(lines, matrix=False):
         lines = materialize(lines, "code-lines")
         t = views.tokens(lines)
         cands = cd.candidates(t)
-        ctx_rows = materialize(ft.positions_with_context(lines, cd.positions(t).select(*ft.GROUP, "t")), "position-context")
+        ctx_rows = materialize(ft.positions_with_context(lines, cd.positions(t).select(*ft.GROUP, "t")), "line-context")
         rows = ft.candidate_rows(cands, lines, t, ngrams.token_context(lines), ctx_rows)
         if matrix:
-            rows = materialize(rows, "candidate-rows")
-            simf = ft.similarity_features(cands, t, ctx_rows, blocks.signature_params(lines), code.outline(lines))
-            rows = rows.join(materialize(simf, "similarity"), [*ft.GROUP, "c"]).join(ft.context_inputs(ctx_rows), ft.GROUP)
+            rows = materialize(rows, "line-rows")
+            inputs = ft.similarity_inputs(cands, t, ctx_rows, blocks.signature_params(lines), code.outline(lines))
+            inputs = materialize(inputs.select(*ft.GROUP, "c", *ft.SIMILARITY_INPUTS), "line-similarity")
+            rows = rows.join(inputs, [*ft.GROUP, "c"]).join(ft.context_inputs(ctx_rows), ft.GROUP)
         return materialize(rows, "candidates", keep=1)
 
 
@@ -215,8 +221,13 @@ def similarity_features(spark, sf):
 
 def feature_matrix_frame(spark, sf, counted=lambda docs: docs):
     """Candidates with every completion and similarity feature and the context
-    features of their position."""
-    return ft.feature_matrix(candidate_frame(spark, sf, counted, matrix=True))
+    features of their position.  Positions, candidates and candidates with
+    their similarities are written one after the other; the statistics are
+    gone when the candidates are written."""
+    with step_tables(spark, "feature-parts"):
+        rows = materialize(candidate_frame(spark, sf, counted, matrix=True), "candidate-rows", keep=1)
+        rows = materialize(ft.with_similarity(rows), "similarity", keep=1)
+    return ft.feature_matrix(rows)
 
 
 @register("feature_matrix")
